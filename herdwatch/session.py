@@ -35,6 +35,7 @@ def local_session(cores: str | int = "*", app: str = "herdwatch", **settings: st
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(n))
     )
