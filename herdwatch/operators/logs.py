@@ -85,8 +85,10 @@ def log_summary(logs: DataFrame, as_of=None, hours: int | None = None, last: int
             F.array(
                 F.struct(F.lit("total").alias("section"), F.lit("total_logs").alias("key"),
                          F.col("n").cast("string").alias("value")),
-                F.struct(F.lit("time_range"), F.lit("first"), F.date_format("lo", stamp)),
-                F.struct(F.lit("time_range"), F.lit("last"), F.date_format("hi", stamp)),
+                F.struct(F.lit("time_range").alias("section"), F.lit("first").alias("key"),
+                         F.date_format("lo", stamp).alias("value")),
+                F.struct(F.lit("time_range").alias("section"), F.lit("last").alias("key"),
+                         F.date_format("hi", stamp).alias("value")),
             )
         )
     )

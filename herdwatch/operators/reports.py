@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from ..constants import DAILY_ADVICE, SUMMARY_ADVICE
 from ..functions.scalars import moment
+from ..session import materialize
 from .filters import newest_first, recent
 from .order_stats import number_rows
 
-ONE = F.lit(1)
 
 
 def metrics_summary(readings: DataFrame, as_of, days: int | None = 30) -> DataFrame:
     """Animals, rows, anomalies and farms of the last days."""
     return recent(readings, as_of, days).agg(
         F.count_distinct("tag_id").alias("total_animals"),
-        F.count(ONE).alias("total_records"),
+        F.count("*").alias("total_records"),
         F.count_if("is_anomaly").alias("anomaly_count"),
         F.count_distinct("farm_id").alias("farms_monitored"),
     )
@@ -26,7 +26,7 @@ def metrics_summary(readings: DataFrame, as_of, days: int | None = 30) -> DataFr
 def alert_summary(alerts: DataFrame) -> DataFrame:
     """Active and critical alerts."""
     return alerts.filter(~F.col("is_resolved")).agg(
-        F.count(ONE).alias("active_alerts"), F.count_if(F.col("severity") == "critical").alias("critical_alerts")
+        F.count("*").alias("active_alerts"), F.count_if(F.col("severity") == "critical").alias("critical_alerts")
     )
 
 
@@ -36,7 +36,7 @@ def anomaly_timeline(readings: DataFrame, as_of=None, days: int | None = None) -
         recent(readings, as_of, days)
         .groupBy(F.to_date("date").alias("day"))
         .agg(
-            F.count(ONE).alias("total_records"),
+            F.count("*").alias("total_records"),
             F.count_if("is_anomaly").alias("anomalies"),
             F.avg("anomaly_score").alias("avg_score"),
         )
@@ -53,7 +53,7 @@ def animal_summary(livestock: DataFrame, farm_id=None) -> DataFrame:
         active.rollup("animal_type")
         .agg(
             F.grouping("animal_type").alias("_all"),
-            F.count(ONE).alias("animals"),
+            F.count("*").alias("animals"),
             (F.count_distinct("farm_id") + F.when(F.bool_or(F.col("farm_id").isNull()), 1).otherwise(0)).alias("farms"),
         )
         .select(
@@ -71,7 +71,7 @@ def anomaly_by_type(readings: DataFrame) -> DataFrame:
         readings.rollup("animal_type")
         .agg(
             F.grouping("animal_type").alias("_all"),
-            F.count(ONE).alias("records"),
+            F.count("*").alias("records"),
             F.sum(F.col("is_anomaly").cast("int")).alias("anomalies"),
         )
         .filter((F.col("_all") == 1) | F.col("animal_type").isNotNull())
@@ -85,12 +85,12 @@ def anomaly_by_type(readings: DataFrame) -> DataFrame:
 def type_distribution(readings: DataFrame) -> DataFrame:
     """Records per animal type; ``pct_of_animals`` divides records by the number of animals."""
     totals = readings.agg(
-        F.struct(F.count_distinct("tag_id").alias("animals"), F.count(ONE).alias("records"))
+        F.struct(F.count_distinct("tag_id").alias("animals"), F.count("*").alias("records"))
     ).scalar()
     return (
         readings.filter(F.col("animal_type").isNotNull())
         .groupBy("animal_type")
-        .agg(F.count(ONE).alias("records"))
+        .agg(F.count("*").alias("records"))
         .withColumns(
             {
                 "pct_of_animals": F.col("records") / totals["animals"] * 100,
@@ -113,7 +113,7 @@ def daily_advice(anomalies: Column) -> Column:
 def daily_report(readings: DataFrame, alerts: DataFrame, as_of, recent_alerts: int = 5) -> DataFrame:
     """Section, key and value: totals, animals per type, newest alerts, advice."""
     totals = readings.agg(
-        F.count_distinct("tag_id").alias("a"), F.count(ONE).alias("r"), F.count_distinct("farm_id").alias("f"),
+        F.count_distinct("tag_id").alias("a"), F.count("*").alias("r"), F.count_distinct("farm_id").alias("f"),
         F.count_if("is_anomaly").alias("n"),
     )
     pairs = F.array(
@@ -183,9 +183,12 @@ def summary_report(
             return [F.lit("#" * level + " " + text), F.lit("")]
         return [F.lit(text.upper()), F.lit("-" * 40)]
 
-    totals = readings.agg(
-        F.count(ONE).alias("r"), F.coalesce(F.count_if("is_anomaly"), F.lit(0)).alias("n")
+    # One pass over the readings; what follows reads these few rows, or the alerts.
+    counts = materialize(
+        readings.groupBy("animal_type").agg(F.count("*").alias("r"), F.count_if("is_anomaly").alias("n"))
     )
+    alerts = materialize(alerts)
+    totals = counts.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     head = lines(totals, 0, F.lit(0), [F.lit("# " + title)] if md else
                  [F.lit("=" * 60), F.lit(title.upper()), F.lit("=" * 60)])
     summary = lines(
@@ -197,14 +200,10 @@ def summary_report(
             label("Anomaly Rate", F.format_string("%.1f%%", F.col("n") / F.col("r") * 100)),
         ],
     )
-    types = (
-        readings.filter(F.col("animal_type").isNotNull())
-        .groupBy("animal_type")
-        .agg(F.count_if("is_anomaly").alias("n"))
-    )
+    types = counts.filter(F.col("animal_type").isNotNull()).select("animal_type", "n")
     types = number_rows(types, ["animal_type"], "_i", max_rows=max_rows)
     per_type = lines(types, 2, F.col("_i"), [label_type(md)])
-    alert_totals = alerts.agg(F.count(ONE).alias("alerts"))
+    alert_totals = alerts.agg(F.count("*").alias("alerts"))
     alert_head = lines(
         alert_totals, 3, F.lit(0),
         [*heading("Outbreak Alerts"), F.when(F.col("alerts") == 0, "No outbreak alerts generated.")],

@@ -29,14 +29,20 @@ MAX_LEVELS = 8
 CHUNK, GHOST, SIDE = "_chunk", "_ghost", "_side"
 
 
-def position(df: DataFrame, name: str) -> Column:
-    """A column as a number that sorts alike: microseconds for times, days for dates."""
+def positions(df: DataFrame, name: str) -> list[Column]:
+    """A column as numbers that sort alike: microseconds, days, or the text six bytes at a time."""
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        return [F.unix_micros(F.col(name).cast("timestamp")).cast("double")]
     if kind == "date":
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+        return [F.unix_date(F.col(name)).cast("double")]
+    if kind == "string":
+        digits = F.hex(F.encode(F.col(name), "UTF-8"))
+        return [
+            F.conv(F.rpad(F.substring(digits, start, 12), 12, "0"), 16, 10).cast("double")
+            for start in (1, 13, 25, 37)
+        ]
+    return [F.col(name).cast("double")]
 
 
 def add_chunks(
@@ -49,7 +55,7 @@ def add_chunks(
     pairs has at most ``rows / max_rows`` rows, which bounds what is broadcast.
     """
     max_rows = max_rows or HOT_KEY_ROWS
-    places = [position(df, c) for c in order]
+    places = [place for c in order for place in positions(df, c)]
     out = df.withColumn(CHUNK, F.expr("CAST(array() AS ARRAY<BIGINT>)"))
     group = [*keys, CHUNK]
     for level in range(MAX_LEVELS):
