@@ -77,3 +77,11 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def write_and_read(df: DataFrame, label: str) -> DataFrame:
+    """Store a result as a Parquet table in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
