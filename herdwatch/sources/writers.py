@@ -14,7 +14,11 @@ from ..operators.alerts import with_defaults
 from ..operators.stats import describe_numeric
 
 log = logging.getLogger(__name__)
-FORMATS = ("csv", "json", "parquet")
+# Text formats keep microseconds.
+STAMPS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def essential_columns(df: DataFrame, wanted: Sequence[str] = ESSENTIAL_ANOMALY_COLUMNS) -> list[str]:
@@ -29,13 +33,13 @@ def _nested_to_text(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    _nested_to_text(df).write.mode("overwrite").csv(path, header=True)
+    _nested_to_text(df).write.mode("overwrite").options(**STAMPS).csv(path, header=True)
     return path
 
 
 def write_json(df: DataFrame, path: str, as_of) -> str:
     """Records as JSON lines under ``data``; one row about the export under ``metadata``."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/data")
+    df.write.mode("overwrite").options(**STAMPS).option("ignoreNullFields", "false").json(f"{path}/data")
     export_metadata(df, as_of).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
     return path
 
@@ -104,7 +108,7 @@ def append_alerts(df: DataFrame, path: str) -> None:
 
 def log_alerts(df: DataFrame, path: str, as_of) -> None:
     """Append alerts to the alert log, one folder per day."""
-    with_defaults(df, as_of).write.mode("append").partitionBy("day").json(path)
+    with_defaults(df, as_of).write.mode("append").options(**STAMPS).partitionBy("day").json(path)
 
 
 def export_logs(logs: Sequence[DataFrame], path: str, fmt: str = "json") -> str:
@@ -116,14 +120,14 @@ def export_logs(logs: Sequence[DataFrame], path: str, fmt: str = "json") -> str:
         return write_csv(rows, path)
     if fmt != "json":
         raise ValueError(f"unknown log format: {fmt}")
-    rows.write.mode("overwrite").json(path)
+    rows.write.mode("overwrite").options(**STAMPS).json(path)
     return path
 
 
 def save_report(tables: dict[str, DataFrame], path: str) -> None:
     """A report of several small tables, one JSON folder each."""
     for name, table in tables.items():
-        table.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+        table.coalesce(1).write.mode("overwrite").options(**STAMPS).json(f"{path}/{name}")
 
 
 def save_snapshot(df: DataFrame, path: str, kind: str, taken_at: str) -> str:
