@@ -177,21 +177,25 @@ def with_nearest_values(
     earlier = along.rowsBetween(W.unboundedPreceding, -1)
     later = along.rowsBetween(1, W.unboundedFollowing)
     ends = chunked.filter(F.size(CHUNK) > 0).groupBy(*keys, CHUNK).agg(*known)
-    sides = ends.select(
+    near = ends.withColumns(
+        {
+            **{f"_before_{v}": F.last(f"_last_{v}", ignorenulls=True).over(earlier) for v in values},
+            **{f"_after_{v}": F.first(f"_first_{v}", ignorenulls=True).over(later) for v in values},
+        }
+    )
+    sides = near.select(
         *keys, CHUNK,
-        F.explode(
+        F.inline(
             F.array(
-                F.struct(
-                    F.lit(-1).alias(SIDE),
-                    *[F.last(f"_last_{v}", ignorenulls=True).over(earlier)["_value"].alias(v) for v in values],
-                ),
-                F.struct(
-                    F.lit(1).alias(SIDE),
-                    *[F.first(f"_first_{v}", ignorenulls=True).over(later)["_value"].alias(v) for v in values],
-                ),
+                *[
+                    F.struct(
+                        F.lit(side).alias(SIDE), *[F.col(f"_{where}_{v}")["_value"].alias(v) for v in values]
+                    )
+                    for side, where in ((-1, "before"), (1, "after"))
+                ]
             )
-        ).alias("_s"),
-    ).select(*keys, CHUNK, "_s.*")
+        ),
+    )
     both = (
         chunked.withColumn(SIDE, F.lit(0))
         .withColumn(GHOST, F.lit(False))
