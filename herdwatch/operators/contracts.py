@@ -175,19 +175,30 @@ def _first(found: list[tuple[Column, str, Column]], pick, otherwise: Column) ->
 
 def severity_code(rule: ColumnRule, kind: str) -> Column:
     """0 fine, 1 warning, 2 error."""
+    found = verdicts(rule, kind)
+    if all(severity != WARNING for _, severity, _ in found):
+        # Nothing but errors: one flat condition keeps the generated code small.
+        bad = F.lit(False)
+        for condition, severity, _ in found:
+            if severity == ERROR:
+                bad = bad | condition
+        return F.when(bad, 2).otherwise(0)
     code = {ERROR: 2, WARNING: 1, "": 0}
-    return _first(verdicts(rule, kind), lambda severity, _: F.lit(code[severity]), F.lit(0))
+    return _first(found, lambda severity, _: F.lit(code[severity]), F.lit(0))
 
 
-def verdict(rule: ColumnRule, kind: str) -> Column:
-    """struct(column, severity, message) of one cell; severity 'info' when it is fine."""
+def verdict(rule: ColumnRule, kind: str, infos: bool = True) -> Column:
+    """struct(column, severity, message) of one cell; a fine one is 'info', or null without ``infos``."""
+    shape = "struct<column:string,severity:string,message:string>"
 
     def item(severity: str, message: Column) -> Column:
+        if not severity and not infos:
+            return F.lit(None).cast(shape)
         return F.struct(
             F.lit(rule.name).alias("column"), F.lit(severity or INFO).alias("severity"), message.alias("message")
         )
 
-    return _first(verdicts(rule, kind), item, item(INFO, F.lit(f"Column '{rule.name}' validation passed")))
+    return _first(verdicts(rule, kind), item, item("", F.lit(f"Column '{rule.name}' validation passed")))
 
 
 def _required_missing(df: DataFrame, contract: Contract, kinds: dict) -> dict[str, Column]:
@@ -195,10 +206,9 @@ def _required_missing(df: DataFrame, contract: Contract, kinds: dict) -> dict[st
     return {c: _is_null(c, kinds[c]) if c in kinds else F.lit(True) for c in contract.required}
 
 
-def with_verdicts(df: DataFrame, contract: Contract) -> DataFrame:
-    """Add arrays ``errors``, ``warnings`` and ``infos`` of (column, severity, message)."""
-    kinds = dict(df.dtypes)
-    lacking = [
+def _lacking(df: DataFrame, contract: Contract, kinds: dict) -> list[Column]:
+    """An error per required column the row lacks, on top of what its own rule says."""
+    return [
         F.when(
             absent,
             F.struct(
@@ -208,19 +218,42 @@ def with_verdicts(df: DataFrame, contract: Contract) -> DataFrame:
         )
         for c, absent in _required_missing(df, contract, kinds).items()
     ]
-    cells = [verdict(rule, kinds[rule.name]) for rule in contract.columns if rule.name in kinds]
-    found = df.withColumn("_v", F.array_compact(F.array(*lacking, *cells)))
+
+
+def _issues(df: DataFrame, contract: Contract, infos: bool) -> Column:
+    """All verdicts of a row as an array, null where there is nothing to say."""
+    kinds = dict(df.dtypes)
+    cells = [verdict(rule, kinds[rule.name], infos) for rule in contract.columns if rule.name in kinds]
+    return F.array(*_lacking(df, contract, kinds), *cells)
+
+
+def with_verdicts(df: DataFrame, contract: Contract, infos: bool = True) -> DataFrame:
+    """Add arrays ``errors``, ``warnings`` and (if wanted) ``infos`` of (column, severity, message)."""
 
     def of(level: str) -> Column:
         return F.filter("_v", lambda item: item["severity"] == level)
 
-    return found.withColumns({f"{level}s": of(level) for level in (ERROR, WARNING, INFO)}).drop("_v")
+    levels = (ERROR, WARNING, INFO) if infos else (ERROR, WARNING)
+    found = df.withColumn("_v", _issues(df, contract, infos))
+    return found.withColumns({f"{level}s": of(level) for level in levels}).drop("_v")
 
 
 def issue_rows(df: DataFrame, contract: Contract, keep: Sequence[str] = ()) -> DataFrame:
     """One row per error or warning, with the columns to keep."""
-    found = with_verdicts(df, contract)
-    return found.select(*keep, F.explode(F.concat("errors", "warnings")).alias("_i")).select(*keep, "_i.*")
+    found = df.select(*keep, F.explode(_issues(df, contract, infos=False)).alias("_i"))
+    return found.filter(F.col("_i").isNotNull()).select(*keep, "_i.*")
+
+
+def has_errors(df: DataFrame, contract: Contract) -> Column:
+    """True for rows with at least one error; builds no message."""
+    kinds = dict(df.dtypes)
+    bad = F.lit(False)
+    for absent in _required_missing(df, contract, kinds).values():
+        bad = bad | absent
+    for rule in contract.columns:
+        if rule.name in kinds:
+            bad = bad | (severity_code(rule, kinds[rule.name]) == 2)
+    return bad
 
 
 def counts(df: DataFrame, contract: Contract) -> DataFrame:

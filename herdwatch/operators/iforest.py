@@ -114,62 +114,61 @@ def _samples(
 
 
 def _grow(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (node, feature, split, left, right, size, depth) of one random tree."""
-    nodes: list[list] = []
-    todo = [(np.arange(len(values)), 0, None, 0)]
+    """Nodes (node, feature, split, left, right, size, depth) of one random tree; right = left + 1."""
+    nodes: list[tuple] = [()]
+    todo = [(0, np.arange(len(values)), 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        number = len(nodes)
-        if parent is not None:
-            nodes[parent][3 + side] = number
+        number, rows, depth = todo.pop()
         part = values[rows]
         low, high = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or len(varying) == 0:
-            nodes.append([number, -1, 0.0, -1, -1, len(rows), depth])
+        if depth >= limit or len(varying) == 0:
+            nodes[number] = (number, -1, 0.0, -1, -1, len(rows), depth)
             continue
         feature = int(rng.choice(varying))
         split = float(rng.uniform(low[feature], high[feature]))
         goes_left = part[:, feature] <= split
-        nodes.append([number, feature, split, -1, -1, len(rows), depth])
-        todo.append((rows[~goes_left], depth + 1, number, 1))
-        todo.append((rows[goes_left], depth + 1, number, 0))
-    return [tuple(n) for n in nodes]
+        left = len(nodes)
+        nodes[number] = (number, feature, split, left, left + 1, len(rows), depth)
+        nodes += [(), ()]
+        todo += [(left + 1, rows[~goes_left], depth + 1), (left, rows[goes_left], depth + 1)]
+    return nodes
 
 
 def _tables(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Node tables as (tree, node) arrays; leaves point to themselves and hold their path length."""
+    """All trees in flat arrays; tree t starts at ``roots[t]``.
+
+    A leaf points to itself behind a split that nothing exceeds, and holds its path length.
+    """
     trees, width = int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1
-    t, k = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
+    at = nodes["tree"].to_numpy() * width + nodes["node"].to_numpy()
     leaf = nodes["feature"].to_numpy() < 0
     out = {}
     for name, values, kind in (
-        ("feature", np.where(leaf, 0, nodes["feature"]), np.int32),
+        ("feature", np.where(leaf, 0, nodes["feature"]), np.int64),
         ("split", np.where(leaf, np.inf, nodes["split"]), float),
-        ("left", np.where(leaf, k, nodes["left"]), np.int32),
-        ("right", np.where(leaf, k, nodes["right"]), np.int32),
+        ("left", np.where(leaf, at, nodes["tree"] * width + nodes["left"]), np.int64),
         ("path", np.where(leaf, nodes["depth"] + mean_path(nodes["size"].to_numpy()), 0.0), float),
     ):
-        table = np.zeros((trees, width), dtype=kind)
-        table[t, k] = values
-        out[name] = table
+        out[name] = np.zeros(trees * width, dtype=kind)
+        out[name][at] = values
+    out["roots"] = np.arange(trees, dtype=np.int64) * width
     out["depth"] = np.array(int(nodes["depth"].max()))
     return out
 
 
-def _depths(tables: dict[str, np.ndarray], values: np.ndarray) -> np.ndarray:
-    """Mean path length over the trees, per row."""
-    trees, width = tables["feature"].shape
-    base = (np.arange(trees) * width)[None, :]
-    rows = np.arange(len(values))[:, None]
-    flat = {name: tables[name].ravel() for name in ("feature", "split", "left", "right", "path")}
-    at = np.zeros((len(values), trees), dtype=np.int64)
-    for _ in range(int(tables["depth"])):
-        here = base + at
-        at = np.where(
-            values[rows, flat["feature"][here]] <= flat["split"][here], flat["left"][here], flat["right"][here]
-        )
-    return flat["path"][base + at].mean(axis=1)
+def _mean_paths(tables: dict[str, np.ndarray], values: np.ndarray, block: int = 256) -> np.ndarray:
+    """Mean path length over the trees, per row; blocks of rows keep the work in the CPU cache."""
+    out = np.empty(len(values))
+    for start in range(0, len(values), block):
+        rows = np.ascontiguousarray(values[start : start + block])
+        flat, first = rows.ravel(), (np.arange(len(rows)) * rows.shape[1])[:, None]
+        at = np.broadcast_to(tables["roots"], (len(rows), len(tables["roots"])))
+        for _ in range(int(tables["depth"])):
+            value = flat.take(tables["feature"].take(at) + first)
+            at = tables["left"].take(at) + (value > tables["split"].take(at))
+        out[start : start + block] = tables["path"].take(at).mean(axis=1)
+    return out
 
 
 def score_column(spark: SparkSession, forest: Forest) -> Column:
@@ -184,12 +183,8 @@ def score_column(spark: SparkSession, forest: Forest) -> Column:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         tables = shared.value
         for batch in batches:
-            values = batch.to_numpy(dtype=float)
-            parts = [
-                _depths(tables, values[start : start + 4096]) for start in range(0, len(values), 4096)
-            ]
-            depths = np.concatenate(parts) if parts else np.zeros(0)
-            yield pd.Series(-np.power(2.0, -depths / expected))
+            paths = _mean_paths(tables, batch.to_numpy(dtype=float))
+            yield pd.Series(-np.power(2.0, -paths / expected))
 
     return score(F.struct(*[_scaled(f, forest.scaling).alias(f) for f in forest.features]))
 
@@ -218,8 +213,10 @@ def fit(
         out.insert(0, "tree", tree)
         return out
 
-    drawn = _samples(df, rows, ids, features, scaling, trees, size, seed)
-    nodes = drawn.select("tree", "_rank", *names).groupBy("tree").applyInPandas(build, NODES).toPandas()
+    drawn = _samples(df, rows, ids, features, scaling, trees, size, seed).select("tree", "_rank", *names)
+    # A fixed number of partitions: the samples are small, and would otherwise be merged into one task.
+    spread = drawn.repartition(min(trees, df.sparkSession.sparkContext.defaultParallelism), "tree")
+    nodes = spread.groupBy("tree").applyInPandas(build, NODES).toPandas()
     forest = Forest(features, scaling, size, contamination, seed, nodes)
     # One pass scores all rows; threshold and extremes are then read from the stored scores.
     scores = write_and_read(df.select(score_column(df.sparkSession, forest).alias("score")), "scores")

@@ -22,19 +22,29 @@ FIELDS = {
 
 def parse_lines(lines: DataFrame, column: str = "line", fields: dict[str, str] = FIELDS) -> DataFrame:
     """Log records of text lines: the whole line as JSON, else the record inside it, else dropped."""
+    # All fields are read as text first: a value of the wrong type must not spoil its record.
+    shape = ", ".join([*[f"{name} string" for name in fields], "_bad string"])
+    options = {"columnNameOfCorruptRecord": "_bad"}
+
+    def parse(text):
+        record = F.from_json(text, shape, options)
+        empty = F.rlike(text, F.lit(r"^\{\s*\}$"))
+        return F.when(F.startswith(text, F.lit("{")) & record["_bad"].isNull() & ~empty, record)
+
     text = F.trim(F.col(column))
-    whole = F.try_parse_json(text)
-    inside = F.try_parse_json(F.regexp_extract(F.col(column), RECORD_PATTERN, 1))
-    record = F.coalesce(whole, inside)
-    parsed = lines.withColumn("_record", record).filter(
-        F.col("_record").isNotNull() & F.schema_of_variant("_record").startswith("OBJECT<")
-        & (F.to_json("_record") != "{}")
+    inside = F.regexp_extract(F.col(column), RECORD_PATTERN, 1)
+    # A one-element list instead of a filter: a filter would be pushed below and parse twice.
+    found = lines.withColumn("_r", F.explode(F.array(F.coalesce(parse(text), parse(inside))))).filter(
+        F.col("_r").isNotNull()
     )
-    taken = {name: F.try_variant_get("_record", f"$.{name}", kind) for name, kind in fields.items()}
-    if "timestamp" in taken:
-        taken["timestamp"] = F.try_to_timestamp(taken["timestamp"])
+    taken = {
+        name: F.try_to_timestamp(F.col("_r")[name]) if name == "timestamp"
+        else F.col("_r")[name] if kind == "string"
+        else F.col("_r")[name].try_cast(kind)
+        for name, kind in fields.items()
+    }
     keep = [c for c in lines.columns if c != column and c not in fields]
-    return parsed.select(*keep, *[value.alias(name) for name, value in taken.items()])
+    return found.select(*keep, *[value.alias(name) for name, value in taken.items()])
 
 
 def level_rank(level: str = "level"):

@@ -154,8 +154,8 @@ def batch_summary(df: DataFrame, contract: Contract) -> DataFrame:
 
 def split_valid(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """Rows without errors, and rows with errors together with what is wrong."""
-    judged = ct.with_verdicts(df, contract).drop("warnings", "infos")
-    return judged.filter(F.size("errors") == 0).drop("errors"), judged.filter(F.size("errors") > 0)
+    bad = ct.has_errors(df, contract)
+    return df.filter(~bad), ct.with_verdicts(df.filter(bad), contract, infos=False).drop("warnings")
 
 
 def contract_timeliness(df: DataFrame, as_of) -> Column:
