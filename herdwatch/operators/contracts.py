@@ -178,10 +178,11 @@ def severity_code(rule: ColumnRule, kind: str) -> Column:
     found = verdicts(rule, kind)
     if all(severity != WARNING for _, severity, _ in found):
         # Nothing but errors: one flat condition keeps the generated code small.
+        null, when_null, _ = found[0]
         bad = F.lit(False)
-        for condition, severity, _ in found:
-            if severity == ERROR:
-                bad = bad | condition
+        for condition, _, _ in found[1:]:
+            bad = bad | condition
+        bad = (null | bad) if when_null == ERROR else (~null & bad)
         return F.when(bad, 2).otherwise(0)
     code = {ERROR: 2, WARNING: 1, "": 0}
     return _first(found, lambda severity, _: F.lit(code[severity]), F.lit(0))

@@ -104,7 +104,12 @@ def rule_results(
             _row(rule.name, n == 0, F.lit(rule.severity), n,
                  F.when(n > 0, F.format_string(rule.message, n)).otherwise("passed"))
         )
-    if primary_key:
+    lost = [c for c in primary_key if c not in df.columns]
+    if lost:
+        rows.append(
+            _row("duplicate_primary_key", F.lit(True), F.lit(INFO), F.lit(0), F.lit(f"Skipped - missing columns: {lost}"))
+        )
+    elif primary_key:
         repeated = duplicates(df, primary_key).select("duplicate_rows").scalar()
         rows.append(
             _row("duplicate_primary_key", repeated == 0, F.lit(ERROR), repeated,
