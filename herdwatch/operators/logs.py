@@ -87,39 +87,37 @@ def recent_logs(logs: DataFrame, count: int = 10, level: str | None = None, tie:
 def log_summary(logs: DataFrame, as_of=None, hours: int | None = None, last: int = 5, tie: str = "event_id") -> DataFrame:
     """Section, key and value: total, count per level, loggers, first and last time, last messages."""
     rows = last_hours(logs, as_of, hours)
-    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    totals = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("total").alias("section"), F.lit("total_logs").alias("key"),
-                         F.col("n").cast("string").alias("value")),
-                F.struct(F.lit("time_range").alias("section"), F.lit("first").alias("key"),
-                         F.date_format("lo", stamp).alias("value")),
-                F.struct(F.lit("time_range").alias("section"), F.lit("last").alias("key"),
-                         F.date_format("hi", stamp).alias("value")),
-            )
-        )
-    )
+    # One pass over the log leaves a row per level and logger; the rest is counted from those.
     counted = (
-        rows.select(
-            F.coalesce("level", F.lit("UNKNOWN")).alias("_level"),
-            F.coalesce("logger", F.lit("UNKNOWN")).alias("_logger"),
+        rows.groupBy(
+            F.coalesce("level", F.lit("UNKNOWN")).alias("level"), F.coalesce("logger", F.lit("UNKNOWN")).alias("logger")
         )
-        .groupBy("_level", "_logger")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    )
+    sets = [[F.col("level")], [F.col("logger")], []]
+    sums = counted.groupingSets(sets, "level", "logger").agg(
+        F.grouping_id().alias("_g"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
     )
-    levels = counted.groupBy("_level").agg(F.sum("n").alias("n")).select(
-        F.lit("level_distribution").alias("section"), F.col("_level").alias("key"), F.col("n").cast("string").alias("value")
+
+    def line(section: str, key, value):
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value"))
+
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    by_level = F.array(line("level_distribution", F.col("level"), F.col("n")))
+    by_logger = F.array(line("unique_loggers", F.col("logger"), F.lit(1)))
+    total = F.array(
+        line("total", F.lit("total_logs"), F.col("n")),
+        line("time_range", F.lit("first"), F.date_format("lo", stamp)),
+        line("time_range", F.lit("last"), F.date_format("hi", stamp)),
     )
-    loggers = counted.select("_logger").distinct().select(
-        F.lit("unique_loggers").alias("section"), F.col("_logger").alias("key"), F.lit("1").alias("value")
+    report = sums.select(
+        F.inline(F.when(F.col("_g") == 1, by_level).when(F.col("_g") == 2, by_logger).otherwise(total))
     )
     newest = newest_first(rows.select("timestamp", tie, "message"), "timestamp", tie, last).select(
         F.lit("recent_messages").alias("section"), F.col(tie).cast("string").alias("key"), F.col("message").alias("value")
     )
-    return totals.unionByName(levels).unionByName(loggers).unionByName(newest)
+    return report.unionByName(newest)
 
 
 def errors_by(logs: DataFrame, group_by: str = "message", as_of=None, hours: int | None = None) -> DataFrame:

@@ -60,9 +60,21 @@ def type_counts(df: DataFrame) -> DataFrame:
     return df.filter(F.col("animal_type").isNotNull()).groupBy("animal_type").agg(F.count("*").alias("records"))
 
 
-def completeness(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
-    """Share of non-null cells per column and over all (column '*'), in one pass."""
-    counts = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(f"_c_{c}") for c in df.columns])
+def cell_counts(df: DataFrame) -> DataFrame:
+    """Rows, non-null and valid cells per column, newest date: one row from one pass."""
+    return df.agg(
+        F.count("*").alias("_n"),
+        F.max("date").alias("_latest"),
+        *[F.count(c).alias(f"_c_{c}") for c in df.columns],
+        *[_valid(c).alias(f"_v_{c}") for c in df.columns],
+    )
+
+
+def completeness(
+    df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS, counts: DataFrame | None = None
+) -> DataFrame:
+    """Share of non-null cells per column and over all (column '*')."""
+    counts = cell_counts(df) if counts is None else counts
     n = F.col("_n")
 
     def row(name: str, present: Column, cells: Column, critical: bool) -> Column:
@@ -80,9 +92,9 @@ def completeness(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> D
     return counts.select(F.inline(F.array(*rows)))
 
 
-def validity(df: DataFrame) -> DataFrame:
-    """Share of valid cells per column and over all (column '*'), in one pass."""
-    counts = df.agg(F.count("*").alias("_n"), *[_valid(c).alias(f"_v_{c}") for c in df.columns])
+def validity(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Share of valid cells per column and over all (column '*')."""
+    counts = cell_counts(df) if counts is None else counts
     n = F.col("_n")
 
     def row(name: str, valid: Column, cells: Column, ranged: bool) -> Column:
@@ -168,12 +180,14 @@ def frequency_score(mean_days: Column) -> Column:
     )
 
 
-def timeliness(df: DataFrame, as_of, max_rows: int | None = None) -> DataFrame:
+def timeliness(
+    df: DataFrame, as_of, max_rows: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Age of the newest reading, update frequency, and the score from both: one row."""
     mean_days = update_frequency(df, max_rows).select("mean_days_between").scalar()
+    newest = df.agg(F.max("date").alias("latest")) if counts is None else counts.select(F.col("_latest").alias("latest"))
     return (
-        df.agg(F.max("date").alias("latest"))
-        .select(
+        newest.select(
             F.date_format("latest", "yyyy-MM-dd").alias("latest_date"),
             whole_days_between(F.col("latest"), moment(as_of)).alias("days_old"),
             mean_days.alias("mean_days_between"),
@@ -194,21 +208,23 @@ def rating(score: Column) -> list[Column]:
 
 
 def measures(
-    df: DataFrame, as_of, required: Sequence[str] = REQUIRED_COLUMNS, max_rows: int | None = None
+    df: DataFrame, as_of, required: Sequence[str] = REQUIRED_COLUMNS, max_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """All dimensions and the quality score in one row; an empty table scores zero."""
-    cells = F.count("*") * len(df.columns)
+    """All dimensions and the quality score in one row; an empty table scores zero.
+
+    Reads the table three times at most: cells, duplicates, gaps; each pass reads only its columns.
+    """
+    counts = cell_counts(df) if counts is None else counts
+    n = F.col("_n")
+    cells = n * len(df.columns)
     dup = duplicates(df).select(F.struct("*")).scalar()
-    time = timeliness(df, as_of, max_rows).select(F.struct("*")).scalar()
-    base = df.agg(
-        F.count("*").alias("total_records"),
-        _percent(sum((F.count(c) for c in df.columns), F.lit(0)), cells).alias("completeness"),
-        _percent(sum((_valid(c) for c in df.columns), F.lit(0)), cells).alias("validity"),
-        *[
-            _percent(F.count("*") - F.count(c), F.count("*")).alias(f"missing_{c}_pct")
-            for c in required
-            if c in df.columns
-        ],
+    time = timeliness(df, as_of, max_rows, counts).select(F.struct("*")).scalar()
+    base = counts.select(
+        n.alias("total_records"),
+        _percent(sum((F.col(f"_c_{c}") for c in df.columns), F.lit(0)), cells).alias("completeness"),
+        _percent(sum((F.col(f"_v_{c}") for c in df.columns), F.lit(0)), cells).alias("validity"),
+        *[_percent(n - F.col(f"_c_{c}"), n).alias(f"missing_{c}_pct") for c in required if c in df.columns],
     )
     empty = F.col("total_records") == 0
     full = base.withColumns(
@@ -354,15 +370,16 @@ def quick_check(df: DataFrame, as_of, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def analyze(df: DataFrame, as_of, max_rows: int | None = None) -> dict[str, DataFrame]:
-    """The whole analysis as tables. The one-row measures are computed once and kept."""
-    measured = materialize(measures(df, as_of, max_rows=max_rows))
+    """The whole analysis as tables. Counts and measures, one row each, are computed once and kept."""
+    counts = materialize(cell_counts(df))
+    measured = materialize(measures(df, as_of, max_rows=max_rows, counts=counts))
     return {
         "basic_stats": basic_stats(df, max_rows),
         "type_counts": type_counts(df),
-        "completeness": completeness(df),
-        "validity": validity(df),
+        "completeness": completeness(df, counts=counts),
+        "validity": validity(df, counts=counts),
         "duplicates": duplicates(df),
-        "timeliness": timeliness(df, as_of, max_rows),
+        "timeliness": timeliness(df, as_of, max_rows, counts),
         "measures": measured,
         "score": score(measured),
         "issues": issues(measured),
@@ -411,3 +428,13 @@ def text_report(measured: DataFrame) -> DataFrame:
                      F.format_string("[%s] %s", F.upper("priority"), "recommendation"))
         )
     )
+
+
+def html_report(measured: DataFrame) -> DataFrame:
+    """The quality report as HTML lines: headings and list entries."""
+    text = text_report(measured)
+    safe = F.replace(F.replace(F.replace("line", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return text.withColumn(
+        "line", F.when(F.col("item") == 0, F.concat(F.lit("<h2>"), safe, F.lit("</h2>"))).otherwise(
+            F.concat(F.lit("<p>"), safe, F.lit("</p>")))
+    )

@@ -112,32 +112,27 @@ def daily_advice(anomalies: Column) -> Column:
 
 def daily_report(readings: DataFrame, alerts: DataFrame, as_of, recent_alerts: int = 5) -> DataFrame:
     """Section, key and value: totals, animals per type, newest alerts, advice."""
-    totals = readings.agg(
-        F.count_distinct("tag_id").alias("a"), F.count("*").alias("r"), F.count_distinct("farm_id").alias("f"),
-        F.count_if("is_anomaly").alias("n"),
-    )
-    pairs = F.array(
-        *[
-            F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), value.alias("value"))
-            for section, key, value in (
-                ("summary", "total_animals", F.col("a").cast("string")),
-                ("summary", "total_records", F.col("r").cast("string")),
-                ("summary", "farms_monitored", F.col("f").cast("string")),
-                ("anomalies", "anomaly_count", F.col("n").cast("string")),
-                ("anomalies", "anomaly_rate", F.format_string("%.1f%%", F.col("n") / F.col("r") * 100)),
-                ("recommendations", "advice", daily_advice(F.col("n"))),
-            )
-        ]
+    # One pass gives the totals and the animals per type.
+    counted = readings.rollup("animal_type").agg(
+        F.grouping("animal_type").alias("_all"), F.count_distinct("tag_id").alias("a"), F.count("*").alias("r"),
+        F.count_distinct("farm_id").alias("f"), F.count_if("is_anomaly").alias("n"),
     )
-    by_type = (
-        readings.groupBy("animal_type")
-        .agg(F.count_distinct("tag_id").alias("n"))
-        .select(
-            F.lit("animals_by_type").alias("section"),
-            F.initcap("animal_type").alias("key"),
-            F.col("n").cast("string").alias("value"),
+
+    def pair(section: str, key: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value")
         )
+
+    totals = F.array(
+        pair("summary", F.lit("total_animals"), F.col("a")),
+        pair("summary", F.lit("total_records"), F.col("r")),
+        pair("summary", F.lit("farms_monitored"), F.col("f")),
+        pair("anomalies", F.lit("anomaly_count"), F.col("n")),
+        pair("anomalies", F.lit("anomaly_rate"), F.format_string("%.1f%%", F.col("n") / F.col("r") * 100)),
+        pair("recommendations", F.lit("advice"), daily_advice(F.col("n"))),
     )
+    one_type = F.array(pair("animals_by_type", F.initcap("animal_type"), F.col("a")))
+    figures = counted.select(F.inline(F.when(F.col("_all") == 1, totals).otherwise(one_type)))
     newest = newest_first(
         alerts.filter(F.col("created_at") <= moment(as_of)), "created_at", "id", recent_alerts
     ).select(
@@ -148,7 +143,7 @@ def daily_report(readings: DataFrame, alerts: DataFrame, as_of, recent_alerts: i
             F.date_format("created_at", "yyyy-MM-dd"),
         ).alias("value"),
     )
-    return totals.select(F.inline(pairs)).unionByName(by_type).unionByName(newest)
+    return figures.unionByName(newest)
 
 
 # Marks of the severities in the markdown report.
@@ -257,3 +252,73 @@ def label_type(md: bool) -> Column:
     if md:
         return F.concat(F.lit("- **"), F.initcap("animal_type"), F.lit(":** "), F.col("n").cast("string"))
     return F.concat(F.lit("  "), F.initcap("animal_type"), F.lit(": "), F.col("n").cast("string"))
+
+
+def html_report(
+    readings: DataFrame, clusters: DataFrame, title: str = "Herd Health Monitoring Report", max_rows: int | None = None
+) -> DataFrame:
+    """The same figures as an HTML page, as lines (section, item, line_no, line); nothing is collected.
+
+    Percentages divide records by animals, as the report always did.
+    """
+    counts = materialize(
+        readings.rollup("animal_type").agg(
+            F.grouping("animal_type").alias("_all"), F.count_distinct("tag_id").alias("a"),
+            F.count("*").alias("r"), F.count_if("is_anomaly").alias("n"),
+        )
+    )
+    clusters = materialize(clusters)
+    found = clusters.agg(F.count("*").alias("c")).scalar()
+    total = counts.filter("_all = 1")
+    animals = total.select("a").scalar()
+
+    def lines(df: DataFrame, section: int, item: Column, texts: list[Column]) -> DataFrame:
+        return df.select(
+            F.lit(section).alias("section"), item.cast("bigint").alias("item"),
+            F.posexplode(F.array(*texts)).alias("line_no", "line"),
+        )
+
+    def box(name: str, value: Column) -> Column:
+        return F.format_string(f'<div class="stat-box"><h3>{name}</h3><p>%d</p></div>', value)
+
+    def row(*cells: Column) -> Column:
+        joined = F.concat_ws("</td><td>", *[F.coalesce(c.cast("string"), F.lit("Unknown")) for c in cells])
+        return F.concat(F.lit("<tr><td>"), joined, F.lit("</td></tr>"))
+
+    def header(*names: str) -> Column:
+        return F.lit("<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
+
+    head = lines(
+        total, 0, F.lit(0),
+        [
+            F.lit(f"<!DOCTYPE html><html><head><title>{title}</title></head><body><h1>{title}</h1>"),
+            F.lit("<h2>Summary Statistics</h2>"),
+            box("Animals Monitored", F.col("a")), box("Health Records", F.col("r")),
+            box("Anomalies Detected", F.col("n")), box("Outbreak Clusters", found),
+            F.lit("<h2>Animal Distribution</h2>"), header("Animal Type", "Count", "Percentage"),
+        ],
+    )
+    kinds = number_rows(
+        counts.filter("_all = 0 AND animal_type IS NOT NULL").select("animal_type", "r"), ["animal_type"], "_i",
+        max_rows=max_rows,
+    )
+    share = F.when(animals > 0, F.col("r") / animals * 100).otherwise(0.0)
+    per_type = lines(
+        kinds, 1, F.col("_i"), [row(F.initcap("animal_type"), F.col("r"), F.format_string("%.1f%%", share))]
+    )
+    middle = lines(
+        total, 2, F.lit(0),
+        [
+            F.lit("</table><h2>Outbreak Clusters</h2>"),
+            F.when(found > 0, header("Farm ID", "Start Date", "Affected Animals", "Severity", "Metrics Affected"))
+            .otherwise("<table><tr><td>No outbreak clusters detected during this period.</td></tr>"),
+        ],
+    )
+    listed = F.concat_ws(", ", "metrics_affected") if "metrics_affected" in clusters.columns else F.lit("")
+    per_cluster = lines(
+        number_rows(clusters, ["start_date", "farm_id"], "_i", max_rows=max_rows), 3, F.col("_i"),
+        [row(F.col("farm_id"), F.date_format("start_date", "yyyy-MM-dd"), F.col("affected_animals"),
+             F.upper("severity"), listed)],
+    )
+    tail = lines(total, 4, F.lit(0), [F.lit("</table></body></html>")])
+    return head.unionByName(per_type).unionByName(middle).unionByName(per_cluster).unionByName(tail)

@@ -171,6 +171,33 @@ def summary_report(spark, sf_dir):
     return reports.summary_report(readings, found).drop("line_no")
 
 
+@query(
+    v.with_views(
+        "livestock metrics_raw",
+        f"""{FLAGGED}, {CLUSTER_SQL},
+types AS (SELECT animal_type, count(*) AS r, row_number() OVER (ORDER BY animal_type) - 1 AS i
+          FROM enriched WHERE animal_type IS NOT NULL GROUP BY animal_type),
+numbered AS (SELECT *, row_number() OVER (ORDER BY start_date, farm_id) - 1 AS i,
+                    CASE WHEN affected_animals >= 10 OR avg_anomaly_score >= 7 THEN 'CRITICAL'
+                         WHEN affected_animals >= 5 OR avg_anomaly_score >= 5 THEN 'HIGH'
+                         WHEN affected_animals >= 3 OR avg_anomaly_score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+             FROM clusters)
+SELECT 1 AS section, i AS item, '<tr><td>' || upper(animal_type[1]) || animal_type[2:] || '</td><td>' || r
+  || '</td><td>' || printf('%.1f%%', r * 100e0 / (SELECT count(DISTINCT tag_id) FROM enriched)) || '</td></tr>' AS line
+FROM types
+UNION ALL SELECT 3, i, '<tr><td>' || farm_id || '</td><td>' || {day_text("start_date")} || '</td><td>'
+  || affected_animals || '</td><td>' || severity || '</td><td>' || replace(metrics_affected, ',', ', ') || '</td></tr>'
+FROM numbered""",
+    )
+)
+def html_report_tables(spark, sf_dir):
+    from ..operators import clusters as cl
+
+    readings = flagged(spark, sf_dir)
+    page = reports.html_report(readings, cl.with_severity(cl.detect_clusters(readings)))
+    return page.filter("section IN (1, 3)").drop("line_no")
+
+
 # Listings
 @query(
     v.with_views(

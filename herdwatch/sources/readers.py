@@ -142,3 +142,8 @@ def latest_snapshot(spark: SparkSession, path: str, kind: str) -> DataFrame | No
         raise
     newest = all_of_them.agg(F.max("snapshot_ts").alias("t")).first()["t"]
     return all_of_them.filter(F.col("snapshot_ts") == newest).drop("snapshot_ts")
+
+
+def load_report(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of a report stored by ``writers.save_report`` (small, so the shape is inferred)."""
+    return {name: spark.read.json(f"{path}/{name}") for name in names}
