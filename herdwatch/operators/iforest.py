@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_and_read
 from .clusters import detect_clusters
-from .order_stats import quantile_columns, ranked_values
+from .order_stats import quantiles
 
 NODES = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
 EULER = 0.5772156649015329
@@ -220,12 +220,9 @@ def fit(
     forest = Forest(features, scaling, size, contamination, seed, nodes)
     # One pass scores all rows; threshold and extremes are then read from the stored scores.
     scores = write_and_read(df.select(score_column(df.sparkSession, forest).alias("score")), "scores")
-    found = (
-        ranked_values(scores, "score", max_rows=max_rows)
-        .agg(*quantile_columns({"offset": contamination}), F.min("_value").alias("lo"), F.max("_value").alias("hi"))
-        .first()
-    )
-    return replace(forest, offset=found["offset"], lowest=found["lo"], highest=found["hi"])
+    ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    offset = quantiles(scores, "score", {"offset": contamination}, max_rows=max_rows).first()["offset"]
+    return replace(forest, offset=offset, lowest=ends["lo"], highest=ends["hi"])
 
 
 def _add_results(df: DataFrame, forest: Forest, low: Column, high: Column, reach: dict[str, Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import LOG_LEVELS
 from ..functions.scalars import moment, ranked
 from .filters import newest_first
-from .order_stats import _at, ranked_values
+from .order_stats import nearest_rank
 
 # Fixed value: where a JSON record starts inside a line with other output.
 RECORD_PATTERN = r'(\{"timestamp".*\})'
@@ -138,16 +138,17 @@ def performance(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Count, mean, extremes and 95th percentile (value at rank floor(0.95 n)) per operation."""
-    timed = last_hours(logs, as_of, hours).filter(F.col("operation").isNotNull())
-    ranked_ = ranked_values(timed, "duration_ms", keys, max_rows)
-    n = F.max("_n")
-    return ranked_.groupBy(*keys).agg(
-        n.alias("count"),
-        (F.sum(F.col("_value") * F.col("_c")) / n).alias("avg_ms"),
-        F.min("_value").alias("min_ms"),
-        F.max("_value").alias("max_ms"),
-        _at(F.floor(F.col("_n") * F.lit(0.95))).alias("p95_ms"),
+    timed = last_hours(logs, as_of, hours).filter(
+        F.col("operation").isNotNull() & F.col("duration_ms").isNotNull()
     )
+    figures = timed.groupBy(*keys).agg(
+        F.count("*").alias("count"),
+        F.avg("duration_ms").alias("avg_ms"),
+        F.min("duration_ms").alias("min_ms"),
+        F.max("duration_ms").alias("max_ms"),
+    )
+    # Both sides hold one row per operation.
+    return figures.join(nearest_rank(timed, "duration_ms", 0.95, keys, "p95_ms", max_rows), [*keys])
 
 
 def slowest(logs: DataFrame, as_of=None, hours: int | None = None, limit: int = 5) -> DataFrame:

@@ -15,7 +15,7 @@ from ..constants import (
 )
 from ..functions.scalars import band, moment, ranked, whole_days_between
 from ..session import materialize
-from .order_stats import quantile_columns, ranked_values
+from .order_stats import quantiles
 from .skew import with_previous_rows
 
 KEYS = ("tag_id", "date")
@@ -36,13 +36,13 @@ def _valid(column: str) -> Column:
 def basic_stats(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Rows, animals, first and last date, span in days, and readings per animal: one row."""
     sizes = df.filter(F.col("tag_id").isNotNull()).groupBy("tag_id").agg(F.count("*").alias("size"))
-    groups = ranked_values(sizes, "size", max_rows=max_rows).agg(
-        F.sum("_c").alias("unique_animals"),
-        F.min("_value").alias("records_min"),
-        F.max("_value").alias("records_max"),
-        (F.sum(F.col("_value") * F.col("_c")) / F.sum("_c")).alias("records_mean"),
-        *quantile_columns({"records_median": 0.5}),
-    )
+    median = quantiles(sizes, "size", {"records_median": 0.5}, max_rows=max_rows).scalar()
+    groups = sizes.agg(
+        F.count("*").alias("unique_animals"),
+        F.min("size").alias("records_min"),
+        F.max("size").alias("records_max"),
+        F.avg("size").alias("records_mean"),
+    ).withColumn("records_median", median)
     g = groups.select(F.struct("*")).scalar()
     return df.agg(
         F.count("*").alias("total_records"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
@@ -159,11 +159,11 @@ def update_gaps(df: DataFrame, hot_key_rows: int | None = None) -> DataFrame:
 
 def update_frequency(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Mean and median over animals of their mean gap; consistent up to 3 days. One row."""
-    gaps = ranked_values(update_gaps(df, max_rows), "gap_days", max_rows=max_rows)
-    return gaps.agg(
-        (F.sum(F.col("_value") * F.col("_c")) / F.sum("_c")).alias("mean_days_between"),
-        *quantile_columns({"median_days_between": 0.5}),
-    ).withColumn("consistent", F.col("mean_days_between") <= 3)
+    gaps = update_gaps(df, max_rows)
+    median = quantiles(gaps, "gap_days", {"median_days_between": 0.5}, max_rows=max_rows).scalar()
+    return gaps.agg(F.avg("gap_days").alias("mean_days_between")).select(
+        "mean_days_between", median.alias("median_days_between"), (F.col("mean_days_between") <= 3).alias("consistent")
+    )
 
 
 def recency_score(days_old: Column) -> Column:
@@ -184,7 +184,7 @@ def timeliness(
     df: DataFrame, as_of, max_rows: int | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
     """Age of the newest reading, update frequency, and the score from both: one row."""
-    mean_days = update_frequency(df, max_rows).select("mean_days_between").scalar()
+    mean_days = update_gaps(df, max_rows).agg(F.avg("gap_days")).scalar()
     newest = df.agg(F.max("date").alias("latest")) if counts is None else counts.select(F.col("_latest").alias("latest"))
     return (
         newest.select(

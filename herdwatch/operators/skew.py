@@ -205,37 +205,19 @@ def with_nearest_values(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, into: str, total: str,
-    max_rows: int | None = None, group_first: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, into: str, max_rows: int | None = None
 ) -> DataFrame:
-    """Add the running sum of ``weight`` within each key (``into``) and the key's ``total``.
-
-    With ``group_first`` rows alike in keys and order are added up before anything is sorted,
-    so a value that fills a third of the table becomes one row per map task.
-    """
+    """Add the running sum of ``weight`` within each key, in order, as column ``into``."""
     keys, order = tuple(keys), tuple(order)
     chunked = add_chunks(df, keys, order, max_rows)
-    rows = df if chunked is None else chunked
-    extra = () if chunked is None else (CHUNK,)
-    if group_first:
-        rows = rows.groupBy(*keys, *extra, *order).agg(F.sum(weight).alias(weight))
     if chunked is None:
-        whole = W.partitionBy(*keys)
-        return rows.withColumn(into, F.sum(weight).over(whole.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-                               ).withColumn(total, F.sum(weight).over(whole))
-    sums = rows.groupBy(*keys, CHUNK).agg(F.sum(weight).alias("_sum"))
-    along = W.partitionBy(*keys).orderBy(CHUNK)
+        so_far = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(into, F.sum(weight).over(so_far))
+    sums = chunked.groupBy(*keys, CHUNK).agg(F.sum(weight).alias("_sum"))
+    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     ghosts = sums.select(
-        *keys, CHUNK,
-        F.coalesce(F.sum("_sum").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(weight),
-        F.sum("_sum").over(W.partitionBy(*keys)).alias(total),
-        F.lit(-1).alias(SIDE),
-    )
-    both = rows.withColumn(SIDE, F.lit(0)).unionByName(ghosts, allowMissingColumns=True)
-    part = W.partitionBy(*keys, CHUNK)
-    return (
-        both.withColumn(into, F.sum(weight).over(part.orderBy(SIDE, *order).rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn(total, F.max(total).over(part))
-        .filter(F.col(SIDE) == 0)
-        .drop(CHUNK, SIDE)
+        *keys, CHUNK, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(weight), F.lit(-1).alias(SIDE)
     )
+    both = chunked.withColumn(SIDE, F.lit(0)).unionByName(ghosts, allowMissingColumns=True)
+    so_far = W.partitionBy(*keys, CHUNK).orderBy(SIDE, *order).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(into, F.sum(weight).over(so_far)).filter(F.col(SIDE) == 0).drop(CHUNK, SIDE)
