@@ -12,6 +12,9 @@ from .skew import with_previous_rows
 
 # A spread below this is float noise on a constant window.
 ZERO_SPREAD = 1e-9
+# A score this close to the threshold equals it. Simple windows hit simple thresholds exactly:
+# one value among three equal ones has z = 1.5, which is not above 1.5.
+SAME_SCORE = 1e-9
 
 
 def zscore(value: Column, frame: WindowSpec) -> Column:
@@ -42,12 +45,12 @@ def rolling_zscore(
 
 
 def flag_scores(df: DataFrame, metrics: Sequence[str], threshold: float) -> DataFrame:
-    """Add the flag per metric, ``is_anomaly`` and ``anomaly_score`` from the z-scores."""
+    """Add the flag per metric (strictly above the threshold), ``is_anomaly`` and ``anomaly_score``."""
     present = [m for m in metrics if f"{m}_zscore" in df.columns]
     if not present:
         return df
     sizes = [F.abs(F.col(f"{m}_zscore")) for m in present]
-    flags = [F.coalesce(size > threshold, F.lit(False)) for size in sizes]
+    flags = [F.coalesce(size > threshold + SAME_SCORE, F.lit(False)) for size in sizes]
     any_flag = flags[0]
     for flag in flags[1:]:
         any_flag = any_flag | flag

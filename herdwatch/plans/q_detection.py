@@ -36,8 +36,8 @@ def _z(m: str) -> str:
 Z_SQL = f"""scored AS (
   SELECT *, {", ".join(_z(m) for m in METRICS)} FROM metrics_raw),
 flagged AS (
-  SELECT *, {", ".join(f"coalesce(abs({m}_zscore) > {THRESHOLD}e0, false) AS {m}_anomaly" for m in METRICS)},
-         {" OR ".join(f"coalesce(abs({m}_zscore) > {THRESHOLD}e0, false)" for m in METRICS)} AS is_anomaly,
+  SELECT *, {", ".join(f"coalesce(abs({m}_zscore) > {THRESHOLD}e0 + 1e-9, false) AS {m}_anomaly" for m in METRICS)},
+         {" OR ".join(f"coalesce(abs({m}_zscore) > {THRESHOLD}e0 + 1e-9, false)" for m in METRICS)} AS is_anomaly,
          greatest({", ".join(f"abs({m}_zscore)" for m in METRICS)}) AS anomaly_score
   FROM scored),
 enriched AS (

@@ -87,6 +87,12 @@ def test_zscore_values_and_threshold(spark):
         assert row["is_anomaly"] == (abs(z) > 1.5) and np.isclose(row["anomaly_score"], abs(z))
 
 
+def test_score_equal_to_the_threshold_is_not_above_it(spark):
+    for a, b in ((0.1, 0.7), (38.37, 40.11), (1 / 3, 2.9)):
+        got = detect.detect_statistical(sample(spark, [a, a, a, b]), ["temperature"], threshold=1.5).collect()
+        assert not any(r["is_anomaly"] for r in got) and max(r["anomaly_score"] or 0 for r in got) > 1.4999
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, None), (5.0, 5.0)], "a double, b double")
     for method, want in (("standard", [-1.224745, 0.0, 1.224745]), ("minmax", [0.0, 0.5, 1.0])):
