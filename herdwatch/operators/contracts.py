@@ -257,31 +257,57 @@ def has_errors(df: DataFrame, contract: Contract) -> Column:
     return bad
 
 
-def counts(df: DataFrame, contract: Contract) -> DataFrame:
-    """All counts of a contract in one row: rows, clean rows, and per column nulls, errors, warnings."""
+def can_warn(rule: ColumnRule, kind: str) -> bool:
+    return any(severity == WARNING for _, severity, _ in verdicts(rule, kind))
+
+
+def counts(
+    df: DataFrame, contract: Contract, also: dict[str, Column] | None = None, newest: str | None = None
+) -> DataFrame:
+    """All counts of a contract in one row: rows, clean rows, and per column nulls, errors, warnings.
+
+    ``also`` names further conditions to count in the same pass, ``newest`` a column whose
+    maximum is wanted.
+    """
     kinds = dict(df.dtypes)
     present = [rule for rule in contract.columns if rule.name in kinds]
     lacking = _required_missing(df, contract, kinds)
+    also = also or {}
     coded = df.select(
         *[severity_code(rule, kinds[rule.name]).alias(f"_s_{rule.name}") for rule in present],
         *[_is_null(rule.name, kinds[rule.name]).alias(f"_n_{rule.name}") for rule in present],
-        *[absent.alias(f"_q_{c}") for c, absent in lacking.items()],
+        *[condition.alias(name) for name, condition in also.items()],
+        *([F.col(newest).alias("_newest")] if newest else []),
     )
-    bad = F.lit(False)
-    for rule in present:
-        bad = bad | (F.col(f"_s_{rule.name}") == 2)
-    for c in lacking:
-        bad = bad | F.col(f"_q_{c}")
+    # A required column that exists is missing exactly where it is null.
+    required = {c: F.col(f"_n_{c}") if c in kinds and contract.column(c) else absent for c, absent in lacking.items()}
+    worst = F.greatest(F.lit(0), F.lit(0), *[F.col(f"_s_{rule.name}") for rule in present])
+    bad = worst == 2
+    for absent in required.values():
+        bad = bad | absent
     aggs = [F.count("*").alias("total_rows"), F.count_if(~bad).alias("valid_rows")]
     for rule in present:
         s = F.col(f"_s_{rule.name}")
         aggs += [
             F.count_if(f"_n_{rule.name}").alias(f"nulls_{rule.name}"),
             F.count_if(s == 2).alias(f"errors_{rule.name}"),
-            F.count_if(s == 1).alias(f"warnings_{rule.name}"),
         ]
-    aggs += [F.count_if(f"_q_{c}").alias(f"required_{c}") for c in lacking]
-    return coded.agg(*aggs)
+        if can_warn(rule, kinds[rule.name]):
+            aggs.append(F.count_if(s == 1).alias(f"warnings_{rule.name}"))
+    aggs += [F.count_if(name).alias(name) for name in also]
+    if newest:
+        aggs.append(F.max("_newest").alias("newest"))
+    counted = coded.agg(*aggs)
+    zero = F.lit(0).cast("long")
+    return counted.withColumns(
+        {
+            **{f"warnings_{r.name}": zero for r in present if not can_warn(r, kinds[r.name])},
+            **{
+                f"required_{c}": F.col(f"nulls_{c}") if c in kinds and contract.column(c) else F.col("total_rows")
+                for c in contract.required
+            },
+        }
+    )
 
 
 def column_stats(df: DataFrame, contract: Contract, counted: DataFrame | None = None) -> DataFrame:

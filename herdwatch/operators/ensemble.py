@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ENSEMBLE_THRESHOLD, ENSEMBLE_WEIGHTS, METRICS, DetectionSettings
@@ -72,20 +72,51 @@ def detect_ensemble_clusters(
     df: DataFrame, metrics: Sequence[str] = METRICS, *, window: str = "7 days", min_cluster_size: int = 3
 ) -> DataFrame:
     """Clusters by the combined flag and by the forest's flag, merged by farm and window."""
-    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    has_types = "animal_type" in df.columns
+
+    def figures(flag: str, score: str, tag: str) -> list:
+        on = F.col(flag)
+        types = F.when(on, F.col("animal_type")) if has_types else F.lit(None).cast("string")
+        return [
+            F.count_if(on).alias(f"rows_{tag}"),
+            F.count_distinct(F.when(on, F.col("tag_id"))).alias(f"animals_{tag}"),
+            F.avg(F.when(on, F.col(score))).alias(f"score_{tag}"),
+            F.array_sort(F.collect_set(types)).alias(f"types_{tag}"),
+        ]
+
+    shares = [m for m in metrics if f"{m}_if_contribution" in df.columns]
+    only_forest = df.withColumns(
+        {f"{m}_if_contribution": F.when(F.col("if_anomaly"), F.col(f"{m}_if_contribution")) for m in shares}
+    )
+    # Both kinds of cluster come from one pass over the flagged rows.
+    groups = (
+        only_forest.filter((F.col("is_anomaly") | F.col("if_anomaly")) & F.col("farm_id").isNotNull())
+        .groupBy("farm_id", F.window("date", window).alias("_w"))
+        .agg(
+            *figures("is_anomaly", "anomaly_score", "stat"),
+            *figures("if_anomaly", "if_anomaly_score", "forest"),
+            iforest.top_features(metrics, only_forest.columns).alias("_top"),
+        )
+    )
 
-    def shaped(found: DataFrame, method: str, features) -> DataFrame:
-        types = F.col("animal_types") if "animal_types" in found.columns else none
-        return found.withColumns(
-            {"animal_types": types, "detection_method": F.lit(method), "features": features}
+    def cluster(tag: str, method: str, features) -> Column:
+        return F.when(
+            F.col(f"rows_{tag}") >= min_cluster_size,
+            F.struct(
+                F.col(f"animals_{tag}").alias("affected_animals"),
+                F.col(f"score_{tag}").alias("avg_anomaly_score"),
+                F.col(f"types_{tag}").alias("animal_types"),
+                F.lit(method).alias("detection_method"),
+                features.alias("features"),
+            ),
         )
 
-    stat = shaped(detect_clusters(df, window=window, min_cluster_size=min_cluster_size, metrics=metrics), STAT, none)
-    forest = shaped(
-        iforest.detect_forest_clusters(df, metrics, window=window, min_cluster_size=min_cluster_size),
-        FOREST, F.col("features_contributing"),
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    found = groups.select(
+        "farm_id", F.col("_w.start").alias("start_date"), F.col("_w.end").alias("end_date"),
+        F.inline(F.array_compact(F.array(cluster("stat", STAT, none), cluster("forest", FOREST, F.col("_top"))))),
     )
-    return merge_clusters(stat, forest, min_cluster_size=min_cluster_size)
+    return merge_clusters(found, min_cluster_size=min_cluster_size)
 
 
 @runtime_checkable

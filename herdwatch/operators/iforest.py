@@ -186,7 +186,9 @@ def score_column(spark: SparkSession, forest: Forest) -> Column:
             paths = _mean_paths(tables, batch.to_numpy(dtype=float))
             yield pd.Series(-np.power(2.0, -paths / expected))
 
-    return score(F.struct(*[_scaled(f, forest.scaling).alias(f) for f in forest.features]))
+    # Marked so that a filter on the score is not pushed below it, which would score rows twice.
+    once = score.asNondeterministic()
+    return once(F.struct(*[_scaled(f, forest.scaling).alias(f) for f in forest.features]))
 
 
 def fit(
@@ -245,10 +247,9 @@ def _add_results(df: DataFrame, forest: Forest, low: Column, high: Column, reach
 
 def predict(df: DataFrame, forest: Forest) -> DataFrame:
     """Flag, score from 0 to 10 and contribution per feature for any table."""
-    score = score_column(df.sparkSession, forest)
-    seen = df.agg(
+    seen = df.withColumn("_score", score_column(df.sparkSession, forest)).agg(
         F.struct(
-            F.min(score).alias("lo"), F.max(score).alias("hi"),
+            F.min("_score").alias("lo"), F.max("_score").alias("hi"),
             *[F.max(F.abs(_scaled(f, forest.scaling))).alias(f"reach_{f}") for f in forest.features],
         ).alias("s")
     ).scalar()

@@ -246,8 +246,8 @@ def score(measured: DataFrame) -> DataFrame:
     return measured.select(*DQ_WEIGHTS, "quality_score", *rating(F.col("quality_score")))
 
 
-def issues(measured: DataFrame) -> DataFrame:
-    """One row per problem found: type, severity, message, column."""
+def _found(columns: Sequence[str]) -> Column:
+    """Array of (type, severity, message, column) over a row of measures."""
 
     def issue(when: Column, kind: str, severity: Column, message: Column, column: str | None = None) -> Column:
         return F.when(
@@ -277,7 +277,7 @@ def issues(measured: DataFrame) -> DataFrame:
                 F.format_string(f'Critical column "{name}" has %.1f%% missing values', f"missing_{name}_pct"), name,
             )
             for name in REQUIRED_COLUMNS
-            if f"missing_{name}_pct" in measured.columns
+            if f"missing_{name}_pct" in columns
         ],
         issue(
             some & (c("validity") < 90), "validity", level(c("validity") < 70),
@@ -292,7 +292,12 @@ def issues(measured: DataFrame) -> DataFrame:
             F.format_string("Data is %d days old", "days_old"),
         ),
     ]
-    return measured.select(F.inline(F.array_compact(F.array(*found))))
+    return F.array_compact(F.array(*found))
+
+
+def issues(measured: DataFrame) -> DataFrame:
+    """One row per problem found: type, severity, message, column."""
+    return measured.select(F.inline(_found(measured.columns)))
 
 
 def issues_of(found: DataFrame, severity: str | None = None) -> DataFrame:
@@ -301,35 +306,28 @@ def issues_of(found: DataFrame, severity: str | None = None) -> DataFrame:
 
 def recommendations(measured: DataFrame) -> DataFrame:
     """Advice per kind of issue plus one general line, most urgent first."""
-    found = issues(measured)
-    advice = F.lit(None).cast("string")
-    for kind, text in DQ_ADVICE.items():
-        advice = F.when(F.col("type") == kind, F.lit(text)).otherwise(advice)
-    specific = (
-        found.select(
-            F.col("type").alias("issue"), F.col("severity").alias("priority"), advice.alias("recommendation"),
-            F.col("message").alias("details"),
-        )
-        .filter(F.col("recommendation").isNotNull())
-        # A handful of rows: one per kind of issue. Keep the first in message order.
-        .groupBy("issue", "recommendation")
-        .agg(F.min(F.struct("details", "priority")).alias("_f"))
-        .select("issue", "_f.priority", "recommendation", "_f.details")
-    )
     quality = F.col("quality_score")
-    general = measured.filter("total_records > 0").select(
-        F.lit("general").alias("issue"),
-        band(quality, DQ_GENERAL_ADVICE, 1).alias("priority"),
-        band(quality, DQ_GENERAL_ADVICE, 2).alias("recommendation"),
-        F.format_string("Quality score: %.1f%%", quality).alias("details"),
+    shape = ("issue", "priority", "recommendation", "details")
+
+    def item(*values: Column) -> Column:
+        return F.struct(*[v.alias(name) for name, v in zip(shape, values)])
+
+    advice = {**DQ_ADVICE, "no_data": "Collect more data"}
+    texts = F.create_map(*[F.lit(x) for pair in advice.items() for x in pair])
+    specific = F.transform(
+        _found(measured.columns), lambda i: item(i["type"], i["severity"], texts[i["type"]], i["message"])
     )
-    nothing = measured.filter("total_records = 0").select(
-        F.lit("no_data").alias("issue"), F.lit("high").alias("priority"),
-        F.lit("Collect more data").alias("recommendation"), F.lit("").alias("details"),
+    general = item(
+        F.lit("general"), band(quality, DQ_GENERAL_ADVICE, 1), band(quality, DQ_GENERAL_ADVICE, 2),
+        F.format_string("Quality score: %.1f%%", quality),
     )
+    lines = F.concat(specific, F.when(F.col("total_records") > 0, F.array(general)).otherwise(F.array()))
+    # A handful of rows; of several alike the first one stays.
     return (
-        specific.unionByName(general)
-        .unionByName(nothing)
+        measured.select(F.posexplode(lines).alias("_at", "_l"))
+        .groupBy("_l.issue", "_l.recommendation")
+        .agg(F.min_by(F.struct("_l.priority", "_l.details"), "_at").alias("_f"))
+        .select("issue", "_f.priority", "recommendation", "_f.details")
         .orderBy(ranked(F.col("priority"), PRIORITY_RANK, 2), "issue", "recommendation")
     )
 

@@ -72,16 +72,14 @@ def _row(name: str, passed: Column, severity: Column, violations: Column, messag
     )
 
 
-def rule_results(
-    df: DataFrame, rules: Sequence[Rule] | None = None, primary_key: Sequence[str] = ()
-) -> DataFrame:
-    """One row per rule, all rules counted in one pass; the key check adds one shuffle by key.
+def _violations(df: DataFrame, rules: Sequence[Rule]) -> tuple[dict[str, Column], list[Column]]:
+    """Conditions to count, and one result per rule over a row that holds those counts.
 
     A rule whose columns are missing is skipped (passed, info). A rule that cannot be built
     counts as failed with an error.
     """
-    rules = registered_rules() if rules is None else list(rules)
-    aggs, rows = [F.count("*").alias("_n")], []
+    conditions: dict[str, Column] = {}
+    rows: list[Column] = []
     for i, rule in enumerate(rules):
         absent = [c for c in rule.columns if c not in df.columns]
         if absent:
@@ -98,25 +96,40 @@ def rule_results(
                 _row(rule.name, F.lit(False), F.lit(ERROR), F.lit(0), F.lit(f"Rule execution failed: {reason}"))
             )
             continue
-        aggs.append(F.count_if(violation).alias(f"_r{i}"))
+        conditions[f"_r{i}"] = violation
         n = F.col(f"_r{i}")
         rows.append(
             _row(rule.name, n == 0, F.lit(rule.severity), n,
                  F.when(n > 0, F.format_string(rule.message, n)).otherwise("passed"))
         )
+    return conditions, rows
+
+
+def _key_result(df: DataFrame, primary_key: Sequence[str]) -> list[Column]:
+    """The result of the key check, which takes a shuffle by key of its own."""
     lost = [c for c in primary_key if c not in df.columns]
+    if not primary_key:
+        return []
+    name = "duplicate_primary_key"
     if lost:
-        rows.append(
-            _row("duplicate_primary_key", F.lit(True), F.lit(INFO), F.lit(0), F.lit(f"Skipped - missing columns: {lost}"))
-        )
-    elif primary_key:
-        repeated = duplicates(df, primary_key).select("duplicate_rows").scalar()
-        rows.append(
-            _row("duplicate_primary_key", repeated == 0, F.lit(ERROR), repeated,
-                 F.when(repeated > 0, F.format_string("Found %d duplicate rows based on primary key", repeated))
-                 .otherwise("No duplicate primary keys found"))
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+        return [_row(name, F.lit(True), F.lit(INFO), F.lit(0), F.lit(f"Skipped - missing columns: {lost}"))]
+    n = duplicates(df, primary_key).select("duplicate_rows").scalar()
+    return [
+        _row(name, n == 0, F.lit(ERROR), n,
+             F.when(n > 0, F.format_string("Found %d duplicate rows based on primary key", n))
+             .otherwise("No duplicate primary keys found"))
+    ]
+
+
+def rule_results(
+    df: DataFrame, rules: Sequence[Rule] | None = None, primary_key: Sequence[str] = ()
+) -> DataFrame:
+    """One row per rule; all rules are counted in one pass."""
+    conditions, rows = _violations(df, registered_rules() if rules is None else list(rules))
+    counted = df.agg(
+        F.count("*").alias("_n"), *[F.count_if(violation).alias(name) for name, violation in conditions.items()]
+    )
+    return counted.select(F.inline(F.array(*rows, *_key_result(df, primary_key))))
 
 
 def rule_totals(results: DataFrame) -> DataFrame:
@@ -127,10 +140,33 @@ def rule_totals(results: DataFrame) -> DataFrame:
     )
 
 
+def _share_flags(df: DataFrame) -> dict[str, Column]:
+    """The contradictions the consistency score looks at."""
+    pairs = {"_sick": ("sick_animals", "total_animals"), "_dead": ("deceased_animals", "sick_animals")}
+    return {
+        name: F.col(of) > F.col(above)
+        for name, (of, above) in pairs.items()
+        if of in df.columns and above in df.columns
+    }
+
+
 def validate(df: DataFrame, contract: Contract, rules: Sequence[Rule] | None = None) -> dict[str, DataFrame]:
-    """Contract and rules together. The counts are computed once and kept; all tables are small."""
-    counted = materialize(ct.counts(df, contract))
-    results = materialize(rule_results(df, rules, contract.primary_key))
+    """Contract and rules together.
+
+    Cells, rules and the figures of the quality score come from one pass, the key check from
+    another; both are computed once and kept. All tables returned are small.
+    """
+    conditions, rows = _violations(df, registered_rules() if rules is None else list(rules))
+    present = {f"_p_{c}": F.col(c).isNotNull() for c in df.columns}
+    date = _date_column(df)
+    unreadable = {"_unreadable": F.col(date).isNotNull() & _as_time(df, date).isNull()} if date else {}
+    timed = df.withColumn("_time", _as_time(df, date)) if date else df
+    counted = materialize(
+        ct.counts(
+            timed, contract, {**conditions, **present, **unreadable, **_share_flags(df)}, "_time" if date else None
+        )
+    )
+    results = materialize(counted.select(F.inline(F.array(*rows, *_key_result(df, contract.primary_key)))))
     totals = rule_totals(results).select(F.struct("*")).scalar()
     summary = ct.summary(df, contract, counted)
     overall = summary.select(
@@ -144,6 +180,7 @@ def validate(df: DataFrame, contract: Contract, rules: Sequence[Rule] | None = N
         "summary": summary,
         "column_stats": ct.column_stats(df, contract, counted),
         "rules": results,
+        "counts": counted,
     }
 
 
@@ -163,51 +200,44 @@ def split_valid(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame
     return df.filter(~bad), ct.with_verdicts(df.filter(bad), contract, infos=False).drop("warnings")
 
 
-def contract_timeliness(df: DataFrame, as_of) -> Column:
-    """Aggregate: 1.0 / 0.8 / 0.5 / 0.2 by age in days of the newest row, 0.5 without a date."""
-    column = next((c for c in ("date", "timestamp") if c in df.columns), None)
-    if column is None:
-        return F.lit(0.5)
-    kind = dict(df.dtypes)[column]
-    when = F.try_to_timestamp(F.col(column)) if kind == "string" else F.col(column)
-    unreadable = F.count_if(F.col(column).isNotNull() & when.isNull()) > 0
-    age = whole_days_between(F.max(when), moment(as_of))
-    return (
-        F.when(unreadable | age.isNull(), 0.5)
-        .when(age <= 1, 1.0).when(age <= 3, 0.8).when(age <= 7, 0.5).otherwise(0.2)
-    )
+def _date_column(df: DataFrame) -> str | None:
+    return next((c for c in ("date", "timestamp") if c in df.columns), None)
+
+
+def _as_time(df: DataFrame, column: str) -> Column:
+    return F.try_to_timestamp(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
 
 
 def quality_report(
     df: DataFrame, contract: Contract, as_of, validated: dict[str, DataFrame] | None = None
 ) -> DataFrame:
-    """The five dimensions, the weighted score (3 places) and its grade: one row."""
+    """The five dimensions, the weighted score (3 places) and its grade: one row.
+
+    Everything is read from the tables of ``validate``; the data is not scanned again.
+    """
     validated = validated or validate(df, contract)
     overall = validated["overall"].select(F.struct("*")).scalar()
-    totals = validated["summary"].select(F.struct("*")).scalar()
-
-    def share(of: str, above: str) -> Column:
-        if of not in df.columns or above not in df.columns:
-            return F.lit(0.0)
-        return F.when(F.coalesce(F.bool_or(F.col(of) > F.col(above)), F.lit(False)), 0.2).otherwise(0.0)
-
-    rows = F.count("*")
-    present = sum((F.count(c) for c in df.columns), F.lit(0))
-    measured = df.agg(
+    rows = F.col("total_rows")
+    present = sum((F.col(f"_p_{c}") for c in df.columns), F.lit(0))
+    consistency = F.lit(1.0)
+    for flag in _share_flags(df):
+        consistency = consistency - F.when(F.col(flag) > 0, 0.2).otherwise(0.0)
+    timeliness = F.lit(0.5)
+    if _date_column(df):
+        age = whole_days_between(F.col("newest"), moment(as_of))
+        timeliness = (
+            F.when((F.col("_unreadable") > 0) | age.isNull(), 0.5)
+            .when(age <= 1, 1.0).when(age <= 3, 0.8).when(age <= 7, 0.5).otherwise(0.2)
+        )
+    measured = validated["counts"].select(
         rows.alias("rows"),
         F.when(rows > 0, present / (rows * len(df.columns))).otherwise(0.0).alias("completeness"),
-        F.greatest(
-            F.lit(0.0),
-            F.lit(1.0) - share("sick_animals", "total_animals") - share("deceased_animals", "sick_animals"),
-        ).alias("consistency"),
-        contract_timeliness(df, as_of).alias("timeliness"),
-    ).withColumns(
-        {
-            "accuracy": F.when(totals["total_rows"] > 0, totals["valid_rows"] / totals["total_rows"]).otherwise(0.0),
-            "validity": F.when(overall["is_valid"], 1.0).otherwise(0.0),
-            "schema_errors": overall["schema_errors"],
-            "rule_errors": overall["rule_errors"],
-        }
+        F.greatest(F.lit(0.0), consistency).alias("consistency"),
+        timeliness.alias("timeliness"),
+        F.when(rows > 0, F.col("valid_rows") / rows).otherwise(0.0).alias("accuracy"),
+        F.when(overall["is_valid"], 1.0).otherwise(0.0).alias("validity"),
+        overall["schema_errors"].alias("schema_errors"),
+        overall["rule_errors"].alias("rule_errors"),
     )
     score = sum((F.col(name) * weight for name, weight in CONTRACT_WEIGHTS.items()), F.lit(0.0))
     return measured.withColumns(

@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     # Split a hot key of a join even when the split costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Above this size the JVM does not compile a generated method; split code runs faster then.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Streaming state on disk with changelogs, so that it may outgrow executor memory.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
