@@ -7,7 +7,7 @@ any message; listing the issues is one projection and an explode.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,69 +103,77 @@ def _number(name: str, kind: str) -> Column:
     return F.col(name).try_cast("double")
 
 
-def verdicts(rule: ColumnRule, kind: str) -> list[tuple[Column, str, Column]]:
-    """What can be wrong with a value, in order; the first that applies is the verdict."""
+Message = Callable[[], Column]
+VALUE = object()  # stands for the value as text in a message
+
+
+def verdicts(rule: ColumnRule, kind: str) -> list[tuple[Column, str, Message]]:
+    """What can be wrong with a value, in order; the first that applies is the verdict.
+
+    Messages are functions, so that counting builds none.
+    """
     col, name = F.col(rule.name), rule.name
     text = col.cast("string")
     number = _number(name, kind)
     textual = kind == "string"
 
-    def says(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    def says(*parts) -> Message:
+        shown = text
+        return lambda: F.concat(*[shown if p is VALUE else F.lit(p) for p in parts])
 
-    out: list[tuple[Column, str, Column]] = []
+    out: list[tuple[Column, str, Message]] = []
     null = _is_null(name, kind)
     if not rule.nullable:
-        out.append((null, ERROR, F.lit(f"Column '{name}' cannot be null")))
+        out.append((null, ERROR, says(f"Column '{name}' cannot be null")))
     else:
-        out.append((null, "", F.lit("Null value allowed")))
+        out.append((null, "", says("Null value allowed")))
 
     if rule.kind in ("integer", "float") and kind != "boolean":
-        out.append((number.isNull(), ERROR, says(f"Column '{name}' type conversion failed: ", text)))
+        out.append((number.isNull(), ERROR, says(f"Column '{name}' type conversion failed: ", VALUE)))
     if rule.kind == "integer" and kind != "boolean":
-        out.append((number != F.floor(number), ERROR, says(f"Column '{name}' must be integer, got ", text)))
+        out.append((number != F.floor(number), ERROR, says(f"Column '{name}' must be integer, got ", VALUE)))
         if textual or kind in ("double", "float"):
             text = F.format_string("%d", number.cast("long"))
     if rule.kind == "boolean" and kind != "boolean":
         fits = F.lower(col).isin(*BOOLEAN_WORDS) if textual else F.lit(False)
-        out.append((~fits, ERROR, says(f"Column '{name}' must be boolean, got ", text)))
+        out.append((~fits, ERROR, says(f"Column '{name}' must be boolean, got ", VALUE)))
     if rule.kind == "datetime" and not kind.startswith(("timestamp", "date")):
         if textual:
             out.append(
-                (parse_date(col).isNull(), ERROR, says(f"Column '{name}' datetime format not recognized: ", text))
+                (parse_date(col).isNull(), ERROR, says(f"Column '{name}' datetime format not recognized: ", VALUE))
             )
         else:
-            out.append((F.lit(True), ERROR, says(f"Column '{name}' must be datetime, got ", text)))
+            out.append((F.lit(True), ERROR, says(f"Column '{name}' must be datetime, got ", VALUE)))
     if rule.kind in ("percentage", "temperature", "weight"):
-        out.append((number.isNull(), ERROR, says(f"Column '{name}' must be {rule.kind}, got ", text)))
+        out.append((number.isNull(), ERROR, says(f"Column '{name}' must be {rule.kind}, got ", VALUE)))
     if rule.kind == "percentage":
         out.append(
-            (~number.between(0, 100), ERROR, says(f"Column '{name}' must be between 0 and 100, got ", text))
+            (~number.between(0, 100), ERROR, says(f"Column '{name}' must be between 0 and 100, got ", VALUE))
         )
     if rule.kind == "temperature":
         out.append(
-            (~number.between(-50, 50), WARNING, says(f"Column '{name}' temperature unrealistic: ", text, "°C"))
+            (~number.between(-50, 50), WARNING, says(f"Column '{name}' temperature unrealistic: ", VALUE, "°C"))
         )
     if rule.kind == "weight":
-        out.append((number < 0, ERROR, says(f"Column '{name}' weight cannot be negative: ", text)))
+        out.append((number < 0, ERROR, says(f"Column '{name}' weight cannot be negative: ", VALUE)))
 
     if rule.min_value is not None:
         out.append(
-            (number < rule.min_value, ERROR, says(f"Column '{name}' value ", text, f" below minimum {rule.min_value}"))
+            (number < rule.min_value, ERROR, says(f"Column '{name}' value ", VALUE, f" below minimum {rule.min_value}"))
         )
     if rule.max_value is not None:
         out.append(
-            (number > rule.max_value, ERROR, says(f"Column '{name}' value ", text, f" above maximum {rule.max_value}"))
+            (number > rule.max_value, ERROR, says(f"Column '{name}' value ", VALUE, f" above maximum {rule.max_value}"))
         )
     if rule.allowed is not None:
-        out.append((~col.isin(*rule.allowed), ERROR, says(f"Column '{name}' value ", text, " not in allowed values")))
+        out.append((~col.isin(*rule.allowed), ERROR, says(f"Column '{name}' value ", VALUE, " not in allowed values")))
     if rule.pattern is not None and textual:
         # Anchored at the start only.
-        out.append((~F.rlike(col, F.lit(f"^(?:{rule.pattern})")), ERROR, F.lit(f"Column '{name}' value doesn't match pattern")))
+        out.append((~F.rlike(col, F.lit(f"^(?:{rule.pattern})")), ERROR, says(f"Column '{name}' value doesn't match pattern")))
     return out
 
 
-def _first(found: list[tuple[Column, str, Column]], pick, otherwise: Column) -> Column:
+def _first(found: list[tuple[Column, str, Message]], pick, otherwise: Column) -> Column:
     out = None
     for condition, severity, message in found:
         value = pick(severity, message)
@@ -176,7 +184,7 @@ def _first(found: list[tuple[Column, str, Column]], pick, otherwise: Column) ->
 def severity_code(rule: ColumnRule, kind: str) -> Column:
     """0 fine, 1 warning, 2 error."""
     found = verdicts(rule, kind)
-    if all(severity != WARNING for _, severity, _ in found):
+    if not can_warn(rule):
         # Nothing but errors: one flat condition keeps the generated code small.
         null, when_null, _ = found[0]
         bad = F.lit(False)
@@ -192,14 +200,15 @@ def verdict(rule: ColumnRule, kind: str, infos: bool = True) -> Column:
     """struct(column, severity, message) of one cell; a fine one is 'info', or null without ``infos``."""
     shape = "struct<column:string,severity:string,message:string>"
 
-    def item(severity: str, message: Column) -> Column:
+    def item(severity: str, message: Message) -> Column:
         if not severity and not infos:
             return F.lit(None).cast(shape)
         return F.struct(
-            F.lit(rule.name).alias("column"), F.lit(severity or INFO).alias("severity"), message.alias("message")
+            F.lit(rule.name).alias("column"), F.lit(severity or INFO).alias("severity"), message().alias("message")
         )
 
-    return _first(verdicts(rule, kind), item, item("", F.lit(f"Column '{rule.name}' validation passed")))
+    fine = item("", lambda: F.lit(f"Column '{rule.name}' validation passed"))
+    return _first(verdicts(rule, kind), item, fine)
 
 
 def _required_missing(df: DataFrame, contract: Contract, kinds: dict) -> dict[str, Column]:
@@ -257,8 +266,8 @@ def has_errors(df: DataFrame, contract: Contract) -> Column:
     return bad
 
 
-def can_warn(rule: ColumnRule, kind: str) -> bool:
-    return any(severity == WARNING for _, severity, _ in verdicts(rule, kind))
+def can_warn(rule: ColumnRule) -> bool:
+    return rule.kind == "temperature"
 
 
 def counts(
@@ -292,7 +301,7 @@ def counts(
             F.count_if(f"_n_{rule.name}").alias(f"nulls_{rule.name}"),
             F.count_if(s == 2).alias(f"errors_{rule.name}"),
         ]
-        if can_warn(rule, kinds[rule.name]):
+        if can_warn(rule):
             aggs.append(F.count_if(s == 1).alias(f"warnings_{rule.name}"))
     aggs += [F.count_if(name).alias(name) for name in also]
     if newest:
@@ -301,7 +310,7 @@ def counts(
     zero = F.lit(0).cast("long")
     return counted.withColumns(
         {
-            **{f"warnings_{r.name}": zero for r in present if not can_warn(r, kinds[r.name])},
+            **{f"warnings_{r.name}": zero for r in present if not can_warn(r)},
             **{
                 f"required_{c}": F.col(f"nulls_{c}") if c in kinds and contract.column(c) else F.col("total_rows")
                 for c in contract.required

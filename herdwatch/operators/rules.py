@@ -157,9 +157,13 @@ def validate(df: DataFrame, contract: Contract, rules: Sequence[Rule] | None = N
     another; both are computed once and kept. All tables returned are small.
     """
     conditions, rows = _violations(df, registered_rules() if rules is None else list(rules))
-    present = {f"_p_{c}": F.col(c).isNotNull() for c in df.columns}
+    # Nulls of declared columns are counted anyway.
+    _, undeclared = ct.missing_and_extra(df, contract)
+    present = {f"_p_{c}": F.col(c).isNotNull() for c in undeclared}
     date = _date_column(df)
-    unreadable = {"_unreadable": F.col(date).isNotNull() & _as_time(df, date).isNull()} if date else {}
+    unreadable = {}
+    if date and dict(df.dtypes)[date] == "string":
+        unreadable = {"_unreadable": F.col(date).isNotNull() & _as_time(df, date).isNull()}
     timed = df.withColumn("_time", _as_time(df, date)) if date else df
     counted = materialize(
         ct.counts(
@@ -218,15 +222,19 @@ def quality_report(
     validated = validated or validate(df, contract)
     overall = validated["overall"].select(F.struct("*")).scalar()
     rows = F.col("total_rows")
-    present = sum((F.col(f"_p_{c}") for c in df.columns), F.lit(0))
+    present = F.lit(0)
+    for c in df.columns:
+        present = present + (rows - F.col(f"nulls_{c}") if contract.column(c) else F.col(f"_p_{c}"))
     consistency = F.lit(1.0)
     for flag in _share_flags(df):
         consistency = consistency - F.when(F.col(flag) > 0, 0.2).otherwise(0.0)
     timeliness = F.lit(0.5)
     if _date_column(df):
         age = whole_days_between(F.col("newest"), moment(as_of))
+        counted = validated["counts"]
+        unreadable = F.col("_unreadable") > 0 if "_unreadable" in counted.columns else F.lit(False)
         timeliness = (
-            F.when((F.col("_unreadable") > 0) | age.isNull(), 0.5)
+            F.when(unreadable | age.isNull(), 0.5)
             .when(age <= 1, 1.0).when(age <= 3, 0.8).when(age <= 7, 0.5).otherwise(0.2)
         )
     measured = validated["counts"].select(

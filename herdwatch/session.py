@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     # Split a hot key of a join even when the split costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site bookkeeping for every column expression; plans of many columns build faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Above this size the JVM does not compile a generated method; split code runs faster then.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Streaming state on disk with changelogs, so that it may outgrow executor memory.
@@ -71,22 +73,19 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a result that several later steps use, and keep it in the shared folder.
-
-    Meant for results much smaller than their input (aggregates, clusters, samples). A lost
-    executor costs nothing: the rows are read back from the folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def write_and_read(df: DataFrame, label: str) -> DataFrame:
     """Store a result as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a result that several later steps use, and keep it in the shared folder.
+
+    Meant for results much smaller than their input (aggregates, clusters). Stored as a table
+    rather than by ``checkpoint()``, which computes its last stage twice. A lost executor
+    costs nothing: the rows are read back from the folder.
+    """
+    return write_and_read(df, "kept")
