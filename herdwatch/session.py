@@ -17,8 +17,6 @@ RUNTIME_SETTINGS = {
     # Split a hot key of a join even when the split costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # No call-site bookkeeping for every column expression; plans of many columns build faster.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Above this size the JVM does not compile a generated method; split code runs faster then.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Streaming state on disk with changelogs, so that it may outgrow executor memory.
@@ -28,9 +26,9 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session; static ones stay as they are."""
     for key, value in RUNTIME_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -45,6 +43,8 @@ def local_session(cores: str | int = "*", app: str = "herdwatch", **settings: st
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(n))
+        # No call-site bookkeeping for every column expression (a static setting).
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
