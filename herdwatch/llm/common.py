@@ -53,6 +53,20 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS
     return df.join(ids, key, "left_semi")
 
 
+def in_blocks(rows: DataFrame, keys: list[str], spread: str, size: int) -> DataFrame:
+    """Cuts each key's rows into blocks of about ``size`` rows, and repeats a row for each pair of blocks it is in.
+
+    Adds ``blk`` (the row's block) and ``lo``, ``hi`` (a pair of blocks, lo <= hi): all pairs of rows of a key meet
+    in exactly one (key, lo, hi), or, for rows of the same block, in the one with lo = hi = blk. A key of up to
+    ``size`` rows is one block.
+    """
+    total = rows.groupBy(*keys).agg(F.count("*").alias("_total"))
+    out = rows.join(total, keys).withColumn("_n", F.ceil(F.col("_total") / size).cast("int"))
+    out = out.withColumn("blk", F.pmod(F.xxhash64(spread), F.col("_n")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return out.withColumn("lo", F.least("blk", "_other")).withColumn("hi", F.greatest("blk", "_other")).drop("_total", "_n", "_other")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): rows (id, root), root the least id, for ids with a link.
 

@@ -10,9 +10,9 @@ Links between documents with equal sets need no sketch: they are one class. Clas
 bands of four coordinates are candidates; a pair of similarity s = 0.75 shares no band with a probability of
 (1 - s^4)^32 = 5e-6. To keep a large group linear, candidates are tried in two steps. First each class is
 checked against one member of each of its buckets (picked by hash), the best by sketch. Components of these
-links are then complete for ordinary groups. Second, all pairs of a bucket whose components still differ are
-checked, unless their sketches rule them out (below 71 of 128 equal bytes; a pair of 0.75 lies 5 standard
-deviations above). A link counts only after the full sets were compared.
+links are then complete for ordinary groups. Second, the sketches of all members of a bucket whose components
+still differ are compared, in blocks, and the pairs that agree enough are checked (154 of 256 equal bytes; a pair
+of 0.75 lies 5.5 standard deviations above). A link counts only after the full sets were compared.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import BLANKS, components, only_ids, with_shingles
+from .common import BLANKS, components, in_blocks, only_ids, with_shingles
 
-COORDS, BANDS = 128, 32
-LEAST_EQUAL = 71
+COORDS, BANDS, BAND = 256, 32, 4
+LEAST_EQUAL = 154
 SHINGLE, PERCENT = 5, 75
 
+# Members of one bucket that are compared in one piece.
+BLOCK = 1024
+
 CHUNK = 400_000
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -82,7 +85,7 @@ def signatures(batches):
                 sums.append((total[to[1:]] - total[to[:-1]]).view(np.int64))
             found = sketches(values, part)
             keys = np.zeros((len(part), BANDS), np.uint64)
-            for column in np.moveaxis(found.reshape(len(part), BANDS, COORDS // BANDS), 2, 0):
+            for column in np.moveaxis(found[:, : BANDS * BAND].reshape(len(part), BANDS, BAND), 2, 0):
                 keys = mix(keys * np.uint64(31) + column)
             keys = mix(keys + names)
             small = (mix(found) >> np.uint64(56)).astype(np.uint8)
@@ -140,6 +143,31 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("equal", same).where(F.col("equal") >= LEAST_EQUAL).select("a", "b", "equal")
 
 
+def alike(batches):
+    """Pairs (a, b) of a block's rows that differ in component, fit in size and agree in enough sketch bytes."""
+    for batch in batches:
+        lists = batch.column(0)
+        ends = lists.offsets.to_numpy()
+        rows = lists.values
+        reps, sizes, named, blks = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "c", "blk"))
+        found = [], []
+        for start, stop in zip(ends[:-1], ends[1:], strict=True):
+            bytes_ = rows.field("sketch").slice(start, stop - start).flatten().to_numpy().view(np.uint8).reshape(-1, COORDS)
+            rep, n, c, blk = reps[start:stop], sizes[start:stop], named[start:stop], blks[start:stop]
+            one = blk.min() == blk.max()
+            for i in range(len(rep) - 1):
+                to = slice(i + 1, None)
+                ok = (c[to] != c[i]) & (100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i]))
+                if not one:
+                    ok &= blk[to] != blk[i]
+                at = np.flatnonzero(ok) + i + 1
+                at = at[np.count_nonzero(bytes_[at] == bytes_[i], axis=1) >= LEAST_EQUAL]
+                found[0].append(np.minimum(rep[at], rep[i]))
+                found[1].append(np.maximum(rep[at], rep[i]))
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def fits(a: str, b: str):
     """Sizes alone allow the similarity."""
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
@@ -184,15 +212,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "key", "rep", "n", F.coalesce("root", "rep").alias("c")
     )
     open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(named.join(open_keys, "key"))
-    groups = rest.select("key", "c").distinct()
-    across = groups.select("key", F.col("c").alias("ca")).join(groups.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    left = rest.select("key", F.col("c").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"))
-    right = rest.select("key", F.col("c").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = (
-        across.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(fits("na", "nb")).select("a", "b").distinct()
+    rest = named.join(open_keys, "key").join(nodes.select("rep", "sketch"), "rep")
+    blocks = in_blocks(materialize(rest), ["key"], "rep", BLOCK).groupBy("key", "lo", "hi").agg(
+        F.collect_list(F.struct("rep", "n", "c", "blk", "sketch")).alias("rows")
     )
-    late = check_pairs(materialize(sketched(pairs, nodes).select("a", "b")), docs, id_col, text_col)
+    pairs = blocks.select("rows").mapInArrow(alike, "a long, b long").distinct()
+    late = check_pairs(materialize(pairs), docs, id_col, text_col)
     roots = materialize(components(materialize(linked.unionByName(late))))
 
     classes = nodes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
