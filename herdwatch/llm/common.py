@@ -48,9 +48,12 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS
     A counted list of at most ``bound`` ids is broadcast, so that the rows need no shuffle; beyond it both
     sides are shuffled.
     """
-    if ids.limit(bound + 1).count() <= bound:
-        ids = F.broadcast(ids)
-    return df.join(ids, key, "left_semi")
+    return df.join(small(ids, bound), key, "left_semi")
+
+
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most ``bound`` rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
 def in_blocks(rows: DataFrame, keys: list[str], spread: str, size: int) -> DataFrame:

@@ -50,3 +50,57 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM dw d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+DROP_BOILERPLATE = r"""
+WITH l AS (
+  SELECT doc_id, source, p, ls[p] AS line, trim(ls[p], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS k FROM (
+    SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS p FROM (
+      SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+b AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 5),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM b)) AS n_boiler,
+  string_agg(line, chr(10) ORDER BY p) FILTER (WHERE k NOT IN (SELECT k FROM b)) AS rest FROM l GROUP BY doc_id)
+SELECT o.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_boiler, 0) AS n_boiler,
+       length(CASE WHEN o.text IS NOT NULL THEN coalesce(rest, '') END) AS kept_chars,
+       sha256(CASE WHEN o.text IS NOT NULL THEN coalesce(rest, '') END) AS kept_sha256
+FROM documents o LEFT JOIN d USING (doc_id)
+"""
+
+# Water level as in the operator; keys from the same digest, prefix sums over whole sources.
+MIX = r"""
+WITH s AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    -ln((CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1) / 4503599627370496.0e0)
+    / (CASE WHEN length(text) > 0 THEN 0.25e0 + 0.75e0 * CAST(length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) AS DOUBLE) / length(text) ELSE 0.25e0 END) AS k
+  FROM documents),
+t AS (SELECT source, sum(size) AS source_size FROM s GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM t),
+l AS (
+  SELECT *, row_number() OVER o AS r, 2 * source_size AS cap,
+    (1.5e0 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM w WINDOW o AS (ORDER BY 2 * source_size / CAST(w AS DOUBLE), source NULLS LAST)),
+f AS (SELECT min(r) AS r, arg_min(level, r) AS level FROM l WHERE cap > level * w),
+g AS (
+  SELECT source, source_size, CAST(CASE WHEN l.r < coalesce(f.r, 2147483647) THEN cap ELSE f.level * w END AS DOUBLE) AS target FROM l, f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
+c AS (
+  SELECT s.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST((epochs + CASE WHEN epochs < 2 AND before + size / 2.0e0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM c
+"""
+
+FORMAT_CHAT = r"""
+WITH x AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM x),
+u AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '</?turn'))
+    + length(role) + len(regexp_extract_all(role, '[\\<>\n]')) + length('<turn >' || chr(10) || '</turn>' || chr(10)) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM u GROUP BY conv_id
+"""

@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, decontam, linedup, mixing, neardup, oracles, tokencount
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
-from . import decontam, neardup
-from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,20 +29,53 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand on five sites or more."""
+    out = linedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_lines", "n_boiler", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"), with_rows=False).drop("copies")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontaminate,
+        op2_chat_format,
         op3_minhash_dedup,
+        op8_line_dedup,
+        op9_mix_sources,
+        op10_token_counts,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": oracles.DECONTAMINATE,
+    "op2_chat_format": oracles.FORMAT_CHAT,
     "op3_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op8_line_dedup": oracles.DROP_BOILERPLATE,
+    "op9_mix_sources": oracles.MIX,
 }
