@@ -169,32 +169,50 @@ def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: i
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
-    with_rows: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
 ) -> DataFrame:
-    """Rows (id_col, held_out, lang_pred, score, rejected), one per row; ``with_rows`` keeps the other columns.
+    """Rows (id_col, held_out, lang_pred, score, rejected), one per row of ``docs``.
 
     Learns from rows with a language whose id's crc32 is not 1 modulo 3; scores look at texts only. A text that is
     null or has no letter is "und" with score 0 and rejected; others get a learnt language, and are rejected if
     the score is below the calibrated threshold. Without any labelled row every text is "und". Rows without an
-    id count as held out; repeated rows each get a row; an empty table gives no rows. Input columns named like
-    results are replaced.
+    id count as held out; repeated rows each get a row; an empty table gives no rows; other columns are not looked at.
     """
-    model = fit_on(docs, id_col, text_col, lang_col, sample)
-    kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "rejected")] if with_rows else [id_col]
-    rows = docs.select(*kept, *([] if with_rows else [text_col]), held_out(id_col).alias("held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, id_col, text_col, lang_col, sample))
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            names, score = model.predict(texts) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-            low = np.array([n == UNKNOWN for n in names], bool) | (score < (model.threshold if model else 0))
-            columns = [batch.column(c) for c in [*kept, "held_out"]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())], names=[*kept, "held_out", "lang_pred", "score", "rejected"])
+            names, score, low = judge(shared.value, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())],
+                names=[id_col, "held_out", "lang_pred", "score", "rejected"],
+            )
 
-    schema = rows.select(*kept, "held_out").schema
+    schema = rows.select(id_col, "held_out").schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
+
+
+def accepted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
+) -> DataFrame:
+    """The rows that ``identify`` does not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, id_col, text_col, lang_col, sample))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            low = judge(shared.value, batch.column(at).to_pylist())[2]
+            yield batch.filter(pa.array(~low))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, scores, rejected) of texts; without a model nothing is known."""
+    if model is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    names, score = model.predict(texts)
+    return names, score, np.array([n == UNKNOWN for n in names], bool) | (score < model.threshold)

@@ -20,6 +20,7 @@ from .common import BLANKS, small
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BINS = 65_536
 BROADCAST_SOURCES, BROADCAST_CUT = 100_000, 1_000_000
+OWN = ("_mix_id", "_mix_copy", "_mix_source", "_mix_size", "_mix_key", "_mix_bin")
 
 
 def n_words(text: Column) -> Column:
@@ -33,16 +34,16 @@ def letter_share(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None, seed: int) -> DataFrame:
-    """Adds _id, _copy, _source, size, _key and _bin to the rows."""
+    """Adds the columns of ``OWN``: id, hash of the text, source, words, key and its bin."""
     text = F.col(text_col)
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(2**52)
     weight = F.greatest(F.coalesce(letter_share(text) if quality is None else quality, F.lit(0.0)), F.lit(1e-6))
     out = docs.withColumns({
-        "_id": F.col(id_col), "_copy": F.xxhash64(text), "_source": F.col(source_col).cast("string"),
-        "size": n_words(text), "_key": -F.log(u) / weight,
+        "_mix_id": F.col(id_col), "_mix_copy": F.xxhash64(text), "_mix_source": F.col(source_col).cast("string"),
+        "_mix_size": n_words(text), "_mix_key": -F.log(u) / weight,
     })
-    return out.withColumn("_bin", F.floor(F.col("_key") / (1 + F.col("_key")) * BINS).cast("int"))
+    return out.withColumn("_mix_bin", F.floor(F.col("_mix_key") / (1 + F.col("_mix_key")) * BINS).cast("int"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
@@ -69,25 +70,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: in
     return t.select("_source", "source_size", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST,
-    seed: int = 0, with_rows: bool = True,
+def with_copies(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None,
+    weights: tuple[int, ...], share: float, most: int, seed: int, with_rows: bool,
 ) -> DataFrame:
-    """The rows with size (words), source_size, target (words), copies and taken (copies * size).
-
-    Sources by code point, null last, get ``weights`` in turn and share ``share`` times the words of all
-    documents, none above ``most`` times its own words. A document is taken ``copies`` times, complete epochs
-    first; at the end of a source's target the documents in key order go in while at least half of them fits,
-    so a source's words differ from its target by at most half of one document. A null text has no words
-    and is never short of its epochs. A null source is a source. Rows that repeat an id and text are taken or
-    left together; rows without an id share one key and go by their texts. Reruns agree: keys depend on ids and
-    ``seed`` alone. ``with_rows=False`` leaves out all columns but the id and the results. Columns of the input
-    named like results are replaced. An empty table gives no rows.
-    """
-    slim = keyed(docs, id_col, text_col, source_col, quality, seed).select("_id", "_copy", "_source", "size", "_key", "_bin")
-    slim = materialize(slim)
-    bins = materialize(slim.groupBy("_source", "_bin").agg(F.sum("size").alias("size")))
+    """The rows (or only the columns of ``OWN``) with _mix_source_size, _mix_target and _mix_copies."""
+    slim = materialize(keyed(docs, id_col, text_col, source_col, quality, seed).select(*OWN))
+    named = slim.select(*[F.col(c).alias(c.removeprefix("_mix")) for c in OWN])
+    bins = materialize(named.groupBy("_source", "_bin").agg(F.sum("_size").alias("size")))
     plan = targets(bins.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, share, most)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -99,28 +89,64 @@ def mix(
     cut = ends.groupBy("_s").agg(F.min(F.struct("_bin", (F.col("rest") - (F.col("end") - F.col("size"))).alias("left"))).alias("m"))
     cut = cut.select("_s", F.col("m._bin").alias("cut"), F.col("m.left").alias("left"))
     plan = plan.join(cut, F.col("_source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("_source").alias("_ps"), "source_size", "target", "epochs", "cut", "left"
+        F.col("_source").alias("_mix_ps"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"),
+        F.col("epochs").alias("_mix_epochs"), F.col("cut").alias("_mix_cut"), F.col("left").alias("_mix_left"),
     )
     plan = small(materialize(plan), BROADCAST_SOURCES)
 
     # Documents of those bins, rows of one id and text as one.
-    same_source = F.col("_source").eqNullSafe(F.col("_ps"))
-    edge = slim.join(plan, same_source).where("_bin = cut").groupBy("_source", "_id", "_copy", "_key").agg(
-        F.sum("size").alias("size"), F.first("left").alias("left")
+    same_source = F.col("_mix_source").eqNullSafe(F.col("_mix_ps"))
+    same = ["_mix_source", "_mix_id", "_mix_copy", "_mix_key"]
+    edge = slim.join(plan, same_source).where("_mix_bin = _mix_cut").groupBy(*same).agg(
+        F.sum("_mix_size").alias("size"), F.first("_mix_left").alias("left")
     )
-    before = Window.partitionBy("_source").orderBy("_key", "_id", "_copy").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_mix_source").orderBy("_mix_key", "_mix_id", "_mix_copy").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     edge = edge.where(F.col("before") + F.col("size") / 2 <= F.col("left"))
-    edge = small(materialize(edge.select(F.col("_id").alias("_ei"), F.col("_copy").alias("_ec"), F.col("_source").alias("_es"))), BROADCAST_CUT)
+    edge = edge.select(F.col("_mix_id").alias("_mix_ei"), F.col("_mix_copy").alias("_mix_ec"), F.col("_mix_source").alias("_mix_es"))
+    edge = small(materialize(edge), BROADCAST_CUT).withColumn("_mix_in", F.lit(1))
 
-    rows = keyed(docs, id_col, text_col, source_col, quality, seed) if with_rows else slim.withColumn(id_col, F.col("_id"))
-    out = rows.drop("source_size", "target", "copies", "taken", "epochs", "cut", "left").join(plan, same_source)
+    rows = keyed(docs, id_col, text_col, source_col, quality, seed) if with_rows else slim
     in_edge = (
-        F.col("_id").eqNullSafe(F.col("_ei")) & (F.col("_copy") == F.col("_ec")) & F.col("_source").eqNullSafe(F.col("_es"))
+        F.col("_mix_id").eqNullSafe(F.col("_mix_ei")) & (F.col("_mix_copy") == F.col("_mix_ec"))
+        & F.col("_mix_source").eqNullSafe(F.col("_mix_es"))
+    )
+    out = rows.join(plan, same_source).join(edge, in_edge, "left")
+    more = (
+        F.when(F.col("_mix_cut").isNull() | (F.col("_mix_bin") < F.col("_mix_cut")), 1)
+        .when(F.col("_mix_bin") == F.col("_mix_cut"), F.coalesce("_mix_in", F.lit(0))).otherwise(0)
     )
-    out = out.join(edge.withColumn("_in", F.lit(1)), in_edge, "left")
-    more = F.when(F.col("cut").isNull() | (F.col("_bin") < F.col("cut")), 1).when(F.col("_bin") == F.col("cut"), F.coalesce("_in", F.lit(0))).otherwise(0)
-    out = out.withColumn("copies", (F.col("epochs") + F.when(F.col("epochs") >= most, 0).otherwise(more)).cast("int"))
-    out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")] if with_rows else [id_col]
-    return out.select(*kept, "size", "source_size", "target", "copies", "taken")
+    copies = F.col("_mix_epochs") + F.when(F.col("_mix_epochs") >= most, 0).otherwise(more)
+    return out.withColumn("_mix_copies", copies.cast("int"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0,
+) -> DataFrame:
+    """Rows (id_col, size, source_size, target, copies, taken), one per row of ``docs``.
+
+    Sources by code point, null last, get ``weights`` in turn and share ``share`` times the words of all
+    documents, none above ``most`` times its own words. A document is taken ``copies`` times, complete epochs
+    first; at the end of a source's target the documents in key order go in while at least half of them fits,
+    so a source's words differ from its target by at most half of one document. taken is copies * size. A null
+    text has no words. A null source is a source. Rows that repeat an id and text are taken or left together;
+    rows without an id share one key and go by their texts. Reruns agree: keys depend on ids and ``seed`` alone.
+    An empty table gives no rows; other columns are not looked at.
+    """
+    out = with_copies(docs, id_col, text_col, source_col, quality, weights, share, most, seed, with_rows=False)
+    return out.select(
+        F.col("_mix_id").alias(id_col), F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"), F.col("_mix_copies").alias("copies"),
+        (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"),
+    )
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0,
+) -> DataFrame:
+    """The mix itself: all columns of ``docs``, every row as often as ``mix`` takes it."""
+    out = with_copies(docs, id_col, text_col, source_col, quality, weights, share, most, seed, with_rows=True)
+    out = out.withColumn("_mix_each", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

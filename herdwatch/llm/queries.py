@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linedup, mixing, neardup, oracles, tokencount
+from . import chat, decontam, langid, linedup, mixing, neardup, oracles, tokenbin, tokencount, toxicity, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -42,6 +42,26 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked vectors among all embeddings."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to binary blocks and read back."""
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return langid.identify(table(spark, sf_dir, "documents")).drop("rejected")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand on five sites or more."""
     out = linedup.drop_boilerplate(table(spark, sf_dir, "documents"))
@@ -52,7 +72,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    return mixing.mix(table(spark, sf_dir, "documents"), with_rows=False).drop("copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +86,10 @@ QUERIES: dict[str, Query] = {
         op1_decontaminate,
         op2_chat_format,
         op3_minhash_dedup,
+        op4_embedding_dedup,
+        op5_token_binary,
+        op6_toxicity,
+        op7_language_id,
         op8_line_dedup,
         op9_mix_sources,
         op10_token_counts,
