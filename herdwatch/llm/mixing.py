@@ -5,7 +5,7 @@ least keys of a source are a weighted sample without replacement. A source's doc
 complete epochs as its target holds, then documents in key order until the rest of the target is filled.
 
 The prefix sums need no sort of a source: sizes are summed per (source, bin of the key), the bins' running sum
-shows the one bin in which the target ends, and only that bin's documents (a 65,536th of the source or so) are
+shows the one bin in which the target ends, and only that bin's documents (a 4,096th of the source or so) are
 sorted and summed one by one.
 """
 
@@ -18,7 +18,7 @@ from ..session import materialize
 from .common import BLANKS, small
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BINS = 65_536
+BINS = 4_096
 BROADCAST_SOURCES, BROADCAST_CUT = 100_000, 1_000_000
 OWN = ("_mix_id", "_mix_copy", "_mix_source", "_mix_size", "_mix_key", "_mix_bin")
 
