@@ -20,8 +20,10 @@ x >= f * 2^43, then becomes (x div f) * 2^20 + x mod f + c; decoding does the re
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -38,8 +40,16 @@ from ..session import materialize, new_folder
 BITS, LOW = 20, np.uint64(1 << 31)
 BLOCK, LANES, MARK = 1 << 18, 1024, 128
 END = 2
-# Pieces of text whose ids a worker remembers, in two generations.
-REMEMBERED = 250_000
+# Pieces of text, and words, whose ids a worker remembers; then it starts anew.
+REMEMBERED = 600_000
+
+# Blanks next to other blanks, and blanks between two other characters.
+TOUCHING, BETWEEN = re.compile(r" (?:(?=\s)|(?<=\s ))"), re.compile(r"(?<=\S) (?=\S)")
+# Usual characters, and how byte-level BPE parts them into words (fixed: the public pattern for these characters).
+USUAL = re.compile(r"[\n -~À-ÖØ-öø-ɏ]*")
+WORD_OF_PIECE = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+"
+)
 CODEC = "zstd"
 
 MASK, WORD, SHIFT = np.uint64((1 << BITS) - 1), np.uint64(0xFFFFFFFF), np.uint64(BITS)
@@ -113,62 +123,81 @@ class Coder:
         return got[begin - first : end - first]
 
 
+class Words(dict):
+    """Ids of a word, by the library's model when it is first asked for."""
+
+    def __init__(self, tokenize, symbols: dict[int, str]):
+        super().__init__()
+        self.tokenize, self.symbols = tokenize, symbols
+
+    def __missing__(self, word: str) -> bytes:
+        found = [t.id for t in self.tokenize(word.translate(self.symbols))]
+        self[word] = ids = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+
+class Pieces(dict):
+    """Ids of a piece of text with ``lead`` before it; unusual pieces go to the library as they are."""
+
+    def __init__(self, words: Words, whole, lead: str):
+        super().__init__()
+        self.words, self.whole, self.lead = words, whole, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        text = self.lead + piece
+        if USUAL.fullmatch(text):
+            words = self.words
+            ids = b"".join([words[w] for w in WORD_OF_PIECE.findall(text)])
+        else:
+            ids = self.whole(text)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library, as little-endian 32-bit integers.
 
     Byte-level BPE reads a text word by word, and no word of it reaches over a single blank between two other
-    characters into the word before. Such files get the pieces between these blanks, each worker remembers
-    recent pieces; texts that hold the string of an added token, and other kinds of files, go in whole.
+    characters into the word before. Such files get the pieces between these blanks, and each worker remembers
+    the ids of recent pieces and words; texts that hold the string of an added token, and other kinds of files,
+    go in whole.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
         with open(tokenizer_file, encoding="utf-8") as file:
             spec = json.load(file)
-        before = spec.get("pre_tokenizer") or {}
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.by_piece = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-            and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+            and model.get("type") == "BPE" and not model.get("dropout")
+            and not any(spec.get(k) for k in ("normalizer", "truncation", "padding", "post_processor"))
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.touching = re.compile(r"^ | $| \s|\s ")
-        self.between = re.compile(r"(?<=\S) (?=\S)")
-
-    def library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        parts = self.between.split(text) if self.touching.search(text) else text.split(" ")
-        # All but the first start with their blank.
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or any(a in t for a in self.added)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self.library_ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        cut = {i: self.pieces(texts[i]) for i in set(range(len(texts))).difference(whole)}
-        new = set().union(*cut.values()) if cut else set()
-        new.difference_update(self.recent)
-        if len(self.recent) + len(new) > REMEMBERED and self.recent:
-            self.older, self.recent = self.recent, {}
-            new = set().union(*cut.values())
-        known = [p for p in new if p in self.older]
-        self.recent.update((p, self.older[p]) for p in known)
-        new.difference_update(known)
-        new = list(new)
-        self.recent.update(zip(new, self.library_ids(new), strict=True))
-        ids = self.recent.__getitem__
-        for i, parts in cut.items():
-            out[i] = b"".join(map(ids, parts))
-        return out
+        if self.by_piece:
+            split = self.library.pre_tokenizer.pre_tokenize_str
+            # How the library writes each usual character's bytes.
+            usual = (chr(c) for c in range(0x250) if USUAL.fullmatch(chr(c)))
+            self.words = Words(self.library.model.tokenize, {ord(c): "".join(w for w, _ in split(c)) for c in usual})
+            self.first, self.rest = Pieces(self.words, self.whole, ""), Pieces(self.words, self.whole, " ")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_piece or any(a in text for a in self.added):
+            return self.whole(text)
+        if TOUCHING.search(text) or text[:1] == " " or text[-1:] == " ":
+            parts = BETWEEN.split(text)
+        else:
+            parts = text.split(" ")
+        for held in (self.rest, self.words, self.first):
+            if len(held) > REMEMBERED:
+                held.clear()
+        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
 
 def encoder(tokenizer_file: str) -> Encoder:
@@ -191,7 +220,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str,
         for batch in batches:
             column, size = batch.column(1), 500
             for start in range(0, len(column), size):
-                found = [ids + tail for ids in encode(column.slice(start, size).to_pylist())]
+                found = [encode(text) + tail for text in column.slice(start, size).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, size), pa.array([len(x) // 4 for x in found], pa.int64()),
