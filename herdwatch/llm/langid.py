@@ -117,10 +117,11 @@ def train(bags: list[np.ndarray], labels: list[str], epochs: int = 40, batch: in
             wrong[np.arange(len(part)), y[part]] -= 1
             wrong /= len(part)
             back = wrong @ layer.T
-            layer -= 2 * rate * hidden.T @ wrong
+            # Steps are cut, so that few and odd texts cannot make the fit diverge.
+            layer -= np.clip(2 * rate * hidden.T @ wrong, -1, 1)
             bias -= 0.5 * rate * wrong.sum(axis=0)
             # Averages spread a step over many buckets, so their rate is larger.
-            embed -= 200 * rate * xb.T @ back
+            embed -= np.clip(200 * rate * xb.T @ back, -1, 1)
             done += 1
     model = Model(languages, (embed @ layer).astype(np.float64), bias.astype(np.float64))
     if len(rest):
