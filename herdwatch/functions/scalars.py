@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_RANGE, HEALTH_PENALTY, NORMAL_RANGES
 
 # Accepted date patterns of text columns.
-DATE_PATTERNS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy")
+DATE_PATTERNS = ("yyyy-M-d", "yyyy-M-d H:m:s", "d/M/yyyy", "M/d/yyyy")
 
 
 def col_of(value: str | Column) -> Column:
@@ -96,7 +96,7 @@ def animal_id(farm: str | Column, sequence: str | Column) -> Column:
 
 
 def parse_date(text: str | Column) -> Column:
-    """Text in one of the accepted patterns as a timestamp, else null."""
+    """Text in one of the accepted patterns as a timestamp, else null; days and months may lack a leading zero."""
     text = col_of(text)
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS])
 

@@ -17,6 +17,13 @@ from .skew import with_nearest_values
 NUMERIC = (*METRICS, "feed_intake", "water_intake")
 
 
+def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NaN in floating-point columns becomes null: a missing value, not one above all others."""
+    kinds = dict(df.dtypes)
+    found = [c for c in columns if kinds.get(c) in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in found}) if found else df
+
+
 def fill_missing(
     df: DataFrame, metrics: Sequence[str] = METRICS, *, keys: Sequence[str] = ("tag_id",),
     order_by: Sequence[str] = ("arrival_id",), hot_key_rows: int | None = None,
@@ -26,7 +33,7 @@ def fill_missing(
     ``keys=()`` fills over the whole table.
     """
     present = [m for m in metrics if m in df.columns]
-    prepared = with_nearest_values(df, keys, order_by, present, hot_key_rows)
+    prepared = with_nearest_values(nan_to_null(df, present), keys, order_by, present, hot_key_rows)
     so_far = prepared.window().rowsBetween(W.unboundedPreceding, 0)
     # Rows with nothing before them all take the first known value of the animal.
     whole = prepared.window().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -42,6 +49,7 @@ def fill_missing(
 def impute_mean(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     """Replace remaining nulls by the mean of the column."""
     present = [c for c in columns if c in df.columns]
+    df = nan_to_null(df, present)
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in present])).scalar()
     return df.withColumns({c: F.coalesce(F.col(c), means[c]) for c in present})
 
@@ -55,12 +63,12 @@ def remove_duplicates(
 
 
 def fix_types(df: DataFrame, numeric: Sequence[str] = NUMERIC, date: str = "date") -> DataFrame:
-    """Numbers as double and the date as timestamp; what does not parse becomes null."""
+    """Numbers as double and the date as timestamp; what does not parse, and NaN, becomes null."""
     kinds = dict(df.dtypes)
     fixed = {c: F.col(c).try_cast("double") for c in numeric if c in kinds and kinds[c] != "double"}
     if kinds.get(date) == "string":
         fixed[date] = F.try_to_timestamp(F.col(date))
-    return df.withColumns(fixed) if fixed else df
+    return nan_to_null(df.withColumns(fixed) if fixed else df, numeric)
 
 
 def flag_ranges(df: DataFrame, metrics: Sequence[str] = tuple(NORMAL_RANGES)) -> DataFrame:
@@ -93,9 +101,10 @@ def clean(
 
 
 def iqr_outliers(df: DataFrame, column: str, *, factor: float = 1.5, max_rows: int | None = None) -> DataFrame:
-    """Rows outside the quartiles by more than ``factor`` times their distance."""
+    """Rows outside the quartiles by more than ``factor`` times their distance; NaN is no value."""
     if column not in df.columns:
         return df
+    df = nan_to_null(df, [column])
     quartiles = quantiles(df, column, {"q1": 0.25, "q3": 0.75}, max_rows=max_rows)
     q = quartiles.select(F.struct("q1", "q3")).scalar()
     reach = (q["q3"] - q["q1"]) * factor

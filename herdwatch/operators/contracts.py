@@ -129,11 +129,12 @@ def verdicts(rule: ColumnRule, kind: str) -> list[tuple[Column, str, Message]]:
         out.append((null, "", says("Null value allowed")))
 
     if rule.kind in ("integer", "float") and kind != "boolean":
-        out.append((number.isNull(), ERROR, says(f"Column '{name}' type conversion failed: ", VALUE)))
+        endless = (F.abs(number) == float("inf")) if rule.kind == "integer" else F.lit(False)
+        out.append((number.isNull() | endless, ERROR, says(f"Column '{name}' type conversion failed: ", VALUE)))
     if rule.kind == "integer" and kind != "boolean":
-        out.append((number != F.floor(number), ERROR, says(f"Column '{name}' must be integer, got ", VALUE)))
+        out.append((number != F.rint(number), ERROR, says(f"Column '{name}' must be integer, got ", VALUE)))
         if textual or kind in ("double", "float"):
-            text = F.format_string("%d", number.cast("long"))
+            text = F.format_string("%.0f", number + 0.0)
     if rule.kind == "boolean" and kind != "boolean":
         fits = F.lower(col).isin(*BOOLEAN_WORDS) if textual else F.lit(False)
         out.append((~fits, ERROR, says(f"Column '{name}' must be boolean, got ", VALUE)))
@@ -166,10 +167,11 @@ def verdicts(rule: ColumnRule, kind: str) -> list[tuple[Column, str, Message]]:
             (number > rule.max_value, ERROR, says(f"Column '{name}' value ", VALUE, f" above maximum {rule.max_value}"))
         )
     if rule.allowed is not None:
-        out.append((~col.isin(*rule.allowed), ERROR, says(f"Column '{name}' value ", VALUE, " not in allowed values")))
-    if rule.pattern is not None and textual:
-        # Anchored at the start only.
-        out.append((~F.rlike(col, F.lit(f"^(?:{rule.pattern})")), ERROR, says(f"Column '{name}' value doesn't match pattern")))
+        listed = text if rule.kind == "string" else col
+        out.append((~listed.isin(*rule.allowed), ERROR, says(f"Column '{name}' value ", VALUE, " not in allowed values")))
+    if rule.pattern is not None and (rule.kind == "string" or textual):
+        # Anchored at the start only; a string column's values are compared as text, whatever holds them.
+        out.append((~F.rlike(text, F.lit(f"^(?:{rule.pattern})")), ERROR, says(f"Column '{name}' value doesn't match pattern")))
     return out
 
 

@@ -85,31 +85,26 @@ def _samples(
     df: DataFrame, rows: int, ids: Sequence[str], features: Sequence[str], scaling: dict, trees: int, size: int,
     seed: int,
 ) -> DataFrame:
-    """``size`` rows for each tree, chosen by a hash of the row id.
+    """``size`` rows for each tree, chosen by hashes of the row id; one scheme for every size of table.
 
-    Small tables: every tree ranks all rows by its own hash. Large tables: one random pool of
-    ``trees * size`` rows is dealt out, found with a hash filter that passes about twice as
-    many, so the sort sees a number of rows set by the parameters.
+    A row's hash is a point u of the unit circle, tree t draws from the points between t / trees and
+    that plus ``share``. The share is set so that every tree sees about twice the rows it needs (all
+    rows of a small table), and keeps those that are first by a hash of their own.
     """
-    pool = trees * size
     base = df.select(
         F.xxhash64(*ids, F.lit(seed)).alias("_h"), *[_scaled(f, scaling).alias(f) for f in features]
     )
-    if rows <= pool:
-        each = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        draw = W.partitionBy("tree").orderBy("_d", "_h")
-        return (
-            each.withColumn("_d", F.xxhash64("_h", "tree"))
-            .withColumn("_rank", F.row_number().over(draw))
-            .filter(F.col("_rank") <= size)
-        )
-    share = min(1.0, 2 * pool / rows)
-    buckets = 1 << 40
-    near = base.filter(F.pmod("_h", F.lit(buckets)) < int(share * buckets))
+    share = min(1.0, (2 * size + 50) / max(rows, 1))
+    u = F.pmod("_h", F.lit(1 << 40)) / float(1 << 40)
+    last, first = F.floor(u * trees), F.floor((u - share) * trees) + 1
+    near = base.withColumns({"_last": last.cast("int"), "_first": first.cast("int")}).filter("_first <= _last")
+    each = near.withColumn("_place", F.explode(F.sequence("_first", "_last")))
+    each = each.withColumn("tree", F.pmod("_place", F.lit(trees)).cast("int"))
+    draw = W.partitionBy("tree").orderBy("_d", "_h", *features)
     return (
-        near.withColumn("_rank", F.row_number().over(W.orderBy("_h", *features)))
-        .filter(F.col("_rank") <= pool)
-        .withColumn("tree", ((F.col("_rank") - 1) % trees).cast("int"))
+        each.drop("_first", "_last", "_place").withColumn("_d", F.xxhash64("_h", "tree"))
+        .withColumn("_rank", F.row_number().over(draw))
+        .filter(F.col("_rank") <= size)
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ def upsert(
     """Existing rows overwritten by, and extended with, the incoming ones.
 
     Incoming columns replace the stored ones even when null; stored columns that the batch
-    does not carry are kept. ``existing`` holds each key once; within the batch the latest
+    does not carry are kept. Keys match null-safely: a null key is the same as another null. ``existing`` holds each key once; within the batch the latest
     ``arrival`` wins (without ``arrival`` the batch must hold each key once).
     """
     if arrival is not None:
@@ -59,11 +61,13 @@ def upsert(
         if arrival not in existing.columns:
             incoming = incoming.drop(arrival)
     given = [c for c in incoming.columns if c not in keys and c in existing.columns]
-    new = incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_new"))
-    joined = existing.join(new, list(keys), "full")
+    replaced = [*keys, *given]
+    new = incoming.select(*[F.col(c).alias(f"_new_{c}") for c in replaced], F.lit(True).alias("_new"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
+    joined = existing.join(new, same, "full")
     return joined.select(
         *[
-            F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c)
+            F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c)
             for c in existing.columns
         ]
     )

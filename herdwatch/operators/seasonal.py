@@ -18,7 +18,8 @@ PERIOD = 7
 def regular_days(df: DataFrame, value: str, keys: Sequence[str] = (), date: str = "day") -> DataFrame:
     """One row per calendar day between the first and last of each group.
 
-    Gaps repeat the last known value, leading gaps take the first known one. Adds the filled
+    Gaps repeat the last known value, leading gaps take the first known one. A group with several
+    rows for one day raises, as there is no single value to take; rows without a day are dropped. Adds the filled
     value ``_x``, the position ``_i`` from 0, the length ``_n`` and ``_given`` (false in gaps).
     """
     group = W.partitionBy(*keys)
@@ -30,7 +31,9 @@ def regular_days(df: DataFrame, value: str, keys: Sequence[str] = (), date: str
                 F.last(value, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)),
                 F.first(value, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
             ).cast("double"),
-            "_until": F.coalesce(F.date_sub(F.lead(day).over(along), 1), day),
+            "_until": F.when(
+                F.lead(day).over(along) <= day, F.raise_error(F.lit("a series has several rows for one day")).cast("date")
+            ).otherwise(F.coalesce(F.date_sub(F.lead(day).over(along), 1), day)),
             "_start": F.min(day).over(group),
             "_end": F.max(day).over(group),
         }

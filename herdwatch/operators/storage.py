@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .joins import keep_last, upsert
 
 DAY = "day"
+# Readers skip folders that start with an underscore.
+STAGED = "_staged"
 
 
 def create_metrics(df: DataFrame, path: str, date: str = "date") -> None:
@@ -18,6 +21,8 @@ def create_metrics(df: DataFrame, path: str, date: str = "date") -> None:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The table, after an interrupted save has been completed."""
+    _complete(spark, path)
     return spark.read.parquet(path).drop(DAY)
 
 
@@ -25,23 +30,40 @@ def save_metrics(
     batch: DataFrame, path: str, keys: Sequence[str] = ("tag_id", "date"), arrival: str | None = None,
     date: str = "date",
 ) -> None:
-    """Upsert a batch of readings into the table at ``path``.
+    """Upsert a batch of readings into the table at ``path``; one writer at a time.
 
-    Only the days that occur in the batch are read and rewritten. Applying the same batch
-    again changes nothing, so a repeated attempt after a failure is safe.
+    Only the days that occur in the batch (rows without a date are a day of their own) are read and
+    rewritten. Their new contents are first written aside in full and then replace the day folders; if a
+    save is interrupted while folders are replaced, the next read or save repeats that from the copy. Applying
+    the same batch again changes nothing.
     """
     spark = batch.sparkSession
+    _complete(spark, path)
     batch = batch.withColumn(DAY, F.to_date(date))
     if arrival is not None:
         batch = keep_last(batch, keys, arrival).drop(arrival)
     # Bounded by the calendar; makes the scan read these folders only.
     days = [row[DAY] for row in batch.select(DAY).distinct().collect()]
-    stored = spark.read.parquet(path)
-    merged = upsert(stored.filter(F.col(DAY).isin(days)), batch, [*keys])
-    (
-        merged.withColumn(DAY, F.to_date(date))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY)
-        .parquet(path)
-    )
+    concerned = F.col(DAY).isin([d for d in days if d is not None])
+    if None in days:
+        concerned = concerned | F.col(DAY).isNull()
+    merged = upsert(spark.read.parquet(path).filter(concerned), batch, [*keys])
+    merged.withColumn(DAY, F.to_date(date)).write.partitionBy(DAY).parquet(f"{path}/{STAGED}/{uuid.uuid4().hex}")
+    _complete(spark, path)
+
+
+def _complete(spark: SparkSession, path: str) -> None:
+    """Replace day folders by the copies that were written in full; drop copies that were not."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staged = hadoop.Path(f"{path}/{STAGED}")
+    files = staged.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(staged):
+        return
+    for entry in files.listStatus(staged):
+        copy = entry.getPath()
+        if files.exists(hadoop.Path(copy, "_SUCCESS")):
+            rows = spark.read.schema(spark.read.parquet(path).schema).parquet(copy.toString())
+            (
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+            )
+        files.delete(copy, True)
