@@ -20,92 +20,99 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Rows of one key one task may sort.
 HOT_KEY_ROWS = 4_000_000
-# Chunks are cut finer than needed, to leave room for uneven spread within a key.
-OVERSPLIT = 4
-MAX_LEVELS = 8
+# A hot (key, chunk) is cut at this many quantiles at a time.
+CUTS = 63
+# Hot (key, chunk) pairs (some 500 bytes each) are broadcast up to this many.
+BROADCAST_HOT = 50_000
+# Cells of missing values and of NaN, which sort first and last.
+FIRST_CELL, LAST_CELL = -1, 1 << 20
 
 CHUNK, GHOST, SIDE = "_chunk", "_ghost", "_side"
 
 
 def positions(df: DataFrame, name: str) -> list[Column]:
-    """A column as numbers that sort alike: microseconds, days, or the text six bytes at a time."""
+    """A column as numbers that sort alike: microseconds, days, or the text six bytes at a time, to its end."""
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
         return [F.unix_micros(F.col(name).cast("timestamp")).cast("double")]
     if kind == "date":
         return [F.unix_date(F.col(name)).cast("double")]
     if kind == "string":
+        longest = df.agg(F.max(F.octet_length(name))).first()[0] or 0
         digits = F.hex(F.encode(F.col(name), "UTF-8"))
         return [
             F.conv(F.rpad(F.substring(digits, start, 12), 12, "0"), 16, 10).cast("double")
-            for start in (1, 13, 25, 37)
-        ]
+            for start in range(1, 2 * longest + 1, 12)
+        ] or [F.lit(0.0)]
     return [F.col(name).cast("double")]
 
 
+def _join_hot(rows: DataFrame, hot: DataFrame, group: Sequence[str], how: str) -> DataFrame:
+    """Join rows with a stored table of hot groups, null-safely; broadcast if its counted size allows."""
+    same = F.lit(True)
+    for g in group:
+        same = same & rows[g].eqNullSafe(hot[f"_hot_{g}"])
+    if hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
+        hot = F.broadcast(hot)
+    return rows.join(hot, same, how)
+
+
 def add_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
 ) -> DataFrame | None:
     """Number the rows of every hot key by order-preserving chunks in column ``_chunk``.
 
-    ``None`` means that no key exceeds ``max_rows``. A chunk that is still too large is cut
-    again, by the first order column that varies within it. The table of hot (key, chunk)
-    pairs has at most ``rows / max_rows`` rows, which bounds what is broadcast.
+    ``None`` means that no key exceeds ``max_rows``, or none that does can be cut. A hot key is cut at
+    quantiles of the first order column that varies within it; the rows that equal a quantile are a chunk of
+    their own. A chunk that is still too large is cut again, until it fits or its rows are equal in all order
+    columns. Each level reads the rows twice (sizes, quantiles of the hot ones), and its table of hot
+    (key, chunk) pairs, at most ``rows / max_rows``, is stored, so that reads grow linearly with the levels.
     """
     max_rows = max_rows or HOT_KEY_ROWS
-    places = [place for c in order for place in positions(df, c)]
     out = df.withColumn(CHUNK, F.expr("CAST(array() AS ARRAY<BIGINT>)"))
-    group = [*keys, CHUNK]
-    for level in range(MAX_LEVELS):
-        aggs = [F.count(F.lit(1)).alias("_n")]
-        for i, place in enumerate(places):
+    group, places, level = [*keys, CHUNK], None, 0
+    while True:
+        sizes = out.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+        if sizes.isEmpty():
+            return None if level == 0 else out
+        hot = materialize(sizes.select(*[F.col(g).alias(f"_hot_{g}") for g in group]))
+        if places is None:
+            places = [place for c in order for place in positions(df, c)]
+        numbers = out.select(*group, *[place.alias(f"_p{i}") for i, place in enumerate(places)])
+        plan = _join_hot(numbers, hot, group, "inner").groupBy(*group)
+        aggs, pick = [F.count(F.lit(1)).alias("_n")], F.lit(None).cast("int")
+        for i in range(len(places)):
+            known = F.when(~F.isnan(f"_p{i}"), F.col(f"_p{i}"))
             aggs += [
-                F.min(place).alias(f"_lo{i}"),
-                F.max(place).alias(f"_hi{i}"),
-                F.count(place).alias(f"_some{i}"),
+                F.min(known).alias(f"_lo{i}"), F.max(known).alias(f"_hi{i}"), F.count(known).alias(f"_some{i}"),
+                F.count_if(F.isnan(f"_p{i}")).alias(f"_nan{i}"),
+                F.percentile_approx(known, [(j + 1) / (CUTS + 1) for j in range(CUTS)], 10_000).alias(f"_cuts{i}"),
             ]
-        pick = F.lit(None).cast("int")
         for i in reversed(range(len(places))):
-            varies = (F.col(f"_lo{i}") < F.col(f"_hi{i}")) | (
-                (F.col(f"_some{i}") > 0) & (F.col(f"_some{i}") < F.col("_n"))
+            kinds = [F.col(f"_some{i}"), F.col(f"_nan{i}"), F.col("_n") - F.col(f"_some{i}") - F.col(f"_nan{i}")]
+            mixed = sum(F.when(k > 0, 1).otherwise(0) for k in kinds) > 1
+            pick = F.when((F.col(f"_lo{i}") < F.col(f"_hi{i}")) | mixed, F.lit(i)).otherwise(pick)
+        cuts = F.element_at(F.array(*[F.col(f"_cuts{i}") for i in range(len(places))]), F.col("_pick") + 1)
+        plan = materialize(
+            plan.agg(*aggs).withColumn("_pick", pick).filter(F.col("_pick").isNotNull()).select(
+                *[F.col(g).alias(f"_hot_{g}") for g in group], "_pick",
+                F.array_sort(F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>")))).alias("_cuts"),
             )
-            pick = F.when(varies, F.lit(i)).otherwise(pick)
-        hot = (
-            out.groupBy(*group)
-            .agg(*aggs)
-            .filter(F.col("_n") > max_rows)
-            .withColumn("_pick", pick)
-            .filter(F.col("_pick").isNotNull())
-            .withColumn("_parts", F.ceil(F.col("_n") / max_rows) * OVERSPLIT)
         )
-        if hot.isEmpty():
+        if plan.isEmpty():
             return None if level == 0 else out
-        renamed = [f"_k{i}" for i in range(len(group))]
-        hot = hot.select(
-            *[F.col(g).alias(r) for g, r in zip(group, renamed)],
-            "_pick", "_parts",
-            *[f"_lo{i}" for i in range(len(places))],
-            *[f"_hi{i}" for i in range(len(places))],
-        )
-        same = F.lit(True)
-        for g, r in zip(group, renamed):
-            same = same & out[g].eqNullSafe(hot[r])
-        # Bound: rows / max_rows rows of a few numbers each.
-        joined = out.join(F.broadcast(hot), same, "left")
-        cell = F.lit(None).cast("long")
-        for i, place in enumerate(places):
-            lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-            share = F.when(hi > lo, (place - lo) / (hi - lo)).otherwise(0.0)
-            cut = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
-            cell = F.when(
-                F.col("_pick") == i, F.when(place.isNull(), F.lit(-1)).otherwise(cut).cast("long")
-            ).otherwise(cell)
+        joined = _join_hot(out, plan, group, "left")
+        place = F.element_at(F.array(*places), F.col("_pick") + 1)
+        below = F.size(F.filter("_cuts", lambda c: c < place)) + F.size(F.filter("_cuts", lambda c: c <= place))
+        cell = F.when(place.isNull(), FIRST_CELL).when(F.isnan(place), LAST_CELL).otherwise(below).cast("long")
         out = joined.withColumn(
-            CHUNK, F.when(cell.isNotNull(), F.concat(CHUNK, F.array(cell))).otherwise(F.col(CHUNK))
+            CHUNK, F.when(F.col("_pick").isNotNull(), F.concat(CHUNK, F.array(cell))).otherwise(F.col(CHUNK))
         ).select(*df.columns, CHUNK)
-    return out
+        level += 1
 
 
 @dataclass(frozen=True)

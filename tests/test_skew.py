@@ -106,3 +106,24 @@ def test_number_rows(spark, limit):
 def test_date_disorder_and_gaps(readings, limit):
     assert rows(quality.date_disorder(readings, hot_key_rows=limit)) == rows(quality.date_disorder(readings))
     assert rows(quality.update_gaps(readings, limit)) == rows(quality.update_gaps(readings))
+
+
+def test_chunks_of_uneven_values_end_below_the_limit(spark):
+    """Geometric values, long common prefixes, many ties with a few others, NaN and nulls."""
+    tables = {
+        "geometric": ([(1.5**i,) for i in range(200)], "double"),
+        "prefix": ([("p" * 60 + f"{i:04d}",) for i in range(200)], "string"),
+        "ties": ([(5.0 if i % 10 else float(i),) for i in range(200)], "double"),
+        "missing": ([(None if i % 4 == 0 else float("nan") if i % 4 == 1 else float(i),) for i in range(200)], "double"),
+    }
+    for name, (values, kind) in tables.items():
+        df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], f"id long, v {kind}")
+        chunked = skew.add_chunks(df, (), ["v", "id"], 10)
+        assert max(r["count"] for r in chunked.groupBy("_chunk").count().collect()) <= 10, name
+        rows = chunked.collect()
+
+        def sortable(v):
+            return (0, 0) if v is None else (2, 0) if v != v else (1, v)
+
+        by_chunk = [r["id"] for r in sorted(rows, key=lambda r: (list(r["_chunk"]), sortable(r["v"]), r["id"]))]
+        assert by_chunk == [r["id"] for r in sorted(rows, key=lambda r: (sortable(r["v"]), r["id"]))], name
