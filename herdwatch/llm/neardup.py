@@ -8,11 +8,11 @@ as with independent permutations, at the cost of a few passes over the set.
 
 Links between documents with equal sets need no sketch: they are one class. Classes that agree in one of the
 bands of four coordinates are candidates; a pair of similarity s = 0.75 shares no band with a probability of
-(1 - s^4)^32 = 5e-6. To keep a large group linear, candidates are tried in two steps. First each class is
-checked against one member of each of its buckets (picked by hash), the best by sketch. Components of these
-links are then complete for ordinary groups. Second, the sketches of all members of a bucket whose components
-still differ are compared, in blocks, and the pairs that agree enough are checked (154 of 256 equal bytes; a pair
-of 0.75 lies 5.5 standard deviations above). A link counts only after the full sets were compared.
+(1 - s^4)^32 = 5e-6. To keep a large group linear, candidates are tried in two steps. First, in two rounds, each
+class is checked against one member of each of its buckets (picked by hash), the best eight by sketch. Components of
+these links are then complete for ordinary groups. Second, the sketches of all members of a bucket whose components
+still differ are compared, in blocks, and the pairs that agree enough are checked (698 of 1024 equal bytes; a pair
+of 0.75 lies 5 standard deviations above). A link counts only after the full sets were compared.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import BLANKS, components, in_blocks, only_ids, with_shingles
 
-COORDS, BANDS, BAND = 256, 32, 4
-LEAST_EQUAL = 154
+COORDS, BANDS, BAND = 1024, 32, 4
+LEAST_EQUAL = 698
 SHINGLE, PERCENT = 5, 75
 
+# Candidates of a class that are checked in each of the first rounds.
+BEST = 8
 # Members of one bucket that are compared in one piece.
 BLOCK = 1024
 
@@ -173,6 +175,16 @@ def fits(a: str, b: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
+def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members (key, rep, n, c) of the buckets whose rows are in several components c so far."""
+    if roots is None:
+        return members.withColumn("c", F.col("rep"))
+    named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    named = materialize(named.select("key", "rep", "n", F.coalesce("root", "rep").alias("c")))
+    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return materialize(named.join(keys, "key"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one per row of ``docs``; other columns are not looked at.
 
@@ -197,28 +209,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = placed.groupBy("key").count().where("count > 1").select("key")
     members = materialize(placed.join(shared, "key"))
 
-    # First each class against the picked member of each of its buckets, the best one of them by sketch.
-    picked = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep", "n")).alias("_c"))
-    star = (
-        members.join(picked, "key").where(F.col("rep") != F.col("_c.rep")).where(fits("n", "_c.n"))
-        .select(F.col("rep").alias("a"), F.col("_c.rep").alias("b")).distinct()
-    )
-    best = sketched(star, nodes).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_m")).select("a", "_m.b")
-    linked = materialize(check_pairs(materialize(best), docs, id_col, text_col))
-    first = components(linked)
+    # First, in two rounds, each class against one picked member of each of its buckets, the best by sketch.
+    linked = roots = None
+    for seed in (1, 2):
+        open_members = still_open(members, roots)
+        order = F.xxhash64(F.lit(seed), "rep", "key").alias("o")
+        picked = open_members.groupBy("key").agg(F.min(F.struct(order, "rep", "n", "c")).alias("_c"))
+        star = (
+            open_members.join(picked, "key").where(F.col("c") != F.col("_c.c")).where(fits("n", "_c.n"))
+            .select(F.col("rep").alias("a"), F.col("_c.rep").alias("b")).distinct()
+        )
+        # At most one row per band and class to choose from.
+        best = sketched(star, nodes).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("equal", "b")), False).alias("_m"))
+        best = best.select("a", F.explode(F.slice("_m", 1, BEST)).alias("_x")).select("a", "_x.b")
+        found = check_pairs(materialize(best), docs, id_col, text_col)
+        linked = materialize(found if linked is None else linked.unionByName(found))
+        roots = components(linked)
 
     # Then all pairs of a bucket that these links have not joined.
-    named = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("root", "rep").alias("c")
-    )
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(open_keys, "key").join(nodes.select("rep", "sketch"), "rep")
+    rest = still_open(members, roots).join(nodes.select("rep", "sketch"), "rep")
     blocks = in_blocks(materialize(rest), ["key"], "rep", BLOCK).groupBy("key", "lo", "hi").agg(
         F.collect_list(F.struct("rep", "n", "c", "blk", "sketch")).alias("rows")
     )
     pairs = blocks.select("rows").mapInArrow(alike, "a long, b long").distinct()
     late = check_pairs(materialize(pairs), docs, id_col, text_col)
-    roots = materialize(components(materialize(linked.unionByName(late))))
+    roots = components(linked.unionByName(late))
 
     classes = nodes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         *name, F.coalesce("root", "rep").alias("_root")
