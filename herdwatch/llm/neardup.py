@@ -8,11 +8,13 @@ as with independent permutations, at the cost of a few passes over the set.
 
 Links between documents with equal sets need no sketch: they are one class. Classes that agree in one of the
 bands of four coordinates are candidates; a pair of similarity s = 0.75 shares no band with a probability of
-(1 - s^4)^32 = 5e-6. To keep a large group linear, candidates are tried in two steps. First, in two rounds, each
-class is checked against one member of each of its buckets (picked by hash), the best eight by sketch. Components of
-these links are then complete for ordinary groups. Second, the sketches of all members of a bucket whose components
-still differ are compared, in blocks, and the pairs that agree enough are checked (698 of 1024 equal bytes; a pair
-of 0.75 lies 5 standard deviations above). A link counts only after the full sets were compared.
+(1 - s^4)^32 = 5e-6. To keep a large group linear, candidates are tried in three steps. First, each class is checked
+against one member of each of its buckets, the best eight by sketch. The members are picked by one hash of the class,
+so that buckets of one group mostly pick the same few. Second, the sketches of all members of a bucket whose
+components still differ are compared, in blocks, and a tree of the likely links of each block is checked; components
+are then complete for ordinary groups. Third, all pairs of a bucket whose components differ even then and that agree
+enough are checked (698 of 1024 equal bytes; a pair of 0.75 lies 5 standard deviations above). A link counts only
+after the full sets were compared.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from ..session import materialize
 from .common import BLANKS, components, in_blocks, only_ids, with_shingles
 
 COORDS, BANDS, BAND = 1024, 32, 4
-LEAST_EQUAL = 698
+# Equal bytes of two sketches for a pair that is checked, and for one that is likely a link.
+LEAST_EQUAL, LIKELY = 698, 770
 SHINGLE, PERCENT = 5, 75
 
-# Candidates of a class that are checked in each of the first rounds.
+# Candidates of a class that are checked in the first step.
 BEST = 8
 # Members of one bucket that are compared in one piece.
 BLOCK = 1024
@@ -145,29 +148,44 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("equal", same).where(F.col("equal") >= LEAST_EQUAL).select("a", "b", "equal")
 
 
-def alike(batches):
-    """Pairs (a, b) of a block's rows that differ in component, fit in size and agree in enough sketch bytes."""
-    for batch in batches:
-        lists = batch.column(0)
-        ends = lists.offsets.to_numpy()
-        rows = lists.values
-        reps, sizes, named, blks = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "c", "blk"))
-        found = [], []
-        for start, stop in zip(ends[:-1], ends[1:], strict=True):
-            bytes_ = rows.field("sketch").slice(start, stop - start).flatten().to_numpy().view(np.uint8).reshape(-1, COORDS)
-            rep, n, c, blk = reps[start:stop], sizes[start:stop], named[start:stop], blks[start:stop]
-            one = blk.min() == blk.max()
-            for i in range(len(rep) - 1):
-                to = slice(i + 1, None)
-                ok = (c[to] != c[i]) & (100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i]))
-                if not one:
-                    ok &= blk[to] != blk[i]
-                at = np.flatnonzero(ok) + i + 1
-                at = at[np.count_nonzero(bytes_[at] == bytes_[i], axis=1) >= LEAST_EQUAL]
-                found[0].append(np.minimum(rep[at], rep[i]))
-                found[1].append(np.maximum(rep[at], rep[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def alike(tree: bool):
+    """Pairs (a, b) of a block's rows that differ in component, fit in size and agree in enough sketch bytes.
+
+    With ``tree``, only likely links (LIKELY), the best of each component, and none between rows that earlier ones
+    of the block join already: fewer than the block has rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            ends = lists.offsets.to_numpy()
+            rows = lists.values
+            reps, sizes, named, blks = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "c", "blk"))
+            found = [], []
+            for start, stop in zip(ends[:-1], ends[1:], strict=True):
+                bytes_ = rows.field("sketch").slice(start, stop - start).flatten().to_numpy().view(np.uint8).reshape(-1, COORDS)
+                rep, n, c, blk = reps[start:stop], sizes[start:stop], named[start:stop].copy(), blks[start:stop]
+                one = blk.min() == blk.max()
+                for i in range(len(rep) - 1):
+                    to = slice(i + 1, None)
+                    ok = (c[to] != c[i]) & (100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i]))
+                    if not one:
+                        ok &= blk[to] != blk[i]
+                    at = np.flatnonzero(ok) + i + 1
+                    equal = np.count_nonzero(bytes_[at] == bytes_[i], axis=1)
+                    enough = equal >= (LIKELY if tree else LEAST_EQUAL)
+                    at, equal = at[enough], equal[enough]
+                    if tree and len(at):
+                        at = at[np.argsort(-equal, kind="stable")]
+                        joined, first = np.unique(c[at], return_index=True)
+                        at = at[first]
+                        c[np.isin(c, joined)] = c[i]
+                    found[0].append(np.minimum(rep[at], rep[i]))
+                    found[1].append(np.maximum(rep[at], rep[i]))
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def fits(a: str, b: str):
@@ -175,10 +193,8 @@ def fits(a: str, b: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
-def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (key, rep, n, c) of the buckets whose rows are in several components c so far."""
-    if roots is None:
-        return members.withColumn("c", F.col("rep"))
     named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     named = materialize(named.select("key", "rep", "n", F.coalesce("root", "rep").alias("c")))
     keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
@@ -209,32 +225,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = placed.groupBy("key").count().where("count > 1").select("key")
     members = materialize(placed.join(shared, "key"))
 
-    # First, in two rounds, each class against one picked member of each of its buckets, the best by sketch.
-    linked = roots = None
-    for seed in (1, 2):
-        open_members = still_open(members, roots)
-        order = F.xxhash64(F.lit(seed), "rep", "key").alias("o")
-        picked = open_members.groupBy("key").agg(F.min(F.struct(order, "rep", "n", "c")).alias("_c"))
-        star = (
-            open_members.join(picked, "key").where(F.col("c") != F.col("_c.c")).where(fits("n", "_c.n"))
-            .select(F.col("rep").alias("a"), F.col("_c.rep").alias("b")).distinct()
+    # First, each class against one picked member of each of its buckets, the best by sketch.
+    picked = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("_c"))
+    star = (
+        members.join(picked, "key").where(F.col("rep") != F.col("_c.rep")).where(fits("n", "_c.n"))
+        .select(F.col("rep").alias("a"), F.col("_c.rep").alias("b")).distinct()
+    )
+    # At most one row per band and class to choose from.
+    best = sketched(star, nodes).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("equal", "b")), False).alias("_m"))
+    best = best.select("a", F.explode(F.slice("_m", 1, BEST)).alias("_x")).select("a", "_x.b")
+    linked = materialize(check_pairs(materialize(best), docs, id_col, text_col))
+    roots = components(linked)
+
+    # Then the buckets that these links have not joined: a tree of the likely links, and all pairs that are left.
+    for tree in (True, False):
+        rest = still_open(members, roots).join(nodes.select("rep", "sketch"), "rep")
+        blocks = in_blocks(materialize(rest), ["key"], "rep", BLOCK).groupBy("key", "lo", "hi").agg(
+            F.collect_list(F.struct("rep", "n", "c", "blk", "sketch")).alias("rows")
         )
-        # At most one row per band and class to choose from.
-        best = sketched(star, nodes).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("equal", "b")), False).alias("_m"))
-        best = best.select("a", F.explode(F.slice("_m", 1, BEST)).alias("_x")).select("a", "_x.b")
-        found = check_pairs(materialize(best), docs, id_col, text_col)
-        linked = materialize(found if linked is None else linked.unionByName(found))
+        pairs = blocks.select("rows").mapInArrow(alike(tree), "a long, b long").distinct()
+        linked = materialize(linked.unionByName(check_pairs(materialize(pairs), docs, id_col, text_col)))
         roots = components(linked)
 
-    # Then all pairs of a bucket that these links have not joined.
-    rest = still_open(members, roots).join(nodes.select("rep", "sketch"), "rep")
-    blocks = in_blocks(materialize(rest), ["key"], "rep", BLOCK).groupBy("key", "lo", "hi").agg(
-        F.collect_list(F.struct("rep", "n", "c", "blk", "sketch")).alias("rows")
-    )
-    pairs = blocks.select("rows").mapInArrow(alike, "a long, b long").distinct()
-    late = check_pairs(materialize(pairs), docs, id_col, text_col)
-    roots = components(linked.unionByName(late))
-
     classes = nodes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         *name, F.coalesce("root", "rep").alias("_root")
     )
