@@ -152,18 +152,20 @@ def alike(tree: bool):
     """Pairs (a, b) of a block's rows that differ in component, fit in size and agree in enough sketch bytes.
 
     With ``tree``, only likely links (LIKELY), the best of each component, and none between rows that earlier ones
-    of the block join already: fewer than the block has rows.
+    of the block join already: fewer than the block has rows. Otherwise a pair comes from the first bucket it shares.
     """
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(0)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
             ends = lists.offsets.to_numpy()
             rows = lists.values
             reps, sizes, named, blks = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "c", "blk"))
             found = [], []
-            for start, stop in zip(ends[:-1], ends[1:], strict=True):
+            for key, start, stop in zip(keys, ends[:-1], ends[1:], strict=True):
                 bytes_ = rows.field("sketch").slice(start, stop - start).flatten().to_numpy().view(np.uint8).reshape(-1, COORDS)
+                bands = rows.field("bands").slice(start, stop - start).flatten().to_numpy().reshape(-1, BANDS)
                 rep, n, c, blk = reps[start:stop], sizes[start:stop], named[start:stop].copy(), blks[start:stop]
                 one = blk.min() == blk.max()
                 for i in range(len(rep) - 1):
@@ -180,6 +182,8 @@ def alike(tree: bool):
                         joined, first = np.unique(c[at], return_index=True)
                         at = at[first]
                         c[np.isin(c, joined)] = c[i]
+                    elif len(at):
+                        at = at[bands[i][np.argmax(bands[at] == bands[i], axis=1)] == key]
                     found[0].append(np.minimum(rep[at], rep[i]))
                     found[1].append(np.maximum(rep[at], rep[i]))
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
@@ -239,11 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Then the buckets that these links have not joined: a tree of the likely links, and all pairs that are left.
     for tree in (True, False):
-        rest = still_open(members, roots).join(nodes.select("rep", "sketch"), "rep")
+        rest = still_open(members, roots).join(nodes.select("rep", "sketch", "bands"), "rep")
         blocks = in_blocks(materialize(rest), ["key"], "rep", BLOCK).groupBy("key", "lo", "hi").agg(
-            F.collect_list(F.struct("rep", "n", "c", "blk", "sketch")).alias("rows")
+            F.collect_list(F.struct("rep", "n", "c", "blk", "sketch", "bands")).alias("rows")
         )
-        pairs = blocks.select("rows").mapInArrow(alike(tree), "a long, b long").distinct()
+        pairs = blocks.select("key", "rows").mapInArrow(alike(tree), "a long, b long").distinct()
         linked = materialize(linked.unionByName(check_pairs(materialize(pairs), docs, id_col, text_col)))
         roots = components(linked)
 
