@@ -110,9 +110,9 @@ def valid_date_range(start: str | Column, end: str | Column, as_of) -> Column:
 
 
 def size_text(size: str | Column) -> Column:
-    """A byte count as text with unit."""
+    """A byte count as text with unit, ties rounded to the even digit."""
     size = col_of(size).cast("double")
-    out = F.format_string("%.1f B", size)
+    out = F.format_string("%.1f B", F.bround(size, 1))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(size >= 1024.0**power, F.format_string(f"%.1f {unit}", size / 1024.0**power)).otherwise(out)
+        out = F.when(size >= 1024.0**power, F.format_string(f"%.1f {unit}", F.bround(size / 1024.0**power, 1))).otherwise(out)
     return F.when(size == 0, "0 B").otherwise(out)

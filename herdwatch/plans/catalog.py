@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_contracts, q_detection, q_logs, q_models, q_quality, q_reports, q_storage  # noqa: F401
+from . import (  # noqa: F401
+    q_clean,
+    q_contracts,
+    q_detection,
+    q_logs,
+    q_models,
+    q_quality,
+    q_reports,
+    q_storage,
+    q_stored,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

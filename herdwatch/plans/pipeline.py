@@ -57,8 +57,8 @@ def run(
 ) -> Results:
     """Run the enabled steps over a table of readings with animal type and farm.
 
-    The detected table is stored once in the shared folder, because clusters, notification,
-    export and reports all read it; everything else stays lazy. ``strict`` stops at invalid
+    The cleaned and the detected table are stored once in the shared folder, because scaling and detectors,
+    clusters, notification, export and reports all read them; everything else stays lazy. ``strict`` stops at invalid
     data when a contract is given. Switches apply to this run only.
     """
     switches, settings = switches or {}, settings or DetectionSettings()
@@ -87,7 +87,8 @@ def run(
         out.steps.append("data_quality")
 
     if enabled("preprocessing", switches):
-        data = clean.clean(data, order_by=order_by, hot_key_rows=hot_key_rows)
+        # Scaling and both detectors read it, several passes in all.
+        data = write_and_read(clean.clean(data, order_by=order_by, hot_key_rows=hot_key_rows), "cleaned")
         out.tables["cleaned"] = data
         out.tables["normalized"] = normalize.fit_transform(data, [m for m in METRICS if m in data.columns])
         out.steps.append("preprocessing")
