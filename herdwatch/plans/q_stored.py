@@ -292,3 +292,47 @@ def top_features_of_scores(spark, sf_dir):
     return scored.groupBy("animal_type").agg(
         F.count("*").alias("anomalies"), iforest.top_features(METRICS, scored.columns).alias("top_features")
     )
+
+
+@query(
+    v.with_views(
+        "metrics_raw livestock",
+        f"""WITH marked AS (
+  SELECT farm_id, tag_id, animal_type, time_bucket(INTERVAL 7 DAY, date, TIMESTAMP '1970-01-01') AS start_date,
+         coalesce(heart_rate > 100, false) AS a, heart_rate / 20 AS a_score, value > 40 AS f, value / 10 AS f_score
+  FROM metrics_raw LEFT JOIN livestock USING (tag_id) WHERE farm_id IS NOT NULL),
+figures AS (
+  SELECT farm_id, start_date, count(*) FILTER (a) >= 3 AS has_a, count(*) FILTER (f) >= 3 AS has_f,
+         count(DISTINCT tag_id) FILTER (a) AS a_animals, count(DISTINCT tag_id) FILTER (f) AS f_animals,
+         avg(a_score) FILTER (a) AS a_mean, avg(f_score) FILTER (f) AS f_mean,
+         coalesce(list(DISTINCT animal_type) FILTER (a), []) AS a_types,
+         coalesce(list(DISTINCT animal_type) FILTER (f), []) AS f_types
+  FROM marked GROUP BY 1, 2),
+merged AS (
+  SELECT farm_id, start_date, CAST(has_a AS INT) + CAST(has_f AS INT) AS methods,
+         greatest(CASE WHEN has_a THEN a_animals ELSE 0 END, CASE WHEN has_f THEN f_animals ELSE 0 END) AS affected_animals,
+         CASE WHEN has_a AND has_f THEN (a_mean + f_mean) / 2 WHEN has_a THEN a_mean ELSE f_mean END AS mean,
+         list_sort(list_distinct(list_concat(CASE WHEN has_a THEN a_types ELSE [] END, CASE WHEN has_f THEN f_types ELSE [] END))) AS types,
+         concat_ws(',', CASE WHEN has_f THEN 'isolation_forest' END, CASE WHEN has_a THEN 'statistical' END) AS detection_methods,
+         CASE WHEN has_f THEN 'activity_level,heart_rate,temperature' ELSE '' END AS features_contributing
+  FROM figures WHERE has_a OR has_f)
+SELECT farm_id, {time_text("start_date")} AS start_date, {time_text("start_date + INTERVAL 7 DAY")} AS end_date, affected_animals,
+       array_to_string(types, ',') AS animal_types, detection_methods, {rounded("mean")} AS avg_anomaly_score,
+       features_contributing, {rounded("least(10, mean * methods / 2)")} AS ensemble_score,
+       CASE WHEN affected_animals >= 10 OR mean >= 7 THEN 'critical' WHEN affected_animals >= 5 OR mean >= 5 THEN 'high'
+            WHEN affected_animals >= 3 OR mean >= 3 THEN 'medium' ELSE 'low' END AS severity
+FROM merged WHERE affected_animals >= 3""",
+    )
+)
+def ensemble_clusters_of_scores(spark, sf_dir):
+    herd = v.livestock(spark, sf_dir).select("tag_id", "animal_type", "farm_id")
+    scored = v.metrics_raw(spark, sf_dir).join(herd, "tag_id", "left").withColumns(
+        {
+            "is_anomaly": F.coalesce(F.col("heart_rate") > 100, F.lit(False)),
+            "anomaly_score": F.col("heart_rate") / 20,
+            "if_anomaly": F.col("value") > 40,
+            "if_anomaly_score": F.col("value") / 10,
+            **{f"{m}_if_contribution": F.coalesce(F.expr(s), F.lit(0.0)) for m, s in _SHARES.items()},
+        }
+    )
+    return en.detect_ensemble_clusters(scored)
