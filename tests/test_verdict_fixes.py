@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from herdwatch.functions.scalars import parse_date
+from herdwatch.functions.scalars import parse_date, size_text
 from herdwatch.operators import clean, contracts, iforest, joins, seasonal, storage
 
 PLAIN = """
@@ -114,3 +114,9 @@ def test_samples_follow_one_scheme(spark, rows):
     scaling = {"a": {"mean": 0.0, "scale": 1.0, "reach": 1.0}}
     counts = {r["tree"]: r["count"] for r in iforest._samples(df, rows, ["id"], ["a"], scaling, 20, 32, 3).groupBy("tree").count().collect()}
     assert counts == dict.fromkeys(range(20), 32)
+
+
+def test_size_text_rounds_ties_to_even(spark):
+    sizes = spark.createDataFrame([(0,), (1023,), (800000,), (160000,), (5 * 1024**3,)], "size long")
+    got = [r[0] for r in sizes.select(size_text("size")).collect()]
+    assert got == ["0 B", "1023.0 B", "781.2 KB", "156.2 KB", "5.0 GB"]
