@@ -11,9 +11,13 @@ below them is shared by the classes:
 P(stem) is the stem's share of all counts, and P(rest) the share of all distinct words that end in it (the
 continuation count). A stem that a class has never seen leaves P(rest) alone. The discount D = 2 leaves nothing
 of an expression that a class has seen once or twice: the shared counts speak for it, so that the smaller class
-isn't credited with chance. Counts are sums over the labelled rows of the language-model part and grow with them; the
-tables that are sent to the scorers hold the most frequent entries, up to documented sizes, the others fall
-back to the shared counts.
+isn't credited with chance. Counts are sums over the labelled rows of the language-model part and grow with them.
+
+The difference log P_toxic - log P_ordinary is worked out once per word and stored. Where no class has a word more
+than D times, P(rest) cancels out and the stem's difference is the word's; where no class has a stem more than D
+times, all of it cancels but the classes' discounted shares. So only the other words and stems are stored, and
+nothing is lost. The most frequent of them are broadcast, up to documented sizes; those beyond are joined to the
+distinct words and stems of each text, so that every entry counts at every size.
 
 A text's length-normalised difference of log-likelihoods, the best 24-word window of it, and the sums of its
 words' differences above 1, 3 and 5 enter a logistic regression, fitted on a bounded sample of the other labelled rows.
@@ -25,17 +29,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import NOT_WORD, small, words
+from .common import BROADCAST_IDS, NOT_WORD, small, words
 from .langid import held_out
 
 STEM, DISCOUNT, SPAN, STRONG = 4, 2, 24, (1, 3, 5)
 FEATURES = 2 + len(STRONG)
-# Entries of the tables sent to the scorers, rows that fit the regression, labels that are broadcast.
-MOST_WORDS, MOST_STEMS, MOST_RESTS = 300_000, 100_000, 200_000
+# Entries that are broadcast (the others are joined), rows that fit the regression, labels that are broadcast.
+MOST_WORDS, MOST_STEMS = 300_000, 100_000
 SAMPLE, BROADCAST_LABELS = 20_000, 1_000_000
 PREDICT = 0.7
 CHUNK = 1 << 20
@@ -43,47 +47,38 @@ CHUNK = 1 << 20
 
 @dataclass
 class Table:
-    """Values by 64-bit key; a key that is not there has the defaults (zero)."""
+    """Values by 64-bit key."""
 
     keys: np.ndarray
     values: np.ndarray
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros((len(keys), self.values.shape[1]))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        out = self.values[at]
-        out[self.keys[at] != keys] = 0
-        return out
+    def put(self, keys: np.ndarray, out: np.ndarray) -> None:
+        """Sets ``out`` where a key is in the table."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = self.keys[at] == keys
+            out[found] = self.values[at[found]]
 
 
 @dataclass
 class Model:
-    words: Table  # counts in (toxic, ordinary)
-    stems: Table  # counts in both, what is discounted from their rests in both
-    rests: Table  # distinct words with the rest
-    totals: np.ndarray  # words of both, what is discounted from stems of both, distinct words
+    words: Table  # log P_toxic - log P_ordinary of the most frequent words
+    stems: Table  # the same of words that are not stored, by stem
+    unseen: float  # the same of words whose stem is not stored
     weights: np.ndarray | None = None
 
-    def ratios(self, stem: np.ndarray, rest: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log P_toxic - log P_ordinary of each word."""
-        s, w = self.stems.get(stem), self.words.get(word)
-        p_stem = (s[:, 0] + s[:, 1] + 0.5) / (self.totals[0] + self.totals[1] + 1)
-        p_rest = (self.rests.get(rest)[:, 0] + 0.5) / (self.totals[4] + 1)
-        log = []
-        for c in (0, 1):
-            n = self.totals[c] + 1
-            first = (np.maximum(s[:, c] - DISCOUNT, 0) + (self.totals[2 + c] + 1) * p_stem) / n
-            seen = s[:, 2 + c] > 0
-            second = np.where(
-                seen,
-                (np.maximum(w[:, c] - DISCOUNT, 0) + s[:, 2 + c] * p_rest) / np.maximum(s[:, c], 1),
-                p_rest,
-            )
-            log.append(np.log(first) + np.log(second))
-        return log[0] - log[1]
-
-    def features(self, stem: np.ndarray, rest: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def ratios(self, stem: np.ndarray, word: np.ndarray, more: tuple[Table, Table] | None) -> np.ndarray:
+        """log P_toxic - log P_ordinary of each word; ``more`` has words and stems that are not broadcast."""
+        out = np.full(len(word), self.unseen)
+        self.stems.put(stem, out)
+        if more:
+            more[1].put(stem, out)
+        self.words.put(word, out)
+        if more:
+            more[0].put(word, out)
+        return out
+
+    def features(self, stem: np.ndarray, word: np.ndarray, lengths: np.ndarray, more: tuple[Table, Table] | None) -> np.ndarray:
         """Per text: mean ratio, best window's mean, logs of the strong words' sums."""
         out = np.zeros((len(lengths), FEATURES))
         ends = np.cumsum(lengths)
@@ -91,7 +86,7 @@ class Model:
         while start < len(lengths):
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
-            r = self.ratios(stem[base : ends[stop - 1]], rest[base : ends[stop - 1]], word[base : ends[stop - 1]])
+            r = self.ratios(stem[base : ends[stop - 1]], word[base : ends[stop - 1]], more)
             total = np.concatenate([[0], np.cumsum(r)])
             strong = [np.concatenate([[0], np.cumsum(np.maximum(r - least, 0))]) for least in STRONG]
             for i in range(start, stop):
@@ -109,66 +104,131 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def hashed(docs: DataFrame, *columns: str) -> DataFrame:
-    """Adds arrays _s, _r, _w: hashes of the stems, rests and words of column _text."""
+def hashed(docs: DataFrame, *columns: str, rests: bool = False) -> DataFrame:
+    """Adds arrays _s, _w, and _r if wanted: hashes of the stems, words and rests of column _text."""
     df = docs.withColumn("_words", words(F.col("_text"), NOT_WORD))
-    return df.select(
-        *columns,
+    lists = [
         F.transform("_words", lambda w: F.xxhash64(F.substring(w, 1, STEM))).alias("_s"),
-        F.transform("_words", lambda w: F.xxhash64(F.substring(w, F.lit(STEM + 1), F.length(w)))).alias("_r"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_w"),
-    )
+    ]
+    if rests:
+        lists.append(F.transform("_words", lambda w: F.xxhash64(F.substring(w, F.lit(STEM + 1), F.length(w)))).alias("_r"))
+    return df.select(*columns, *lists)
 
 
-def most_frequent(df: DataFrame, by: str, bound: int) -> DataFrame:
-    """Rows whose ``by`` is at least the least power of 2^(1/4) that leaves at most ``bound`` rows."""
-    steps = df.groupBy(F.floor(F.log2(by) * 4).cast("int").alias("step")).count().collect()
-    taken, least = 0, 0
+def frequent(df: DataFrame, bound: int) -> Column:
+    """Whether n is at least the least power of 2^(1/4) that leaves at most ``bound`` rows."""
+    step = F.floor(F.log2("n") * 4).cast("int")
+    steps = df.groupBy(step.alias("step")).count().collect()
+    taken, least = 0, 1 + max((row["step"] for row in steps), default=0)
     for row in sorted(steps, key=lambda r: -r["step"]):
         taken += row["count"]
         if taken > bound:
             break
         least = row["step"]
-    return df.where(F.floor(F.log2(by) * 4).cast("int") >= least)
+    return step >= least
 
 
-def to_table(df: DataFrame, key: str, columns: list[str]) -> Table:
-    got = df.select(key, *columns).toArrow()
-    keys = got.column(key).to_numpy()
-    values = np.column_stack([got.column(c).to_numpy() for c in columns]).astype(np.float64) if len(keys) else np.zeros((0, len(columns)))
+def to_table(df: DataFrame) -> Table:
+    got = df.select("h", "ratio").toArrow()
+    keys, values = (got.column(c).to_numpy() for c in ("h", "ratio"))
     order = np.argsort(keys)
     return Table(keys[order], values[order])
 
 
-def count_model(rows: DataFrame) -> Model:
-    """Counts all rows (_text, toxic)."""
-    df = hashed(rows, "toxic")
+def count_model(rows: DataFrame) -> tuple[Model, DataFrame | None]:
+    """Counts all rows (_text, toxic): the model, and rows (is_word, h, ratio) that are not broadcast, None without any."""
+    df = hashed(rows, "toxic", rests=True)
     each = df.select("toxic", F.explode(F.arrays_zip("_s", "_r", "_w")).alias("x")).select("toxic", "x._s", "x._r", "x._w")
     t, o = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    counts = materialize(each.groupBy("_s", "_r", "_w").agg(t.alias("t"), o.alias("o")).withColumn("n", F.col("t") + F.col("o")))
-    both = [F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum(F.least("t", F.lit(DISCOUNT))).alias("dt"), F.sum(F.least("o", F.lit(DISCOUNT))).alias("do")]
-    stems = materialize(counts.groupBy("_s").agg(*both, F.sum("n").alias("n")))
-    rests = materialize(counts.groupBy("_r").agg(F.count("*").alias("n")))
-    got = stems.agg(F.sum("t"), F.sum("o"), F.sum(F.least("t", F.lit(DISCOUNT))), F.sum(F.least("o", F.lit(DISCOUNT)))).first()
-    totals = np.array([*(x or 0 for x in got), counts.count()], np.float64)
-    return Model(
-        to_table(most_frequent(counts, "n", MOST_WORDS), "_w", ["t", "o"]),
-        to_table(most_frequent(stems, "n", MOST_STEMS), "_s", ["t", "o", "dt", "do"]),
-        to_table(most_frequent(rests, "n", MOST_RESTS), "_r", ["n"]),
-        totals,
+    counts = materialize(each.groupBy("_s", "_r", "_w").agg(t.alias("t"), o.alias("o")))
+    both = [F.sum("t").alias("st"), F.sum("o").alias("so"), F.sum(F.least("t", F.lit(DISCOUNT))).alias("dt"), F.sum(F.least("o", F.lit(DISCOUNT))).alias("do")]
+    stems = materialize(counts.groupBy("_s").agg(*both))
+    rests = materialize(counts.groupBy("_r").agg(F.count("*").alias("endings")))
+    got = stems.agg(F.sum("st"), F.sum("so"), F.sum(F.least("st", F.lit(DISCOUNT))), F.sum(F.least("so", F.lit(DISCOUNT)))).first()
+    totals, distinct = [float(x or 0) for x in got], counts.count()
+
+    def over(column: str) -> Column:
+        return F.greatest(F.col(column) - DISCOUNT, F.lit(0))
+
+    p_stem = (F.col("st") + F.col("so") + 0.5) / (totals[0] + totals[1] + 1)
+    p_rest = (F.col("endings") + 0.5) / (distinct + 1)
+    first = [F.log((over(s) + (totals[2 + c] + 1) * p_stem) / (totals[c] + 1)) for c, s in enumerate(("st", "so"))]
+    kept = [F.when(F.col(d) > 0, F.log(F.col(d) / F.col(s))).otherwise(0.0) for d, s in (("dt", "st"), ("do", "so"))]
+    second = [
+        F.log(F.when(F.col(d) > 0, (over(w) + F.col(d) * p_rest) / F.col(s)).otherwise(p_rest))
+        for w, d, s in (("t", "dt", "st"), ("o", "do", "so"))
+    ]
+    by_stem = stems.where(F.greatest("st", "so") > DISCOUNT).select(
+        F.lit(False).alias("is_word"), F.col("_s").alias("h"), (F.col("st") + F.col("so")).alias("n"), (first[0] - first[1] + kept[0] - kept[1]).alias("ratio")
     )
+    often = counts.where(F.greatest("t", "o") > DISCOUNT)
+    by_word = often.join(small(stems, BROADCAST_IDS), "_s").join(small(rests, BROADCAST_IDS), "_r").select(
+        F.lit(True).alias("is_word"), F.col("_w").alias("h"), (F.col("t") + F.col("o")).alias("n"), (first[0] - first[1] + second[0] - second[1]).alias("ratio")
+    )
+    stored = materialize(by_word.unionByName(by_stem))
+    near, far = [], []
+    for part, bound in ((stored.where("is_word"), MOST_WORDS), (stored.where("not is_word"), MOST_STEMS)):
+        sent = frequent(part, bound)
+        near.append(to_table(part.where(sent)))
+        far.append(part.where(~sent).select("is_word", "h", "ratio"))
+    rest = far[0].unionByName(far[1])
+    unseen = np.log((totals[2] + 1) / (totals[0] + 1)) - np.log((totals[3] + 1) / (totals[1] + 1))
+    return Model(*near, float(unseen)), None if rest.isEmpty() else rest
+
 
+def with_rest(docs: DataFrame, shared, rest: DataFrame) -> DataFrame:
+    """Adds _more: what ``rest`` has of the text's words and stems.
 
-def featured(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
+    Each text's distinct words and stems that are not broadcast meet ``rest`` once; equal texts share one list.
+    """
+    key = [F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_k"), F.xxhash64(F.lit("second"), F.coalesce("_text", F.lit(""))).alias("_k2")]
+    keyed = docs.select("*", *key)
+
+    def missing(batches):
+        for batch in batches:
+            k, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_k", "_k2"))
+            lengths = np.diff(batch.column("_w").offsets.to_numpy())
+            at = np.repeat(np.arange(len(lengths)), lengths)
+            stem, word = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_s", "_w"))
+            shared.value.words.put(word, known_word := np.full(len(word), np.nan))
+            shared.value.stems.put(stem, known_stem := np.full(len(word), np.nan))
+            left = np.isnan(known_word)
+            for is_word, hashes, here in ((True, word, left), (False, stem, left & np.isnan(known_stem))):
+                row, h = at[here], hashes[here]
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+                row, h = row[new], h[new]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[row]), pa.array(k2[row]), pa.array(np.full(len(h), is_word)), pa.array(h)], names=["_k", "_k2", "is_word", "h"]
+                )
+
+    asked = hashed(keyed, "_k", "_k2").mapInArrow(missing, "_k long, _k2 long, is_word boolean, h long").distinct()
+    found = asked.join(rest, ["is_word", "h"]).groupBy("_k", "_k2").agg(F.collect_list(F.struct("is_word", "h", "ratio")).alias("_more"))
+    return keyed.join(found, ["_k", "_k2"], "left").select(*docs.columns, F.coalesce("_more", F.array().cast(dict(found.dtypes)["_more"])).alias("_more"))
+
+
+def featured(docs: DataFrame, model: Model, rest: DataFrame | None, *columns: str) -> DataFrame:
     """Columns and the text's features f0, f1, ..."""
-    df = hashed(docs, *columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    joined = rest is not None
+    df = hashed(with_rest(docs, shared, rest), *columns, "_more") if joined else hashed(docs, *columns)
 
     def run(batches):
         for batch in batches:
-            lists = [batch.column(c) for c in ("_s", "_r", "_w")]
+            more = None
+            if joined:
+                got = batch.column("_more").flatten()
+                is_word, h, ratio = (got.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                more = []
+                for here in (is_word, ~is_word):
+                    keys, first = np.unique(h[here], return_index=True)
+                    more.append(Table(keys, ratio[here][first]))
+            lists = [batch.column(c) for c in ("_s", "_w")]
             lengths = np.diff(lists[0].offsets.to_numpy())
-            found = shared.value.features(*[x.flatten().to_numpy(zero_copy_only=False) for x in lists], lengths)
+            found = shared.value.features(*[x.flatten().to_numpy(zero_copy_only=False) for x in lists], lengths, more)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *[pa.array(found[:, j]) for j in range(FEATURES)]], names=[*columns, *[f"f{j}" for j in range(FEATURES)]])
 
     schema = df.select(*columns).schema
@@ -216,15 +276,15 @@ def score_toxicity(
     flag = held_out("id").alias("held_out")
     if min(sizes.get((f, c), 0) for f in (0, 1) for c in (0, 1)) == 0:
         return texts.select(F.col("id").alias(id_col), flag, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    model = count_model(labelled(0))
-    fit = featured(labelled(1, sample / (sizes[1, 0] + sizes[1, 1])), model, "toxic").toPandas()
+    model, rest = count_model(labelled(0))
+    fit = featured(labelled(1, sample / (sizes[1, 0] + sizes[1, 1])), model, rest, "toxic").toPandas()
     # A fixed order, whatever order the rows came in.
     names = [f"f{j}" for j in range(FEATURES)]
     fit = fit.sort_values([*names, "toxic"])
     if fit["toxic"].nunique() < 2:
         return texts.select(F.col("id").alias(id_col), flag, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     model.weights = regression(fit[names].to_numpy(), fit["toxic"].to_numpy())
-    found = featured(texts, model, "id")
+    found = featured(texts, model, rest, "id")
     z = F.lit(float(model.weights[0]))
     for j in range(FEATURES):
         z = z + float(model.weights[j + 1]) * F.col(f"f{j}")

@@ -370,6 +370,54 @@ def test_toxicity_of_odd_tables(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def plain_ratios(rows, asked):
+    """log P_toxic - log P_ordinary of each asked word, from the counts of all rows (text, toxic), by the module's formulas."""
+    d = toxicity.DISCOUNT
+    counts = [collections.Counter(w for text, toxic in rows if toxic == c for w in token_words(text)) for c in (1, 0)]
+    stems = [collections.Counter() for _ in counts]
+    held = [collections.Counter() for _ in counts]
+    for c, count in enumerate(counts):
+        for w, n in count.items():
+            stems[c][w[:4]] += n
+            held[c][w[:4]] += min(n, d)
+    known = counts[0].keys() | counts[1].keys()
+    endings = collections.Counter(w[4:] for w in known)
+    total = [sum(c.values()) for c in counts]
+    out = {}
+    for w in asked:
+        log = []
+        p_stem = (stems[0][w[:4]] + stems[1][w[:4]] + 0.5) / (sum(total) + 1)
+        p_rest = (endings[w[4:]] + 0.5) / (len(known) + 1)
+        for c in (0, 1):
+            s = stems[c][w[:4]]
+            first = (max(s - d, 0) + (sum(min(n, d) for n in stems[c].values()) + 1) * p_stem) / (total[c] + 1)
+            second = (max(counts[c][w] - d, 0) + held[c][w[:4]] * p_rest) / s if s else p_rest
+            log.append(np.log(first) + np.log(second))
+        out[w] = log[0] - log[1]
+    return out
+
+
+@pytest.mark.parametrize("bounds", [(300_000, 100_000), (40, 20), (0, 0)])
+def test_every_counted_word_is_scored(spark, monkeypatch, bounds):
+    """However few entries are broadcast, each word has the score of its full counts."""
+    monkeypatch.setattr(toxicity, "MOST_WORDS", bounds[0])
+    monkeypatch.setattr(toxicity, "MOST_STEMS", bounds[1])
+    rng = random.Random(9)
+    names = ["".join(rng.choices("abc", k=rng.randint(1, 5))) + rng.choice(["", "ing", "er", "x"]) for _ in range(300)]
+    rows = [(" ".join(rng.choices(names, [1 / (i + 1) for i in range(300)], k=30)), int(i % 4 == 0)) for i in range(80)]
+    asked = sorted({*names, "zzzz", "abcazz", "a"})
+    want = plain_ratios(rows, asked)
+    made = toxicity.count_model(spark.createDataFrame(rows, "_text string, toxic int"))
+    model, rest = made if isinstance(made, tuple) else (made, ())
+    texts = [(w, w) for w in [*asked, *asked[:3]]] + [("", ""), (None, None)]
+    docs = spark.createDataFrame(texts, "id string, _text string")
+    # A text of one word has that word's ratio as its first feature.
+    got = (toxicity.featured(docs, model, rest, "id") if rest != () else toxicity.featured(docs, model, "id")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["f0"] == pytest.approx(want[r["id"]] if r["id"] else 0, abs=1e-9), r["id"]
+
+
 def test_language_on_held_out_rows(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
