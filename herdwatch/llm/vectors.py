@@ -7,6 +7,9 @@ their Voronoi cell, and a heap walks the two lists in the order of the sum. Cosi
 most sqrt(2 - 2c), and no vector that near lies in a cell whose bound is larger: with a target recall of 1 the
 walk stops there, and nothing is missed. A lower target stops at the bound that holds this share of the links
 among the sample. Visited cells compare vectors in blocks, in double precision.
+
+Only vectors of equal length have a cosine: each length has codebooks and cells of its own. A length of which no
+label has more than a cell's worth of vectors is one cell per label.
 """
 
 from __future__ import annotations
@@ -123,8 +126,8 @@ def near_vectors(
     """Rows (id_col, n_links, component_id, kept), one per row of the input.
 
     Vectors link if their labels are equal and not null and their cosine is at least ``cosine``. Vectors that
-    are null, empty, zero, of another length than the first sampled one, or hold null or non-finite components
-    link with nothing, as do rows without label or id (component_id is then the id). Rows that share an id count as
+    are null, empty, zero, or hold null or non-finite components link with nothing, as do rows without label
+    or id (component_id is then the id); vectors of different lengths don't link with each other. Rows that share an id count as
     one vector, the least (label, vector) of them. An empty table gives no rows; other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -133,15 +136,12 @@ def near_vectors(
     good = rows.where("id is not null and label is not null and v is not null").where(finite).where(F.exists("v", lambda x: x != 0))
     index = good.groupBy("id").agg(F.min(F.struct("label", "v")).alias("m")).select("id", "m.label", "m.v")
 
-    drawn = [np.asarray(r["v"], np.float64) for r in good.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()]
-    largest = good.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    per_label = good.groupBy(F.size("v").alias("dim"), "label").count()
+    sizes = per_label.groupBy("dim").agg(F.max("count").alias("largest"), F.sum("count").alias("n")).where("largest > 1").collect()
     links = None
-    if largest > 1:
-        dim = len(drawn[0])
-        k = int(np.clip(np.ceil(np.sqrt(largest / PER_CELL)), 1, MOST_CENTROIDS))
-        books, stop = fit(unit(np.stack([v for v in drawn if len(v) == dim])), k, cosine, target_recall)
-        index = index.where(F.size("v") == dim)
-        placed = materialize(placements(index, books, stop))
+    if sizes:
+        books = fit_lengths(good, {r["dim"]: (r["largest"], r["n"]) for r in sizes}, sample, cosine, target_recall)
+        placed = materialize(placements(index, books))
         links = materialize(compare(placed, cosine))
     else:
         links = spark.createDataFrame([], "id long, links long, root long")
@@ -156,40 +156,83 @@ def near_vectors(
     )
 
 
-def placements(index: DataFrame, books: list[np.ndarray], stop: float) -> DataFrame:
-    """Rows (label, cell, id, role, v): role 0 in the own cell, role 1 in visited cells of a higher number.
+def fit_lengths(good: DataFrame, sizes: dict[int, tuple[int, int]], sample: int, cosine: float, target_recall: float) -> dict:
+    """What ``fit`` gives, by length, for those with more than a cell's worth of vectors in a label.
 
-    If two vectors of different cells link, each visits the other's cell; the higher cell's row is enough.
+    ``sizes`` has by length the largest label's number of vectors and that of all. About ``sample`` vectors of all
+    lengths are drawn by hash of the id, but at least about four per centroid.
+    """
+    ks = {dim: int(np.clip(np.ceil(np.sqrt(largest / PER_CELL)), 1, MOST_CENTROIDS)) for dim, (largest, _) in sizes.items()}
+    ks = {dim: k for dim, k in ks.items() if k > 1 and dim > 1}
+    if not ks:
+        return {}
+    share = sample / sum(sizes[dim][1] for dim in ks)
+    rates = good.sparkSession.createDataFrame(
+        [(dim, float(max(share, 4 * k / sizes[dim][1]))) for dim, k in ks.items()], "dim int, rate double"
+    )
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+    drawn = good.withColumn("dim", F.size("v")).join(F.broadcast(rates), "dim").where(u < F.col("rate"))
+    # One vector per id, in a fixed order.
+    drawn = drawn.groupBy("dim", "id").agg(F.min("v").alias("v")).toArrow()
+    dims, ids = (drawn.column(c).to_numpy() for c in ("dim", "id"))
+    vectors = drawn.column("v")
+    out = {}
+    for dim, k in ks.items():
+        at = np.flatnonzero(dims == dim)
+        at = at[np.argsort(ids[at])]
+        if len(at):
+            points = vectors.take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            out[dim] = fit(unit(points.astype(np.float64).reshape(len(at), dim)), k, cosine, target_recall)
+    return out
+
+
+def placements(index: DataFrame, books: dict) -> DataFrame:
+    """Rows (label, dim, cell, id, role, v): role 0 in the own cell, role 1 in visited cells of a higher number.
+
+    If two vectors of different cells link, each visits the other's cell; the higher cell's row is enough. A length
+    without codebooks is one cell.
     """
-    half, width = books[0].shape[1], len(books[1])
 
     def place(batches):
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            u = unit(v)
-            own1, h1 = bounds(u[:, :half], books[0])
-            own2, h2 = bounds(u[:, half:], books[1])
-            row, cell, role = [], [], []
-            for i in range(len(u)):
-                own = int(own1[i]) * width + int(own2[i])
-                row.append(i), cell.append(own), role.append(0)
-                for a, b in traverse(h1[i], h2[i], stop):
-                    if a * width + b > own:
-                        row.append(i), cell.append(a * width + b), role.append(1)
-            taken = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label").take(taken), pa.array(cell, pa.int64()), batch.column("id").take(taken), pa.array(role, pa.int32()), batch.column("v").take(taken)],
-                names=["label", "cell", "id", "role", "v"],
-            )
-
-    return index.mapInArrow(place, f"label string, cell long, id long, role int, v {dict(index.dtypes)['v']}")
+            lengths = np.diff(batch.column("v").offsets.to_numpy())
+            for dim in np.unique(lengths):
+                part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                row, cell, role = cells_of(part.column("v"), int(dim))
+                taken = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("label").take(taken), pa.array(np.full(len(row), dim), pa.int32()), pa.array(cell, pa.int64()),
+                        part.column("id").take(taken), pa.array(role, pa.int32()), part.column("v").take(taken),
+                    ],
+                    names=["label", "dim", "cell", "id", "role", "v"],
+                )
+
+    def cells_of(v, dim: int) -> tuple[list[int], list[int], list[int]]:
+        if dim not in books:
+            return list(range(len(v))), [0] * len(v), [0] * len(v)
+        (first, second), stop = books[dim]
+        half, width = first.shape[1], len(second)
+        u = unit(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), dim))
+        own1, h1 = bounds(u[:, :half], first)
+        own2, h2 = bounds(u[:, half:], second)
+        row, cell, role = [], [], []
+        for i in range(len(u)):
+            own = int(own1[i]) * width + int(own2[i])
+            row.append(i), cell.append(own), role.append(0)
+            for a, b in traverse(h1[i], h2[i], stop):
+                if a * width + b > own:
+                    row.append(i), cell.append(a * width + b), role.append(1)
+        return row, cell, role
+
+    return index.mapInArrow(place, f"label string, dim int, cell long, id long, role int, v {dict(index.dtypes)['v']}")
 
 
 def compare(placed: DataFrame, cosine: float) -> DataFrame:
     """Rows (id, links, root) per block of a cell."""
-    crowd = placed.groupBy("label", "cell").agg(F.count("*").alias("n"), F.min("role").alias("least"))
-    busy = placed.join(crowd.where("n > 1 and least = 0").select("label", "cell"), ["label", "cell"])
-    blocks = in_blocks(busy, ["label", "cell"], "id", BLOCK)
+    crowd = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.min("role").alias("least"))
+    busy = placed.join(crowd.where("n > 1 and least = 0").select("label", "dim", "cell"), ["label", "dim", "cell"])
+    blocks = in_blocks(busy, ["label", "dim", "cell"], "id", BLOCK)
 
     def link(key, table):
         table = table.combine_chunks()
@@ -200,4 +243,4 @@ def compare(placed: DataFrame, cosine: float) -> DataFrame:
         return pa.table([pa.array(x, pa.int64()) for x in found], names=["id", "links", "root"])
 
     # A block in one task; the number of blocks follows the data.
-    return blocks.groupBy("lo", "hi", "label", "cell").applyInArrow(link, "id long, links long, root long")
+    return blocks.groupBy("lo", "hi", "label", "dim", "cell").applyInArrow(link, "id long, links long, root long")

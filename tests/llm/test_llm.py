@@ -255,6 +255,32 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_cell", [6, 1000])
+def test_vectors_of_several_lengths(spark, monkeypatch, per_cell):
+    """Each length's links are those of brute force, whichever row is drawn first."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "PER_CELL", per_cell)
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, many in ((16, 150), (7, 80), (1, 20), (24, 2), (5, 1)):
+        base = rng.normal(size=(max(many // 8, 1), dim))
+        for _ in range(many):
+            v = base[len(rows) % len(base)] * rng.uniform(0.5, 3) + rng.normal(size=dim) * 0.02
+            rows.append((len(rows), [float(x) for x in v], len(rows) % 2 if many > 2 else 1))
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links, parent = collections.Counter(), {r[0]: r[0] for r in rows}
+    for i, x, a in rows:
+        for j, y, b in rows:
+            if i < j and a == b and len(x) == len(y) and np.dot(x, y) >= 0.98 * np.linalg.norm(x) * np.linalg.norm(y):
+                links[i] += 1
+                links[j] += 1
+                u, v = find(parent, i), find(parent, j)
+                parent[max(u, v)] = min(u, v)
+    assert {len(rows[i][1]) for i in links} == {16, 7, 1, 24} and len(out) == len(rows)
+    for r in out:
+        assert (r["n_links"], r["component_id"]) == (links[r["vec_id"]], find(parent, r["vec_id"]))
+
+
 def test_traversal_is_in_order_and_complete():
     rng = np.random.default_rng(1)
     a, b = rng.uniform(size=7), rng.uniform(size=5)
