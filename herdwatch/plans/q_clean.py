@@ -10,7 +10,7 @@ from ..operators import clean as c
 from ..operators import joins, normalize, stats
 from . import views as v
 from .q_detection import enriched
-from .registry import day_text, query, rounded, time_text
+from .registry import TIME_FORMAT, day_text, query, rounded, time_text
 
 FILL_SQL = """filled AS (
   SELECT * REPLACE (""" + ", ".join(
@@ -194,6 +194,20 @@ def table_fingerprint(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH d AS (SELECT CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(event_id AS VARCHAR), '~'),
+    coalesce({time_text("ts")}, '~'), coalesce(CAST(user_id AS VARCHAR), '~'), coalesce(event_type, '~'),
+    coalesce(CAST(value AS VARCHAR), '~'), coalesce(props, '~'))), 1, 15)) AS BIGINT) AS d FROM events)
+SELECT count(*) AS row_count, bit_xor(d) AS xor_digest, CAST(sum(d) AS VARCHAR) AS sum_digest FROM d"""
+)
+def whole_table_fingerprint(spark, sf_dir):
+    """Fingerprint of all columns of events; times as text of one format."""
+    events = v.table(spark, sf_dir, "events")
+    return stats.fingerprint(
+        events.withColumn("ts", F.date_format("ts", TIME_FORMAT)), ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    )
+
+
 def _scaled(m: str, method: str) -> str:
     centre, scale = (f"avg({m})", f"stddev_pop({m})") if method == "standard" else (
         f"min({m})", f"max({m}) - min({m})")

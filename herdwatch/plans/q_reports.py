@@ -8,7 +8,7 @@ from ..constants import ALERT_ACTIONS, METRICS, SUMMARY_ADVICE
 from ..operators import alerts as al
 from ..operators import filters, joins, reports, stats
 from . import views as v
-from .q_detection import CLUSTER_SQL, Z_SQL, enriched, flagged
+from .q_detection import CLUSTER_SQL, SEVERITY_SQL, Z_SQL, enriched, flagged
 from .registry import day_text, query, rounded, time_text
 
 AS_OF = f"TIMESTAMP '{v.METRICS_AS_OF}'"
@@ -198,6 +198,46 @@ def html_report_tables(spark, sf_dir):
     return page.filter("section IN (1, 3)").drop("line_no")
 
 
+@query(
+    v.with_views(
+        "livestock metrics_raw",
+        f"""{FLAGGED}, {CLUSTER_SQL},
+t AS (SELECT count(DISTINCT tag_id) AS a, count(*) AS r, count(*) FILTER (is_anomaly) AS n,
+             (SELECT count(*) FROM clusters) AS c FROM enriched),
+types AS (SELECT animal_type, count(*) AS r, row_number() OVER (ORDER BY animal_type) - 1 AS i
+          FROM enriched WHERE animal_type IS NOT NULL GROUP BY animal_type),
+numbered AS (SELECT *, row_number() OVER (ORDER BY start_date, farm_id) - 1 AS i, upper({SEVERITY_SQL}) AS severity
+             FROM clusters),
+heading AS (SELECT 'Herd Health Monitoring Report' AS title)
+SELECT 0 AS section, 0 AS item, 0 AS line_no,
+  '<!DOCTYPE html><html><head><title>' || title || '</title></head><body><h1>' || title || '</h1>' AS line FROM heading
+UNION ALL SELECT 0, 0, 1, '<h2>Summary Statistics</h2>'
+UNION ALL SELECT 0, 0, 2, '<div class="stat-box"><h3>Animals Monitored</h3><p>' || a || '</p></div>' FROM t
+UNION ALL SELECT 0, 0, 3, '<div class="stat-box"><h3>Health Records</h3><p>' || r || '</p></div>' FROM t
+UNION ALL SELECT 0, 0, 4, '<div class="stat-box"><h3>Anomalies Detected</h3><p>' || n || '</p></div>' FROM t
+UNION ALL SELECT 0, 0, 5, '<div class="stat-box"><h3>Outbreak Clusters</h3><p>' || c || '</p></div>' FROM t
+UNION ALL SELECT 0, 0, 6, '<h2>Animal Distribution</h2>'
+UNION ALL SELECT 0, 0, 7, '<table><tr><th>Animal Type</th><th>Count</th><th>Percentage</th></tr>'
+UNION ALL SELECT 1, i, 0, '<tr><td>' || upper(animal_type[1]) || animal_type[2:] || '</td><td>' || r || '</td><td>'
+  || printf('%.1f%%', r * 100e0 / (SELECT a FROM t)) || '</td></tr>' FROM types
+UNION ALL SELECT 2, 0, 0, '</table><h2>Outbreak Clusters</h2>'
+UNION ALL SELECT 2, 0, 1, CASE WHEN c > 0 THEN '<table><tr><th>Farm ID</th><th>Start Date</th><th>Affected Animals</th>'
+  || '<th>Severity</th><th>Metrics Affected</th></tr>'
+  ELSE '<table><tr><td>No outbreak clusters detected during this period.</td></tr>' END FROM t
+UNION ALL SELECT 3, i, 0, '<tr><td>' || farm_id || '</td><td>' || {day_text("start_date")} || '</td><td>'
+  || affected_animals || '</td><td>' || severity || '</td><td>' || replace(metrics_affected, ',', ', ') || '</td></tr>'
+FROM numbered
+UNION ALL SELECT 4, 0, 0, '</table></body></html>'""",
+    )
+)
+def html_report_page(spark, sf_dir):
+    """All lines of the HTML report with their places."""
+    from ..operators import clusters as cl
+
+    readings = flagged(spark, sf_dir)
+    return reports.html_report(readings, cl.with_severity(cl.detect_clusters(readings)))
+
+
 # Listings
 @query(
     v.with_views(

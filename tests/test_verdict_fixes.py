@@ -120,3 +120,24 @@ def test_size_text_rounds_ties_to_even(spark):
     sizes = spark.createDataFrame([(0,), (1023,), (800000,), (160000,), (5 * 1024**3,)], "size long")
     got = [r[0] for r in sizes.select(size_text("size")).collect()]
     assert got == ["0 B", "1023.0 B", "781.2 KB", "156.2 KB", "5.0 GB"]
+
+
+def test_whole_table_fingerprint_sees_a_changed_time(spark, data, tmp_path):
+    import __spark_entry__ as entry
+
+    run = entry.queries()["whole_table_fingerprint"]
+    events = spark.read.parquet(f"{data}/events.parquet")
+    first = events.agg(F.min("event_id")).first()[0]
+    late = F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")
+    changed = events.withColumn("ts", F.when(F.col("event_id") == first, late).otherwise(F.col("ts")))
+    changed.write.parquet(f"{tmp_path}/events.parquet")
+    was, now = run(spark, data).first(), run(spark, str(tmp_path)).first()
+    assert was["row_count"] == now["row_count"] and was["xor_digest"] != now["xor_digest"]
+
+
+def test_html_report_page_has_all_sections_in_order(spark, data):
+    import __spark_entry__ as entry
+
+    page = entry.queries()["html_report_page"](spark, data).orderBy("section", "item", "line_no").collect()
+    assert {r["section"] for r in page} >= {0, 1, 2, 4}
+    assert page[0]["line"].startswith("<!DOCTYPE html>") and page[-1]["line"] == "</table></body></html>"
