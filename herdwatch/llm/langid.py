@@ -95,15 +95,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(bags: list[np.ndarray], labels: list[str], epochs: int = 40, batch: int = 32) -> Model:
-    """Fits on three quarters of the bags (bucket numbers of one text each), calibrates on the rest."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 40, batch: int = 32) -> Model:
+    """Fits on three quarters of the bags (buckets of one text and their counts), calibrates on the rest."""
     languages = sorted(set(labels))
     y = np.array([languages.index(label) for label in labels])
     rng = np.random.default_rng(11)
     order = rng.permutation(len(bags))
     x = np.zeros((len(bags), BUCKETS), np.float32)
-    for i, bag in enumerate(bags):
-        x[i] = np.bincount(bag, minlength=BUCKETS) / max(len(bag), 1)
+    for i, (bucket, count) in enumerate(bags):
+        x[i, bucket] = count / max(count.sum(), 1)
     fit, rest = order[len(order) // 4 :], order[: len(order) // 4]
     embed = rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -137,6 +137,20 @@ def train(bags: list[np.ndarray], labels: list[str], epochs: int = 40, batch: in
     return model
 
 
+def counted(batches):
+    """Batches (lang, text) to (lang, first, bucket, count): at most one count per bucket, however long the text."""
+    for batch in batches:
+        firsts, buckets, counts = [], [], []
+        for text in batch.column(1).to_pylist():
+            bag = subwords(letters(text))[0]
+            found, n = np.unique(bag, return_counts=True)
+            firsts.append(int(bag[0]) if len(bag) else -1), buckets.append(found), counts.append(n)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(firsts, pa.int32()), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
+            names=["lang", "first", "bucket", "count"],
+        )
+
+
 def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model | None:
     """A model from at most about ``sample`` labelled rows that are not held out; None without any."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -147,25 +161,16 @@ def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: i
     share = sample / len(counts)
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, share / n))])
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.where(u < F.element_at(rate, F.col("lang"))).select("lang", "text")
-
-    def bags(batches):
-        for batch in batches:
-            found = [subwords(letters(t))[0].astype(np.int32) for t in batch.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int32)
-            # Only counts matter: sorted runs travel compactly.
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["lang", "bag"])
-
-    got = drawn.mapInArrow(bags, "lang string, bag array<int>").limit(2 * sample).toArrow()
-    lists = got.column("bag").combine_chunks()
-    bag = [lists[i].values.to_numpy(zero_copy_only=False) for i in range(len(lists))]
-    labels = got.column("lang").to_pylist()
-    used = [i for i in range(len(bag)) if len(bag[i])]
+    # One row per id, so that an id that repeats often is not the whole sample.
+    drawn = rows.where(u < F.element_at(rate, F.col("lang"))).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("m"))
+    got = drawn.select("m.lang", "m.text").mapInArrow(counted, "lang string, first int, bucket array<int>, count array<long>").toArrow()
+    bag = [(np.array(b, np.int64), np.array(n, np.int64)) for b, n in zip(got.column("bucket").to_pylist(), got.column("count").to_pylist(), strict=True)]
+    labels, first = got.column("lang").to_pylist(), got.column("first").to_pylist()
+    used = [i for i in range(len(bag)) if len(bag[i][0])]
     if not used:
         return None
     # A fixed order, whatever order the rows came in.
-    used.sort(key=lambda i: (labels[i], len(bag[i]), int(bag[i].sum()), int(bag[i][0])))
+    used.sort(key=lambda i: (labels[i], int(bag[i][1].sum()), int(bag[i][0] @ bag[i][1]), first[i]))
     return train([bag[i] for i in used], [labels[i] for i in used])
 
 
