@@ -104,3 +104,84 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM u GROUP BY conv_id
 """
+
+
+def _crc_step(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ 0xEDB88320 * (n & 1)
+    return n
+
+
+def crc32_of(text: str) -> str:
+    """crc32 of a text expression's UTF-8 bytes, four bits at a time, low ones first."""
+    digits = f"hex(encode({text}))"
+    bits = f"list_transform(range(0, length({digits})), lambda i: CAST(instr('0123456789ABCDEF', substr({digits}, (i // 2) * 2 + 2 - i % 2, 1)) - 1 AS BIGINT))"
+    steps = "[" + ", ".join(str(_crc_step(n)) for n in range(16)) + "]"
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), "
+        f"lambda c, n: xor(c >> 4, CAST({steps}[(xor(c, n) & 15) + 1] AS BIGINT))), 4294967295)"
+    )
+
+
+RESAMPLE = f"""
+WITH dw AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents),
+bw AS (SELECT {TOKENS.format('text')} AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS k FROM dw),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS k FROM bw),
+kinds AS (SELECT k, {crc32_of('k')} % 10000 AS b FROM (SELECT DISTINCT k FROM (SELECT k FROM df UNION ALL SELECT k FROM bf))),
+s AS (SELECT b, count(*) AS s FROM df JOIN kinds USING (k) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bf JOIN kinds USING (k) GROUP BY b),
+both_ AS (SELECT r.b, CAST(coalesce(s, 0) AS DOUBLE) AS s, CAST(coalesce(t, 0) AS DOUBLE) AS t
+  FROM (SELECT unnest(range(0, 10000)) AS b) r LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+gain AS (SELECT b, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM both_) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM both_) + 10000)))) AS gain FROM both_),
+m AS (SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*)) AS weight FROM df JOIN kinds USING (k) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(m.n, 0) AS n_features, CAST(coalesce(m.weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(m.weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM dw d LEFT JOIN m USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN r.rank <= 25 * (SELECT count(*) FROM ranked) // 100 THEN r.rank END AS rank
+FROM scored s LEFT JOIN ranked r USING (doc_id)
+"""
+
+
+def merkle_sql(levels: int = 6, upper: int = 4) -> str:
+    """One step per level: sources of up to 16 ** ``levels`` rows, up to 16 ** ``upper`` sources."""
+
+    def part(column: str) -> str:
+        text = f"CAST({column} AS VARCHAR)"
+        return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"""l AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc32_of("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(low)} END AS changed FROM documents),
+n0 AS (SELECT *, source AS tree, leaf AS node, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+  count(*) OVER (PARTITION BY source) AS many FROM l),
+f0 AS (SELECT doc_id, source, leaf, tree, p, coalesce(changed, leaf) AS fold, '' AS proof FROM n0)"""]
+
+    def climb(k: int) -> None:
+        left, right = "array_to_string(r.nodes[1:f.p % 16], '')", "array_to_string(r.nodes[f.p % 16 + 2:], '')"
+        steps.append(f"""r{k} AS (SELECT tree, p // 16 AS p, list(node ORDER BY p) AS nodes, max(many) AS many FROM n{k} GROUP BY ALL),
+n{k + 1} AS (SELECT tree, p, CASE WHEN many > 1 THEN sha256(array_to_string(nodes, '')) ELSE nodes[1] END AS node, (many + 15) // 16 AS many FROM r{k}),
+f{k + 1} AS (SELECT f.* REPLACE (f.p // 16 AS p, CASE WHEN r.many > 1 THEN sha256({left} || f.fold || {right}) ELSE f.fold END AS fold,
+  f.proof || {left} || {right} AS proof) FROM f{k} f JOIN r{k} r ON f.tree IS NOT DISTINCT FROM r.tree AND f.p // 16 = r.p)""")
+
+    for k in range(levels):
+        climb(k)
+    k = levels + 1
+    steps.append(f"""s AS (SELECT tree AS source, node AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS p, count(*) OVER () AS many FROM n{levels}),
+n{k} AS (SELECT 0 AS tree, p, subroot AS node, many FROM s),
+f{k} AS (SELECT f.doc_id, f.source, f.leaf, s.subroot, 0 AS tree, s.p, f.fold, f.proof FROM f{levels} f JOIN s ON f.source IS NOT DISTINCT FROM s.source)""")
+    for j in range(k, k + upper):
+        climb(j)
+    k += upper
+    steps.append(f"root AS (SELECT node AS root FROM n{k})")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM f{k}, root
+"""
+
+
+MERKLE = merkle_sql()

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linedup, mixing, neardup, oracles, tokenbin, tokencount, toxicity, vectors
+from . import (
+    ann, chat, decontam, langid, linedup, merkle, mixing, neardup, oracles, resample, tokenbin, tokencount, toxicity, vectors,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +82,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all embeddings."""
+    return ann.nearest_by_product(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, with a version for each tampered one."""
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("source", "n_copied")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents resampled towards the benchmark's distribution."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,6 +110,9 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_mix_sources,
         op10_token_counts,
+        op11_ann,
+        op12_merkle_manifest,
+        op13_resample,
     )
 }
 
@@ -102,4 +122,6 @@ ORACLES: dict[str, str] = {
     "op3_minhash_dedup": oracles.NEAR_DUPLICATES,
     "op8_line_dedup": oracles.DROP_BOILERPLATE,
     "op9_mix_sources": oracles.MIX,
+    "op12_merkle_manifest": oracles.MERKLE,
+    "op13_resample": oracles.RESAMPLE,
 }
