@@ -1,69 +1,75 @@
-"""Stored tables that take updates: the readings table, kept by day."""
+"""Stored tables that take updates: readings, kept by day, and animals, kept in buckets."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.commits import StoredTable, Version, parts_of
 from .joins import keep_last, upsert
 
-DAY = "day"
-# Readers skip folders that start with an underscore.
-STAGED = "_staged"
+# The part of rows without a date.
+NO_DAY = "none"
+BUCKETS = 64
 
 
-def create_metrics(df: DataFrame, path: str, date: str = "date") -> None:
-    """A new readings table in day folders."""
-    df.withColumn(DAY, F.to_date(date)).write.mode("errorifexists").partitionBy(DAY).parquet(path)
+def day_of(date: str) -> Column:
+    return F.coalesce(F.date_format(F.to_date(date), "yyyy-MM-dd"), F.lit(NO_DAY))
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """The table, after an interrupted save has been completed."""
-    _complete(spark, path)
-    return spark.read.parquet(path).drop(DAY)
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
+
+
+def create_metrics(df: DataFrame, path: str, date: str = "date") -> Version:
+    """A new readings table with a part per day."""
+    return StoredTable(df.sparkSession, path).create(df, day_of(date), {"date": date})
+
+
+def read_metrics(spark: SparkSession, path: str, version: int | None = None, days: Sequence[str] | None = None) -> DataFrame:
+    """One version of the table, by default the newest; with ``days`` (as text) only these days are read."""
+    return StoredTable(spark, path).read(version, days)
 
 
 def save_metrics(
     batch: DataFrame, path: str, keys: Sequence[str] = ("tag_id", "date"), arrival: str | None = None,
-    date: str = "date",
-) -> None:
-    """Upsert a batch of readings into the table at ``path``; one writer at a time.
+    date: str = "date", writer: tuple[str, int] | None = None,
+) -> Version:
+    """Upsert a batch of readings into the table at ``path`` as a new version; several writers may save at once.
 
     Only the days that occur in the batch (rows without a date are a day of their own) are read and
-    rewritten. Their new contents are first written aside in full and then replace the day folders; if a
-    save is interrupted while folders are replaced, the next read or save repeats that from the copy. Applying
-    the same batch again changes nothing.
+    rewritten. Readers see the table before or after the save, never between. Applying the same batch again
+    changes no row; with ``writer`` (name, batch number) it makes no new version either.
     """
-    spark = batch.sparkSession
-    _complete(spark, path)
-    batch = batch.withColumn(DAY, F.to_date(date))
+    if date not in keys:
+        raise ValueError(f"{date} must be one of the keys, as rows stay in their day")
+    return _save(batch, StoredTable(batch.sparkSession, path), day_of(date), keys, arrival, writer)
+
+
+def create_animals(df: DataFrame, path: str, keys: Sequence[str] = ("tag_id",), buckets: int = BUCKETS) -> Version:
+    """A new table of animals in ``buckets`` parts by hash of the keys."""
+    return StoredTable(df.sparkSession, path).create(df, bucket_of(keys, buckets), {"keys": list(keys), "buckets": buckets})
+
+
+def save_animals(batch: DataFrame, path: str, arrival: str | None = None, writer: tuple[str, int] | None = None) -> Version:
+    """Upsert animals as a new version; only the buckets that occur in the batch are read and rewritten."""
+    table = StoredTable(batch.sparkSession, path)
+    made = table.version()
+    if made is None:
+        raise ValueError(f"no table at {path}")
+    keys = made.info["keys"]
+    return _save(batch, table, bucket_of(keys, made.info["buckets"]), keys, arrival, writer)
+
+
+def read_animals(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return StoredTable(spark, path).read(version)
+
+
+def _save(
+    batch: DataFrame, table: StoredTable, part: Column, keys: Sequence[str], arrival: str | None, writer: tuple[str, int] | None,
+) -> Version:
     if arrival is not None:
         batch = keep_last(batch, keys, arrival).drop(arrival)
-    # Bounded by the calendar; makes the scan read these folders only.
-    days = [row[DAY] for row in batch.select(DAY).distinct().collect()]
-    concerned = F.col(DAY).isin([d for d in days if d is not None])
-    if None in days:
-        concerned = concerned | F.col(DAY).isNull()
-    merged = upsert(spark.read.parquet(path).filter(concerned), batch, [*keys])
-    merged.withColumn(DAY, F.to_date(date)).write.partitionBy(DAY).parquet(f"{path}/{STAGED}/{uuid.uuid4().hex}")
-    _complete(spark, path)
-
-
-def _complete(spark: SparkSession, path: str) -> None:
-    """Replace day folders by the copies that were written in full; drop copies that were not."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    staged = hadoop.Path(f"{path}/{STAGED}")
-    files = staged.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(staged):
-        return
-    for entry in files.listStatus(staged):
-        copy = entry.getPath()
-        if files.exists(hadoop.Path(copy, "_SUCCESS")):
-            rows = spark.read.schema(spark.read.parquet(path).schema).parquet(copy.toString())
-            (
-                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
-            )
-        files.delete(copy, True)
+    return table.change(parts_of(batch, part), lambda rows: upsert(rows, batch, [*keys]), part, writer)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..constants import METRICS, DetectionSettings
@@ -150,6 +152,43 @@ def upsert_stored_metrics(spark, sf_dir):
     return storage.read_metrics(spark, folder)
 
 
+@query(
+    v.with_views(
+        "metrics_raw",
+        f"""SELECT 'old' AS version, tag_id, {time_text("date")} AS date, {rounded("temperature")} AS temperature FROM metrics_raw
+WHERE date < TIMESTAMP '2024-01-25' UNION ALL
+SELECT 'new', tag_id, {time_text("date")}, {rounded("CASE WHEN date >= TIMESTAMP '2024-01-20' THEN temperature + 1 ELSE temperature END")}
+FROM metrics_raw""",
+    )
+)
+def stored_versions(spark, sf_dir):
+    """The readings before and after a save; the old version is taken before the save and read after it."""
+    rows = v.metrics_raw(spark, sf_dir).select("tag_id", "date", "temperature", "arrival_id")
+    folder = new_folder(spark, "versions")
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    storage.create_metrics(rows.filter(F.col("date") < at("2024-01-25")).drop("arrival_id"), folder)
+    old = storage.read_metrics(spark, folder)
+    batch = rows.filter(F.col("date") >= at("2024-01-20")).withColumn("temperature", F.col("temperature") + 1)
+    made = storage.save_metrics(batch, folder, arrival="arrival_id")
+    new = storage.read_metrics(spark, folder, made.number)
+    return old.select(F.lit("old").alias("version"), "*").unionByName(new.select(F.lit("new").alias("version"), "*"))
+
+
+@query(
+    v.with_views(
+        "livestock",
+        "SELECT tag_id, CASE WHEN is_active THEN farm_id ELSE 'closed' END AS farm_id, age_months FROM livestock",
+    )
+)
+def upsert_stored_animals(spark, sf_dir):
+    """Animals that are not active move to another farm; only their buckets are rewritten."""
+    herd = v.livestock(spark, sf_dir).select("tag_id", "farm_id", "age_months", "is_active")
+    folder = new_folder(spark, "herd")
+    storage.create_animals(herd.drop("is_active"), folder)
+    storage.save_animals(herd.filter("not is_active").select("tag_id", F.lit("closed").alias("farm_id")), folder)
+    return storage.read_animals(spark, folder)
+
+
 # Streams
 def _stream_of(spark, df, label, files_per_batch=None):
     folder = new_folder(spark, label)
@@ -204,20 +243,89 @@ def stream_clusters(spark, sf_dir):
     return spark.read.schema(shape).parquet(f"{folder}/out")
 
 
+SCORED_SQL = Z_SQL.split("flagged AS")[0].rstrip().rstrip(",")
+SCORES = ", ".join(f"{rounded(f'{m}_zscore')} AS {m}_zscore" for m in METRICS)
+
+
+def _scored_in_parts(spark, parts, label, **options):
+    """Runs the job once after each part has arrived and once after a tick that ends the readings."""
+    folder, shape = new_folder(spark, label), parts[0].schema
+    source = f"{folder}/in"
+
+    def run():
+        stream = jobs.read_files(spark, source, shape)
+        jobs.rolling_scores(stream, f"{folder}/out", f"{folder}/state", **options).awaitTermination()
+
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        run()
+    jobs.tick(spark, source, shape, datetime(2100, 1, 1))
+    run()
+    return jobs.read_flagged(spark, f"{folder}/out")
+
+
+@query(v.with_views("metrics_raw", f"WITH {SCORED_SQL} SELECT arrival_id, tag_id, {time_text('date')} AS date, {SCORES} FROM scored"))
+def stream_zscore(spark, sf_dir):
+    """Readings in three deliveries, none of them in order, each over the whole time."""
+    rows = timed(v.metrics_raw(spark, sf_dir)).select(*NARROW)
+    turn = F.pmod(F.xxhash64("arrival_id"), F.lit(3))
+    parts = [rows.filter(turn == k) for k in range(3)]
+    return _scored_in_parts(spark, parts, "stream-zscore", delay="400 days").drop("late")
+
+
+LATE_FROM, LATE_DELAY = "2024-01-20", 2
+# Every 13th reading of the first days arrives after all others.
+LATE_SQL = f"(arrival_id % 13 = 5 AND date < TIMESTAMP '{LATE_FROM}')"
+
+
 @query(
     v.with_views(
         "metrics_raw",
-        Z_SQL.split("flagged AS")[0].rstrip().rstrip(",").join(["WITH ", ""])
-        + f"""
-SELECT arrival_id, tag_id, {time_text("date")} AS date,
-       {", ".join(f'{rounded(f"{m}_zscore")} AS {m}_zscore' for m in METRICS)} FROM scored""",
+        f"""WITH {SCORED_SQL.replace("FROM metrics_raw", f"FROM (SELECT * FROM metrics_raw WHERE NOT {LATE_SQL}) metrics_raw")}
+SELECT arrival_id, tag_id, {time_text('date')} AS date, {SCORES}, false AS late FROM scored
+UNION ALL SELECT arrival_id, tag_id, {time_text('date')}, {", ".join(["NULL"] * len(METRICS))}, true FROM metrics_raw WHERE {LATE_SQL}""",
     )
 )
-def stream_zscore(spark, sf_dir):
+def stream_zscore_late(spark, sf_dir):
+    """Late readings are set apart, the others are scored as if they had never been."""
     rows = timed(v.metrics_raw(spark, sf_dir)).select(*NARROW)
-    folder, stream = _stream_of(spark, rows, "stream-zscore")
-    jobs.rolling_scores(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    late = (F.col("arrival_id") % 13 == 5) & (F.col("date") < F.lit(LATE_FROM).cast("timestamp"))
+    return _scored_in_parts(spark, [rows.filter(~late), rows.filter(late)], "stream-late", delay=f"{LATE_DELAY} days")
+
+
+@query(
+    v.with_views(
+        "metrics_daily",
+        f"""WITH r AS (SELECT tag_id, date, date < TIMESTAMP '{LATE_FROM}' AND hash_ AS late FROM (
+  SELECT *, CAST(tag_id AS VARCHAR) LIKE '%3' AS hash_ FROM metrics_daily))
+SELECT (SELECT count(*) FROM r) AS rows_in, (SELECT count(*) FROM (SELECT DISTINCT tag_id, date FROM r WHERE NOT late)) AS rows_out,
+(SELECT count(*) FROM r WHERE NOT late) - (SELECT count(*) FROM (SELECT DISTINCT tag_id, date FROM r WHERE NOT late)) AS copies,
+(SELECT count(*) FROM r WHERE late) AS late, 0 AS dropped, true AS adds_up""",
+    )
+)
+def stream_accounts(spark, sf_dir):
+    """What a listener counts while readings of one group of animals arrive late and copies are dropped."""
+    rows = timed(v.metrics_daily(spark, sf_dir)).select("tag_id", "date")
+    late = (F.col("date") < F.lit(LATE_FROM).cast("timestamp")) & F.col("tag_id").cast("string").like("%3")
+    folder, accounts = new_folder(spark, "stream-accounts"), jobs.Accounts()
+    spark.streams.addListener(accounts)
+    try:
+        for part in (rows.filter(~late), rows.filter(late)):
+            part.write.mode("append").parquet(f"{folder}/in")
+            stream = jobs.read_files(spark, f"{folder}/in", rows.schema)
+            gate = jobs.flag_late(stream, f"{folder}/gate", f"{folder}/s1", delay=f"{LATE_DELAY} days")
+            gate.awaitTermination()
+            flagged = accounts.of(gate)
+        unique = jobs.dedup(jobs.on_time(spark, f"{folder}/gate", rows.schema), f"{folder}/out", f"{folder}/s2", delay="400 days")
+        unique.awaitTermination()
+        kept = accounts.of(unique)
+    finally:
+        spark.streams.removeListener(accounts)
+    found = [flagged["in"], kept["out"], kept["copies"], flagged["late"], flagged["dropped"] + kept["dropped"]]
+    return spark.createDataFrame(
+        [(*found, flagged["in"] == kept["out"] + kept["copies"] + flagged["late"])],
+        "rows_in long, rows_out long, copies long, late long, dropped long, adds_up boolean",
+    )
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import moment
 from ..operators.clean import NUMERIC, fix_types
+from .commits import StoredTable
 
 # Stored tables.
 SCHEMAS = {
@@ -133,15 +134,10 @@ def todays_alert_lines(spark: SparkSession, path: str, as_of, schema: str = ALER
 
 
 def latest_snapshot(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
-    """The newest snapshot of a kind, or None."""
-    try:
-        all_of_them = spark.read.parquet(f"{path}/{kind}")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    newest = all_of_them.agg(F.max("snapshot_ts").alias("t")).first()["t"]
-    return all_of_them.filter(F.col("snapshot_ts") == newest).drop("snapshot_ts")
+    """The newest snapshot of a kind, or None; no other snapshot is read."""
+    table = StoredTable(spark, f"{path}/{kind}")
+    newest = table.version()
+    return None if newest is None else table.read(newest, [max(newest.parts)])
 
 
 def load_report(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ESSENTIAL_ANOMALY_COLUMNS
 from ..functions.scalars import moment
 from ..operators.alerts import with_defaults
 from ..operators.stats import describe_numeric
+from . import readers
+from .commits import StoredTable
 
 log = logging.getLogger(__name__)
 # Text formats keep microseconds.
@@ -96,6 +98,11 @@ def export_alerts(df: DataFrame, folder: str, as_of) -> dict[str, str]:
     return export(df, folder, "outbreak_alerts", as_of, ("csv", "json"), summary=True)
 
 
+def export_recent_alerts(spark: SparkSession, path: str, folder: str, as_of, days: int = 7) -> dict[str, str]:
+    """The alerts that were logged on the last days, exported; only those day folders of the log are read."""
+    return export_alerts(readers.recent_alerts(spark, path, as_of, days), folder, as_of)
+
+
 def export_health_metrics(df: DataFrame, folder: str, as_of, time_range: str | None = None) -> dict[str, str]:
     name = f"health_metrics_{time_range}" if time_range else "health_metrics"
     return export(df, folder, name, as_of, ("csv",), summary=True)
@@ -131,10 +138,27 @@ def save_report(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def save_snapshot(df: DataFrame, path: str, kind: str, taken_at: str) -> str:
-    """A full copy under kind and time; ``readers.latest_snapshot`` finds the newest."""
-    target = f"{path}/{kind}/snapshot_ts={taken_at}"
-    df.write.mode("errorifexists").parquet(target)
-    return target
+    """A full copy under kind and time; ``readers.latest_snapshot`` finds the newest.
+
+    A snapshot is a part of a stored table per kind, so it can be read once it is complete and not before; a second one
+    of the same time raises.
+    """
+    table = StoredTable(df.sparkSession, f"{path}/{kind}")
+    if table.version() is None:
+        try:
+            table.create(df, F.lit(taken_at))
+            return f"{path}/{kind}"
+        except FileExistsError:
+            # Another writer was first; its table takes this snapshot.
+            pass
+
+    def first(rows: DataFrame) -> DataFrame:
+        if taken_at in table.version().parts:
+            raise FileExistsError(f"there is a snapshot of {kind} at {taken_at}")
+        return df
+
+    table.change([taken_at], first, F.lit(taken_at), schema=df.schema)
+    return f"{path}/{kind}"
 
 
 def write_lines(report: DataFrame, path: str, order: Sequence[str] = ("section", "item", "line_no")) -> None:

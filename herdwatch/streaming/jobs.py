@@ -2,28 +2,41 @@
 
 All jobs take a streaming DataFrame with ``date`` as timestamp and return the started query.
 ``once=True`` processes what is there and stops.
+
+Spark drops rows behind the watermark without a trace. ``flag_late`` marks them before they reach such a job, so that
+they can be kept in a folder of their own; ``Accounts`` adds up what the jobs report about their rows.
 """
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
 from ..constants import METRICS
 from ..operators.contracts import Contract
 from ..operators.detect import ZERO_SPREAD
 from ..operators.rules import split_valid
 from ..operators.storage import save_metrics
+from ..sources.writers import STAMPS
+
+# Files of one micro-batch, so that a backlog is not one batch.
+FILES_PER_BATCH = 1000
+# The time of rows without one: before all others.
+NO_TIME = -(1 << 62)
 
 
 def read_files(
-    spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None, **options: str
+    spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = FILES_PER_BATCH, **options: str
 ) -> DataFrame:
     """New files of a folder as a stream."""
     reader = spark.readStream.schema(schema).format(fmt).options(**options)
@@ -47,6 +60,7 @@ def dedup(
 ) -> StreamingQuery:
     """Append each (animal, date) once; copies within the delay are dropped."""
     unique = readings.withWatermark("date", delay).dropDuplicatesWithinWatermark(list(keys))
+    unique = unique.observe("rows", F.count("*").alias("out"))
     return _to_parquet(unique, path, checkpoint, once, interval)
 
 
@@ -103,27 +117,66 @@ def clusters(
 
 
 class RollingScores(StatefulProcessor):
-    """Keeps the last readings of an animal and scores new ones against them."""
+    """Holds an animal's readings until the watermark has passed them, then scores them in the order of their time.
+
+    Readings wait in pieces of time, one state entry each; a timer at the end of a piece lets it out. Only one
+    piece of one animal is in memory at a time, however large a backlog is. A reading of a piece that
+    is out already is late: it is passed on unscored.
+    """
 
-    def __init__(self, keep: Sequence[str], metrics: Sequence[str], window_size: int):
-        self.keep, self.metrics, self.size = list(keep), list(metrics), window_size
+    def __init__(self, keep: Sequence[str], metrics: Sequence[str], window_size: int, piece: int):
+        self.keep, self.metrics, self.size, self.piece = list(keep), list(metrics), window_size, piece
 
     def init(self, handle) -> None:
+        self.handle = handle
         fields = [T.StructField(m, T.ArrayType(T.DoubleType())) for m in self.metrics]
         self.last = handle.getValueState("last", T.StructType(fields))
-
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        # The rows of one animal in one micro-batch.
-        new = pd.concat(list(rows)).sort_values([c for c in self.keep if c != "tag_id"])
+        self.done = handle.getValueState("done", "until long")
+        self.waiting = handle.getMapState("waiting", "piece long", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        done = self.done.get()[0] if self.done.exists() else NO_TIME + 1
+        for chunk in rows:
+            late = (chunk["time_us"] < done).to_numpy()
+            if late.any():
+                out = chunk.loc[late, self.keep].assign(**{f"{m}_zscore": np.nan for m in self.metrics})
+                yield out.assign(late=True)
+                chunk = chunk[~late]
+            for piece, part in chunk.groupby(chunk["time_us"] // self.piece):
+                self._hold(int(piece), pa.Table.from_pandas(part, preserve_index=False))
+
+    def _hold(self, piece: int, part: pa.Table) -> None:
+        if self.waiting.containsKey((piece,)):
+            part = pa.concat_tables([self._held(piece), part])
+        else:
+            self.handle.registerTimer((piece + 1) * self.piece // 1000)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as writer:
+            writer.write_table(part)
+        self.waiting.updateValue((piece,), (sink.getvalue().to_pybytes(),))
+
+    def _held(self, piece: int) -> pa.Table:
+        with pa.ipc.open_stream(bytes(self.waiting.getValue((piece,))[0])) as reader:
+            return reader.read_all()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for piece in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.piece <= until):
+            held = self._held(piece).to_pandas()
+            yield self._scored(held.sort_values(["time_us", *[c for c in self.keep if c != "tag_id"]]))
+            self.waiting.removeKey((piece,))
+            self.done.update(((piece + 1) * self.piece,))
+
+    def _scored(self, new: pd.DataFrame) -> pd.DataFrame:
         before = self.last.get() if self.last.exists() else None
         out, state = new[self.keep].copy(), []
         for i, metric in enumerate(self.metrics):
             past = np.array([np.nan if x is None else x for x in (before[i] if before else [])], dtype=float)
             values = np.concatenate([past, new[metric].to_numpy(dtype=float)])
             out[f"{metric}_zscore"] = trailing_zscore(values, self.size)[len(past):]
-            state.append([None if np.isnan(x) else float(x) for x in values[-(self.size - 1):]])
+            state.append([None if np.isnan(x) else float(x) for x in values[max(len(values) - self.size + 1, 0):]])
         self.last.update(tuple(state))
-        yield out
+        return out.assign(late=False)
 
     def close(self) -> None:
         pass
@@ -145,31 +198,145 @@ def trailing_zscore(values: np.ndarray, size: int) -> np.ndarray:
 
 def rolling_scores(
     readings: DataFrame, path: str, checkpoint: str, *, keep: Sequence[str] = ("date", "arrival_id"),
-    metrics: Sequence[str] = METRICS, window_size: int = 7, once: bool = True, interval: str = "1 minute",
+    metrics: Sequence[str] = METRICS, window_size: int = 7, delay: str = "7 days", piece_hours: int = 24,
+    once: bool = True, interval: str = "1 minute",
 ) -> StreamingQuery:
-    """Rolling z-scores per animal across micro-batches; readings arrive in date order."""
+    """Rolling z-scores per animal by the time of the readings, in whatever order they arrive.
+
+    Readings may come up to ``delay`` behind the newest one. A piece of ``piece_hours`` is scored when the
+    watermark has passed it, so the result is that of the batch operator over all readings in time.
+    Later ones are written with ``late`` = true and without scores, as are rows without a date; ``path`` has a folder for
+    either kind. Rows without an animal only move the watermark (see ``tick``).
+    """
     kinds = dict(readings.dtypes)
     columns = ["tag_id", *keep]
-    schema = ", ".join([f"{c} {kinds[c]}" for c in columns] + [f"{m}_zscore double" for m in metrics])
+    schema = ", ".join([f"{c} {kinds[c]}" for c in columns] + [f"{m}_zscore double" for m in metrics] + ["late boolean"])
+    # The time as a plain number: Spark itself drops no row for being late. (Names from "_" on do not reach the processor.)
+    time = F.coalesce(F.unix_micros("date"), F.lit(NO_TIME)).alias("time_us")
+    # A condition on the date stays above the watermark, so that rows without an animal move it.
+    named = F.col("tag_id").isNotNull() | (F.col("date") < F.lit("0001-01-02").cast("timestamp"))
+    plain = readings.withWatermark("date", delay).where(named).select(
+        *[(F.timestamp_micros(F.unix_micros("date")) if c == "date" else F.col(c)).alias(c) for c in columns], *metrics, time
+    )
+    processor = RollingScores(columns, metrics, window_size, piece_hours * 3_600_000_000)
     scored = (
-        readings.select(*columns, *metrics)
-        .groupBy("tag_id")
-        .transformWithStateInPandas(RollingScores(["tag_id", *keep], metrics, window_size), schema, "Append", "None")
+        plain.groupBy("tag_id")
+        .transformWithStateInPandas(processor, schema, "Append", "EventTime")
     )
     clean = scored.withColumns(
         {f"{m}_zscore": F.when(~F.isnan(f"{m}_zscore"), F.col(f"{m}_zscore")) for m in metrics}
     )
-    return _to_parquet(clean, path, checkpoint, once, interval)
+    counted = clean.observe("rows", F.count("*").alias("out"), F.count_if("late").alias("late"))
+    writer = counted.writeStream.format("parquet").option("path", path).outputMode("append").partitionBy("late")
+    return _start(writer, checkpoint, once, interval)
+
+
+def tick(spark: SparkSession, path: str, schema, at: datetime) -> None:
+    """Adds a file with nothing but a time: readings from ``delay`` before it and earlier are complete."""
+    shape = spark.createDataFrame([], schema).schema
+    row = tuple(at if f.name == "date" else None for f in shape)
+    free = T.StructType([T.StructField(f.name, f.dataType) for f in shape])
+    spark.createDataFrame([row], free).write.mode("append").parquet(path)
+
+
+class LateFlags(StatefulProcessor):
+    """Marks rows that are not after the watermark; keeps no state."""
+
+    def init(self, handle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for chunk in rows:
+            late = (chunk["time_us"] <= mark * 1000) if mark > 0 else np.zeros(len(chunk), bool)
+            yield pd.DataFrame({"row": chunk["row"], "late": np.asarray(late, bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def flag_late(rows: DataFrame, path: str, checkpoint: str, *, delay: str = "7 days", spread: int = 64, once: bool = True, interval: str = "1 minute") -> StreamingQuery:
+    """Writes all rows to ``path``, those more than ``delay`` behind earlier batches to its folder late=true.
+
+    Stateful jobs read the others by ``on_time`` with the same delay, and then drop none. Rows travel as JSON
+    texts, which keep all types; ``spread`` groups share the work, whatever the keys are. Rows without a date are not late.
+    """
+    schema = rows.schema
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), STAMPS)
+    # A time without the watermark's mark, so that Spark passes on every row.
+    flat = rows.withWatermark("date", delay).select(text.alias("row"), F.coalesce(F.unix_micros("date"), F.lit(1 << 62)).alias("time_us"))
+    flagged = (
+        flat.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(spread))).groupBy("_part")
+        .transformWithStateInPandas(LateFlags(), "row string, late boolean", "Append", "EventTime")
+    )
+    out = flagged.select(F.from_json("row", schema, STAMPS).alias("r"), "late").select("r.*", "late")
+    counted = out.observe("rows", F.count("*").alias("out"), F.count_if("late").alias("late"))
+    writer = counted.writeStream.format("parquet").option("path", path).outputMode("append").partitionBy("late")
+    return _start(writer, checkpoint, once, interval)
+
+
+def read_flagged(spark: SparkSession, path: str) -> DataFrame:
+    """What ``flag_late`` or ``rolling_scores`` has written, as a table with ``late`` as a boolean."""
+    return spark.read.parquet(path).withColumn("late", F.col("late").cast("boolean"))
+
+
+def on_time(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that ``flag_late`` did not mark, as a stream; a batch of it is taken as a whole."""
+    both = T.StructType([*schema.fields, T.StructField("late", T.BooleanType())])
+    return read_files(spark, path, both, files_per_batch=None).where("not late").drop("late")
+
+
+class Accounts(StreamingQueryListener):
+    """What queries report about their rows, added up over micro-batches by the query's id.
+
+    ``rows[id]`` counts rows read (``in``), copies that deduplication dropped (``copies``), rows that Spark dropped behind
+    the watermark (``dropped``) and whatever a job observes about its output (``out``, ``late``).
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[str, Counter] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _end(self, run) -> threading.Event:
+        return self.ended.setdefault(str(run), threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        count = self.rows.setdefault(str(progress.id), Counter())
+        count["in"] += max(progress.numInputRows, 0)
+        for state in progress.stateOperators:
+            count["dropped"] += state.numRowsDroppedByWatermark
+            count["copies"] += int(state.customMetrics.get("numDroppedDuplicateRows", 0))
+        for row in progress.observedMetrics.values():
+            for name, value in row.asDict().items():
+                count[name] += value or 0
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(event.runId).set()
+
+    def of(self, query: StreamingQuery, timeout: float = 60) -> Counter:
+        """The counts of a query that has ended, once its last report is in."""
+        self._end(query.runId).wait(timeout)
+        return self.rows.get(str(query.id), Counter())
 
 
 def upsert_readings(
     readings: DataFrame, table: str, checkpoint: str, *, keys: Sequence[str] = ("tag_id", "date"),
     arrival: str | None = "arrival_id", once: bool = True, interval: str = "1 minute",
 ) -> StreamingQuery:
-    """Upsert every micro-batch into the stored readings; repeating a batch changes nothing."""
+    """Upsert every micro-batch into the stored readings as one version each.
+
+    The version notes the checkpoint and the batch's number, so that a repeated batch makes no new version.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            save_metrics(batch, table, keys, arrival)
+            save_metrics(batch, table, keys, arrival, writer=(checkpoint, batch_id))
 
     return _start(readings.writeStream.foreachBatch(write), checkpoint, once, interval)

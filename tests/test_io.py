@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from herdwatch.operators import alerts as al
 from herdwatch.operators import joins, logs, reports, storage
 from herdwatch.sources import readers, writers
+from herdwatch.sources.commits import StoredTable
 
 DAY = datetime(2024, 1, 1)
 
@@ -166,12 +167,15 @@ def test_stored_upsert_rewrites_only_its_days(spark, tmp_path):
     path = str(tmp_path / "m")
     shape = "tag_id string, date timestamp_ntz, t double"
     storage.create_metrics(spark.createDataFrame([("A", DAY, 1.0), ("A", datetime(2024, 1, 2), 2.0)], shape), path)
-    untouched = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "m" / "day=2024-01-01").glob("*.parquet")}
+    first = StoredTable(spark, path).version()
+    untouched = (tmp_path / "m" / first.parts["2024-01-01"]).stat().st_mtime_ns
     batch = spark.createDataFrame([("A", datetime(2024, 1, 2), 7.0), ("B", datetime(2024, 1, 5), 8.0)], shape)
     for _ in range(2):
         storage.save_metrics(batch, path)
     assert rows(storage.read_metrics(spark, path).select("tag_id", "t")) == [("A", 1.0), ("A", 7.0), ("B", 8.0)]
-    assert untouched == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "m" / "day=2024-01-01").glob("*.parquet")}
+    last = StoredTable(spark, path).version()
+    assert last.parts["2024-01-01"] == first.parts["2024-01-01"] and last.parts["2024-01-02"] != first.parts["2024-01-02"]
+    assert untouched == (tmp_path / "m" / first.parts["2024-01-01"]).stat().st_mtime_ns
 
 
 def test_summary_report(spark, tmp_path):

@@ -43,25 +43,6 @@ def test_upsert_keeps_and_matches_null_dates(spark, tmp_path):
         assert {tuple(r) for r in storage.read_metrics(spark, path).collect()} == want
 
 
-def test_an_interrupted_save_is_completed(spark, tmp_path, monkeypatch):
-    path, day = str(tmp_path / "metrics"), datetime.datetime(2024, 1, 1)
-    schema = "tag_id long, date timestamp, temperature double"
-    storage.create_metrics(spark.createDataFrame([(1, day, 38.0), (2, day, 38.5)], schema), path)
-    real, calls = storage._complete, []
-
-    def cut(spark, path):
-        calls.append(path)
-        if len(calls) > 1:
-            raise KeyboardInterrupt
-        real(spark, path)
-
-    monkeypatch.setattr(storage, "_complete", cut)
-    with pytest.raises(KeyboardInterrupt):
-        storage.save_metrics(spark.createDataFrame([(1, day, 40.0)], schema), path)
-    monkeypatch.undo()
-    assert {tuple(r)[::2] for r in storage.read_metrics(spark, path).collect()} == {(1, 40.0), (2, 38.5)}
-
-
 def test_upsert_matches_null_keys(spark):
     old = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
     new = spark.createDataFrame([(None, 5), (3, 3)], "k int, v int")
