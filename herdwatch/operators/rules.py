@@ -91,9 +91,8 @@ def _violations(df: DataFrame, rules: Sequence[Rule]) -> tuple[dict[str, Column]
             violation = rule.violation(df)
             df.select(violation)
         except Exception as error:  # noqa: BLE001 - a broken rule is a finding, not a crash
-            reason = str(error).splitlines()[0] if str(error) else type(error).__name__
             rows.append(
-                _row(rule.name, F.lit(False), F.lit(ERROR), F.lit(0), F.lit(f"Rule execution failed: {reason}"))
+                _row(rule.name, F.lit(False), F.lit(ERROR), F.lit(0), F.lit(f"Rule execution failed: {_reason(error)}"))
             )
             continue
         conditions[f"_r{i}"] = violation
@@ -121,14 +120,46 @@ def _key_result(df: DataFrame, primary_key: Sequence[str]) -> list[Column]:
     ]
 
 
+def _reason(error: Exception) -> str:
+    return str(error).splitlines()[0] if str(error) else type(error).__name__
+
+
+def _counted(
+    df: DataFrame, rules: Sequence[Rule], count: Callable[[dict[str, Column]], DataFrame]
+) -> tuple[DataFrame, list[Column]]:
+    """The stored counts of all rules, from one pass, and a result per rule.
+
+    A rule that fails while rows are read (a cast, a division) takes the joint pass with it. Then each rule is counted
+    alone; those that fail again are findings, and one more joint pass counts the others.
+    """
+    conditions, rows = _violations(df, rules)
+    try:
+        return materialize(count(conditions)), rows
+    except Exception as joint:  # noqa: BLE001 - which rule it was shows when they run alone
+        broken = {}
+        for name, violation in conditions.items():
+            try:
+                df.agg(F.count_if(violation)).collect()
+            except Exception as error:  # noqa: BLE001
+                broken[name] = error
+        if not broken:
+            raise joint
+    for name, error in broken.items():
+        del conditions[name]
+        i = int(name.removeprefix("_r"))
+        rows[i] = _row(rules[i].name, F.lit(False), F.lit(ERROR), F.lit(0), F.lit(f"Rule execution failed: {_reason(error)}"))
+    return materialize(count(conditions)), rows
+
+
 def rule_results(
     df: DataFrame, rules: Sequence[Rule] | None = None, primary_key: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per rule; all rules are counted in one pass."""
-    conditions, rows = _violations(df, registered_rules() if rules is None else list(rules))
-    counted = df.agg(
-        F.count("*").alias("_n"), *[F.count_if(violation).alias(name) for name, violation in conditions.items()]
-    )
+    """One row per rule; all rules are counted in one pass, which runs at once."""
+
+    def count(conditions: dict[str, Column]) -> DataFrame:
+        return df.agg(F.count("*").alias("_n"), *[F.count_if(violation).alias(name) for name, violation in conditions.items()])
+
+    counted, rows = _counted(df, registered_rules() if rules is None else list(rules), count)
     return counted.select(F.inline(F.array(*rows, *_key_result(df, primary_key))))
 
 
@@ -156,7 +187,6 @@ def validate(df: DataFrame, contract: Contract, rules: Sequence[Rule] | None = N
     Cells, rules and the figures of the quality score come from one pass, the key check from
     another; both are computed once and kept. All tables returned are small.
     """
-    conditions, rows = _violations(df, registered_rules() if rules is None else list(rules))
     # Nulls of declared columns are counted anyway.
     _, undeclared = ct.missing_and_extra(df, contract)
     present = {f"_p_{c}": F.col(c).isNotNull() for c in undeclared}
@@ -165,11 +195,12 @@ def validate(df: DataFrame, contract: Contract, rules: Sequence[Rule] | None = N
     if date and dict(df.dtypes)[date] == "string":
         unreadable = {"_unreadable": F.col(date).isNotNull() & _as_time(df, date).isNull()}
     timed = df.withColumn("_time", _as_time(df, date)) if date else df
-    counted = materialize(
-        ct.counts(
-            timed, contract, {**conditions, **present, **unreadable, **_share_flags(df)}, "_time" if date else None
-        )
-    )
+
+    def count(conditions: dict[str, Column]) -> DataFrame:
+        more = {**conditions, **present, **unreadable, **_share_flags(df)}
+        return ct.counts(timed, contract, more, "_time" if date else None)
+
+    counted, rows = _counted(df, registered_rules() if rules is None else list(rules), count)
     results = materialize(counted.select(F.inline(F.array(*rows, *_key_result(df, contract.primary_key)))))
     totals = rule_totals(results).select(F.struct("*")).scalar()
     summary = ct.summary(df, contract, counted)

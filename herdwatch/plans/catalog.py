@@ -8,8 +8,10 @@ from . import (  # noqa: F401
     q_detection,
     q_logs,
     q_models,
+    q_more,
     q_quality,
     q_reports,
+    q_rollups,
     q_storage,
     q_stored,
 )

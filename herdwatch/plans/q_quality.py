@@ -262,10 +262,3 @@ UNION ALL SELECT 'days_old', 'date', datesub('day', CAST(max(date) AS TIMESTAMP)
 )
 def dq_quick_check(spark, sf_dir):
     return quality.quick_check(readings(spark, sf_dir), v.QUALITY_AS_OF)
-
-
-@query()
-def dq_text_report(spark, sf_dir):
-    from ..session import materialize
-
-    return quality.text_report(materialize(quality.measures(readings(spark, sf_dir), v.QUALITY_AS_OF)))
