@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import ACTIVITY_FLOOR, METRICS, NORMAL_RANGES
 from ..functions.scalars import clip_below, range_flag
+from ..session import write_and_read
 from .joins import keep_first
 from .order_stats import quantiles
 from .skew import with_nearest_values
@@ -46,10 +47,18 @@ def fill_missing(
     return prepared.finish(filled)
 
 
-def impute_mean(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
-    """Replace remaining nulls by the mean of the column."""
+def impute_mean(df: DataFrame, columns: Sequence[str] = NUMERIC, keep: bool = False) -> DataFrame:
+    """Replace remaining nulls by the mean of the column.
+
+    With ``keep`` the table is stored and its means are observed while it is written, so that ``df`` is computed once.
+    """
     present = [c for c in columns if c in df.columns]
     df = nan_to_null(df, present)
+    if keep and present:
+        seen = Observation()
+        # On top of the write: a task that is repeated counts once.
+        df = write_and_read(df.observe(seen, *[F.avg(c).alias(c) for c in present]), "filled")
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(mean).cast("double")) for c, mean in seen.get.items()})
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in present])).scalar()
     return df.withColumns({c: F.coalesce(F.col(c), means[c]) for c in present})
 
@@ -86,12 +95,15 @@ def clip_activity(df: DataFrame, floor: float = ACTIVITY_FLOOR) -> DataFrame:
 
 def clean(
     df: DataFrame, *, order_by: Sequence[str] = ("arrival_id",), sort: bool = False,
-    hot_key_rows: int | None = None,
+    hot_key_rows: int | None = None, keep: bool = False,
 ) -> DataFrame:
-    """All cleaning steps. ``sort`` orders the result by date, which costs one more shuffle."""
+    """All cleaning steps. ``sort`` orders the result by date, which costs one more shuffle.
+
+    ``keep`` stores the filled table instead of filling a second time for the means.
+    """
     out = (
         df.transform(fill_missing, order_by=order_by, hot_key_rows=hot_key_rows)
-        .transform(impute_mean)
+        .transform(impute_mean, keep=keep)
         .transform(remove_duplicates, arrival=order_by[0])
         .transform(fix_types)
         .transform(flag_ranges)

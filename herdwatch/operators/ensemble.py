@@ -17,12 +17,13 @@ from .detect import detect_statistical
 STAT, FOREST = "statistical", "isolation_forest"
 
 
-def combine(df: DataFrame, weights: dict[str, float] = ENSEMBLE_WEIGHTS, threshold: float = ENSEMBLE_THRESHOLD) -> DataFrame:
+def combine(df: DataFrame, weights: dict[str, float] = ENSEMBLE_WEIGHTS, threshold: float = ENSEMBLE_THRESHOLD, top: Column | None = None) -> DataFrame:
     """Weighted score, flag, combined flag and score, and the methods that fired.
 
-    Expects stat_is_anomaly, stat_anomaly_score, if_anomaly and if_anomaly_score.
+    Expects stat_is_anomaly, stat_anomaly_score, if_anomaly and if_anomaly_score. ``top`` is the greatest
+    stat_anomaly_score, where it is known; else it is computed.
     """
-    top = df.agg(F.max("stat_anomaly_score")).scalar()
+    top = df.agg(F.max("stat_anomaly_score")).scalar() if top is None else top
     scaled = F.when(F.coalesce(top, F.lit(0.0)) > 0, 10 * F.col("stat_anomaly_score") / top).otherwise(0.0)
     scored = df.withColumn(
         "ensemble_anomaly_score", weights[STAT] * scaled + weights[FOREST] * F.col("if_anomaly_score")
@@ -53,11 +54,6 @@ def detect_ensemble(
     """Both detectors on one table, side by side in the same rows (no join), then combined."""
     present = [m for m in metrics if m in df.columns]
     df = fix_types(df, numeric=present)
-    if forest is None:
-        forest = iforest.fit(
-            df, present, ids, trees=settings.n_estimators, sample_size=settings.max_samples,
-            contamination=settings.contamination, seed=settings.random_state, max_rows=hot_key_rows,
-        )
     stat = detect_statistical(
         df, present, threshold=settings.threshold, window_size=settings.window_size, partition_by=partition_by,
         order_by=order_by, hot_key_rows=hot_key_rows,
@@ -65,7 +61,16 @@ def detect_ensemble(
     stat = stat.withColumnsRenamed(
         {"is_anomaly": "stat_is_anomaly", "anomaly_score": "stat_anomaly_score"}
     ).drop(*[f"{m}_anomaly" for m in present])
-    return combine(iforest.apply_to_training(stat, forest), settings.ensemble_weights)
+    if forest is not None:
+        return combine(iforest.apply_to_training(stat, forest), settings.ensemble_weights)
+    grown = iforest.grow(
+        df, present, ids, trees=settings.n_estimators, sample_size=settings.max_samples,
+        contamination=settings.contamination, seed=settings.random_state,
+    )
+    # Windows and scores are computed once, and what the combination must know of all rows comes with them.
+    top = F.max("stat_anomaly_score").alias("_top")
+    forest, kept, seen = iforest.score_once(stat, grown, max_rows=hot_key_rows, observed=[top])
+    return combine(iforest.apply_to_training(kept, forest), settings.ensemble_weights, top=F.lit(seen["_top"]).cast("double"))
 
 
 def detect_ensemble_clusters(

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -186,11 +186,11 @@ def score_column(spark: SparkSession, forest: Forest) -> Column:
     return once(F.struct(*[_scaled(f, forest.scaling).alias(f) for f in forest.features]))
 
 
-def fit(
+def grow(
     df: DataFrame, features: Sequence[str], ids: Sequence[str], *, trees: int = 100, sample_size: int = 256,
-    contamination: float = 0.1, seed: int = 42, max_rows: int | None = None,
+    contamination: float = 0.1, seed: int = 42,
 ) -> Forest:
-    """Grow the forest and set its threshold to the contamination quantile of the training scores.
+    """The trees, without a threshold.
 
     ``ids`` identify a row and stay the same on every read. Nulls count as the column mean.
     """
@@ -214,16 +214,34 @@ def fit(
     # A fixed number of partitions: the samples are small, and would otherwise be merged into one task.
     spread = drawn.repartition(min(trees, df.sparkSession.sparkContext.defaultParallelism), "tree")
     nodes = spread.groupBy("tree").applyInPandas(build, NODES).toPandas()
-    forest = Forest(features, scaling, size, contamination, seed, nodes)
-    # One pass scores all rows; threshold and extremes are then read from the stored scores.
-    scores = write_and_read(df.select(score_column(df.sparkSession, forest).alias("score")), "scores")
-    ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-    offset = quantiles(scores, "score", {"offset": contamination}, max_rows=max_rows).first()["offset"]
-    return replace(forest, offset=offset, lowest=ends["lo"], highest=ends["hi"])
+    return Forest(features, scaling, size, contamination, seed, nodes)
+
+
+def fit(df: DataFrame, features: Sequence[str], ids: Sequence[str], *, max_rows: int | None = None, **options) -> Forest:
+    """Grow the forest and set its threshold to the contamination quantile of the training scores."""
+    return score_once(df, grow(df, features, ids, **options), only_score=True, max_rows=max_rows)[0]
+
+
+def score_once(
+    df: DataFrame, grown: Forest, *, only_score: bool = False, max_rows: int | None = None, observed: Sequence[Column] = (),
+) -> tuple[Forest, DataFrame, dict]:
+    """(forest with threshold and extremes, stored rows with ``_score``, values of ``observed`` aggregates).
+
+    Rows are scored while they are stored; extremes and other totals are observed in the same pass, and the
+    threshold is read from the stored scores.
+    """
+    scored = df.select(*([] if only_score else df.columns), score_column(df.sparkSession, grown).alias("_score"))
+    seen = Observation()
+    ends = [F.min("_score").alias("_lowest"), F.max("_score").alias("_highest")]
+    # On top of the write: a task that is repeated counts once.
+    kept = write_and_read(scored.observe(seen, *ends, *observed), "scores")
+    offset = quantiles(kept, "_score", {"offset": grown.contamination}, max_rows=max_rows).first()["offset"]
+    found = seen.get
+    return replace(grown, offset=offset, lowest=found["_lowest"], highest=found["_highest"]), kept, found
 
 
 def _add_results(df: DataFrame, forest: Forest, low: Column, high: Column, reach: dict[str, Column]) -> DataFrame:
-    scored = df.withColumn("_score", score_column(df.sparkSession, forest))
+    scored = df if "_score" in df.columns else df.withColumn("_score", score_column(df.sparkSession, forest))
     s = F.col("_score")
     scored = scored.withColumns(
         {
@@ -252,12 +270,14 @@ def predict(df: DataFrame, forest: Forest) -> DataFrame:
 
 
 def detect(df: DataFrame, features: Sequence[str], ids: Sequence[str], **options) -> DataFrame:
-    """Fit and predict on the same table; the extremes are known from the fit."""
-    return apply_to_training(df, fit(df, features, ids, **options))
+    """Fit and predict on the same table, whose rows are scored once and stored."""
+    max_rows = options.pop("max_rows", None)
+    forest, kept, _ = score_once(df, grow(df, features, ids, **options), max_rows=max_rows)
+    return apply_to_training(kept, forest)
 
 
 def apply_to_training(df: DataFrame, forest: Forest) -> DataFrame:
-    """Results for the table the forest was fitted on."""
+    """Results for the table the forest was fitted on; scores it has as ``_score`` are taken."""
     reach = {f: F.lit(forest.scaling[f]["reach"]) for f in forest.features}
     return _add_results(df, forest, F.lit(forest.lowest), F.lit(forest.highest), reach)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ..operators.clusters import with_severity
 from ..operators.contracts import Contract
 from ..session import write_and_read
 from ..sources import writers
+from .stages import Stages, input_of
 
 log = logging.getLogger(__name__)
 
@@ -41,6 +44,8 @@ class Results:
     errors: list[str] = field(default_factory=list)
     files: dict[str, str] = field(default_factory=dict)
     success: bool = False
+    # The kept stages of a run that can be resumed; its ``forget_others`` drops those of other runs.
+    stages: Stages | None = None
 
 
 def enabled(step: str, switches: dict[str, bool]) -> bool:
@@ -54,17 +59,31 @@ def run(
     readings: DataFrame, as_of, *, switches: dict[str, bool] | None = None,
     settings: DetectionSettings | None = None, contract: Contract | None = None, strict: bool = False,
     export_to: str | None = None, order_by: tuple[str, ...] = ("arrival_id",), hot_key_rows: int | None = None,
+    resume_at: str | None = None, input_key: str | None = None,
 ) -> Results:
     """Run the enabled steps over a table of readings with animal type and farm.
 
     The cleaned and the detected table are stored once in the shared folder, because scaling and detectors,
     clusters, notification, export and reports all read them; everything else stays lazy. ``strict`` stops at invalid
     data when a contract is given. Switches apply to this run only.
+
+    With ``resume_at``, a folder, the finished stages of an earlier run over the same readings with the same settings are
+    taken from there instead of being computed: issues, cleaned and detected readings, exported files. The
+    readings are known by ``input_key`` (such as ``stages.stored_input`` gives it), or else by a pass over all of them.
     """
     switches, settings = switches or {}, settings or DetectionSettings()
     for step in switches:
         enabled(step, switches)
     out = Results()
+    if resume_at is not None:
+        out.stages = Stages(readings.sparkSession, resume_at, input_key or input_of(readings))
+
+    def kept(name: str, make: Callable[[], DataFrame], *about) -> DataFrame:
+        """A table that later steps read several times."""
+        if out.stages is None:
+            return write_and_read(make(), name)
+        return out.stages.table(name, make, json.dumps([str(as_of), order_by, *about], default=str))
+
     data, when = readings, ("date", order_by[0])
 
     if contract is not None and enabled("data_quality", switches):
@@ -82,13 +101,16 @@ def run(
     if enabled("data_quality", switches):
         analysis = quality.analyze(data, as_of, hot_key_rows)
         out.tables.update({f"quality_{k}": t for k, t in analysis.items()})
-        if not analysis["issues"].isEmpty():
+        if out.stages is not None:
+            out.tables["quality_issues"] = kept("quality_issues", lambda: analysis["issues"])
+        if not out.tables["quality_issues"].isEmpty():
             out.warnings.append("Data quality issues detected")
         out.steps.append("data_quality")
 
     if enabled("preprocessing", switches):
         # Scaling and both detectors read it, several passes in all.
-        data = write_and_read(clean.clean(data, order_by=order_by, hot_key_rows=hot_key_rows), "cleaned")
+        raw = data
+        data = kept("cleaned", lambda: clean.clean(raw, order_by=order_by, hot_key_rows=hot_key_rows, keep=True))
         out.tables["cleaned"] = data
         out.tables["normalized"] = normalize.fit_transform(data, [m for m in METRICS if m in data.columns])
         out.steps.append("preprocessing")
@@ -99,8 +121,9 @@ def run(
         if method == "ensemble" and not enabled("ensemble_detection", switches):
             method = "statistical"
         chosen = DetectionSettings(**{**settings.__dict__, "method": method})
-        detected = ensemble.detect(data, chosen, ids=order_by[:1], order_by=when, hot_key_rows=hot_key_rows)
-        found = write_and_read(detected, "detected")
+        found = kept(
+            "detected", lambda: ensemble.detect(data, chosen, ids=order_by[:1], order_by=when, hot_key_rows=hot_key_rows), asdict(chosen)
+        )
         out.tables["detected"] = found
         out.tables["clusters"] = with_severity(ensemble.detect_outbreaks(found, chosen))
         out.steps.append("anomaly_detection")
@@ -124,12 +147,13 @@ def run(
         out.steps += ["email_alerts", "notifications"] if enabled("email_alerts", switches) else ["notifications"]
 
     if enabled("export_reports", switches) and found is not None and export_to is not None:
-        out.files.update(
-            {f"anomalies_{k}": p for k, p in writers.export_anomalies(found.filter(flag), export_to, as_of).items()}
-        )
-        out.files.update(
-            {f"clusters_{k}": p for k, p in writers.export(out.tables["clusters"], export_to, "clusters", as_of).items()}
-        )
+
+        def export() -> dict[str, str]:
+            anomalies = writers.export_anomalies(found.filter(flag), export_to, as_of)
+            clusters = writers.export(out.tables["clusters"], export_to, "clusters", as_of)
+            return {**{f"anomalies_{k}": p for k, p in anomalies.items()}, **{f"clusters_{k}": p for k, p in clusters.items()}}
+
+        out.files.update(export() if out.stages is None else out.stages.once("exported", export, export_to))
         out.steps.append("export_reports")
 
     if enabled("dashboard", switches) and found is not None and "is_anomaly" in found.columns:

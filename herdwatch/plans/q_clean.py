@@ -132,7 +132,7 @@ def clean_all(spark, sf_dir):
     readings = joins.with_animals(
         v.metrics_daily(spark, sf_dir), v.livestock(spark, sf_dir), columns=["animal_type"]
     )
-    return c.clean(readings)
+    return c.clean(readings, keep=True)
 
 
 @query(

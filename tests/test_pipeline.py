@@ -1,11 +1,14 @@
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from herdwatch.constants import DetectionSettings
 from herdwatch.operators import contracts as ct
-from herdwatch.plans import pipeline
+from herdwatch.operators import storage
+from herdwatch.plans import pipeline, stages
 from herdwatch.plans import views as v
 from herdwatch.plans.q_detection import enriched
+from herdwatch.sources.commits import StoredTable
 
 STAT = DetectionSettings("statistical", threshold=1.5)
 
@@ -46,3 +49,53 @@ def test_strict_mode(spark, data):
     went_on = pipeline.run(readings, v.METRICS_AS_OF, contract=contract, switches=on)
     assert went_on.success and "Data validation failed" in went_on.warnings
     assert went_on.tables["contract_quality"].select(F.col("grade")).first()[0] in "ABCDF"
+
+
+def test_a_killed_run_goes_on_behind_its_last_stage(spark, data, tmp_path, monkeypatch):
+    readings, kept = enriched(spark, data), str(tmp_path / "kept")
+    whole = pipeline.run(readings, v.METRICS_AS_OF, settings=STAT, export_to=str(tmp_path / "a"))
+    real = pipeline.ensemble.detect
+
+    def killed(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(pipeline.ensemble, "detect", killed)
+    with pytest.raises(KeyboardInterrupt):
+        pipeline.run(readings, v.METRICS_AS_OF, settings=STAT, export_to=str(tmp_path / "b"), resume_at=kept)
+    monkeypatch.setattr(pipeline.ensemble, "detect", real)
+    # A folder that the killed run was writing has no record.
+    spark.range(3).write.parquet(f"{kept}/tables/detected-half")
+    monkeypatch.setattr(pipeline.clean, "clean", killed)
+    again = pipeline.run(readings, v.METRICS_AS_OF, settings=STAT, export_to=str(tmp_path / "b"), resume_at=kept)
+    assert again.stages.made == ["detected", "exported"]
+    third = pipeline.run(readings, v.METRICS_AS_OF, settings=STAT, export_to=str(tmp_path / "b"), resume_at=kept)
+    assert third.stages.made == [] and third.files == again.files and third.steps == again.steps == whole.steps
+    for name in ("cleaned", "detected", "clusters"):
+        assert rows(third.tables[name]) == rows(whole.tables[name]), name
+
+
+def test_other_input_or_settings_are_computed_anew(spark, data, tmp_path):
+    readings, kept = enriched(spark, data), str(tmp_path / "kept")
+    off = {"data_quality": False, "notifications": False, "dashboard": False}
+    first = pipeline.run(readings, v.METRICS_AS_OF, settings=STAT, switches=off, resume_at=kept)
+    assert first.stages.made == ["cleaned", "detected"]
+    other = DetectionSettings("statistical", threshold=2.0)
+    second = pipeline.run(readings, v.METRICS_AS_OF, settings=other, switches=off, resume_at=kept)
+    assert second.stages.made == ["detected"]
+    fewer = pipeline.run(readings.filter("arrival_id <> 5"), v.METRICS_AS_OF, settings=STAT, switches=off, resume_at=kept)
+    assert fewer.stages.made == ["cleaned", "detected"] and fewer.tables["cleaned"].count() == first.tables["cleaned"].count() - 1
+    # Only the last run's tables stay.
+    assert len(fewer.stages.forget_others()) == 6
+    assert fewer.tables["detected"].count() == fewer.tables["cleaned"].count()
+    assert pipeline.run(readings, v.METRICS_AS_OF, settings=STAT, switches=off, resume_at=kept).stages.made == ["cleaned", "detected"]
+
+
+def test_a_stored_table_is_known_by_its_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    shape = "tag_id long, date timestamp_ntz, t double"
+    storage.create_metrics(spark.createDataFrame([], shape), path)
+    table = StoredTable(spark, path)
+    first = stages.stored_input(table)
+    storage.save_metrics(spark.createDataFrame([(1, None, 1.0)], shape), path)
+    assert stages.stored_input(table) != first
+    assert stages.input_of(spark.range(3)) == stages.input_of(spark.range(3).repartition(2)) != stages.input_of(spark.range(4))
