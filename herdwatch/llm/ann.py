@@ -8,7 +8,8 @@ then stored in its nearest centroid's list, and a class near a border in further
 out if a list that has the class already is nearer to it than the class is). A query walks a graph that links each
 centroid to its nearest ones, and reads the lists whose centroid is not much farther than the first; the ratio
 is set so that sampled queries find the target share of their neighbours among the sample. Lists and their queries
-meet in blocks, products are computed in double precision on the stored vectors.
+meet in blocks, products are computed in double precision on the stored vectors. A query reads its nearest
+lists first; from the others it takes only what is at least as good as the last of the nearest it has by then.
 
 The sample grows with the table up to ``MOST_LISTS`` lists; beyond that lists get longer and are read in more blocks.
 """
@@ -26,12 +27,14 @@ from ..session import materialize
 from .common import small
 
 NEAREST, EVERY = 20, 20
-PER_LIST, MOST_LISTS, PER_CENTROID, SAMPLE = 256, 8_192, 8, 20_000
+PER_LIST, MOST_LISTS, PER_CENTROID, SAMPLE = 1_024, 8_192, 8, 20_000
 # Further lists of a class: how much farther than its nearest centroid, and how many.
 BORDER, COPIES = 0.1, 8
-LINKS, BEAM, RECALL, TRIALS = 16, 64, 0.99, 400
+LINKS, BEAM, RECALL, TRIALS = 16, 64, 0.95, 400
+# Lists that a query reads before the others.
+FIRST = 2
 POSTINGS, QUERIES = 4_096, 1_024
-BROADCAST_ANSWERS = 50_000
+BROADCAST_ANSWERS, BROADCAST_BOUNDS = 50_000, 1_000_000
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,7 +239,7 @@ def postings(classes: DataFrame, books: dict[int, Index]) -> DataFrame:
 
 
 def probes(asking: DataFrame, books: dict[int, Index], least: int) -> DataFrame:
-    """Rows (dim, list, cid, v): the lists each query's vector reads."""
+    """Rows (dim, list, turn, cid, v): the lists each query's vector reads, its nearest ones with turn 0, the others with 1."""
 
     def run(batches):
         for batch in batches:
@@ -247,32 +250,37 @@ def probes(asking: DataFrame, books: dict[int, Index], least: int) -> DataFrame:
                     if dim in books:
                         lists = books[dim].choose(books[dim].asked(matrix(some.column("v"), dim)), least)
                     row, where = spread(lists)
+                    later = np.concatenate([np.arange(len(x)) >= FIRST for x in lists])
                     taken = some.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), dim), pa.int32()), pa.array(where, pa.int64()), *taken.columns], names=["dim", "list", "cid", "v"]
+                        [pa.array(np.full(len(row), dim), pa.int32()), pa.array(where, pa.int64()), pa.array(later.astype(np.int32)), *taken.columns],
+                        names=["dim", "list", "turn", "cid", "v"],
                     )
 
-    return asking.mapInArrow(run, f"dim int, list long, cid long, v {dict(asking.dtypes)['v']}")
+    return asking.mapInArrow(run, f"dim int, list long, turn int, cid long, v {dict(asking.dtypes)['v']}")
 
 
-def best_of(stored: np.ndarray, names: np.ndarray, asked: np.ndarray, keep: int):
-    """(query, stored row, product) of each query's ``keep`` best rows, ties to smaller names."""
+def best_of(stored: np.ndarray, asked: np.ndarray, keep: int, least: np.ndarray):
+    """(query, stored row, product) of each query's ``keep`` best rows of at least ``least``, and of rows about as good."""
     rough = asked @ stored.T
-    out = []
-    for i, row in enumerate(rough):
-        at = np.arange(len(row))
-        if len(row) > keep:
-            # A matrix product may round differently by place: rows about as good as the last one stay.
-            last = np.partition(row, len(row) - keep)[len(row) - keep]
-            at = np.flatnonzero(~(row < last - 1e-9 * (1 + abs(last))))
-        score = (stored[at] * asked[i]).sum(axis=1)
-        order = np.lexsort((names[at], -score))[:keep]
-        out.append((np.full(len(order), i), at[order], score[order]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+    # A matrix product may round differently by place: the exact products decide.
+    near = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+    good = ~(rough < (least - near)[:, None])
+    for i in np.flatnonzero(good.sum(axis=1) > keep):
+        row = np.where(good[i], rough[i], -np.inf)
+        last = np.partition(row, len(row) - keep)[len(row) - keep]
+        good[i] &= ~(row < last - 1e-9 * (1 + abs(last)))
+    query, at = np.nonzero(good)
+    score = (stored[at] * asked[query]).sum(axis=1)
+    good = ~(score < least[query])
+    return query[good], at[good], score[good]
 
 
 def answers(stored: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
-    """Rows (qid, cid, ids, score): the best of each block of a list for each query that reads it."""
+    """Rows (qid, cid, ids, score): the best of each block of a list for each query that reads it.
+
+    ``asked`` has the columns dim, list, cid, v and least, the product below which a query wants nothing (null: it wants all).
+    """
     key = ["dim", "list"]
 
     def blocks(rows: DataFrame, own: str, other: str) -> DataFrame:
@@ -286,8 +294,8 @@ def answers(stored: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     plan = materialize(parts(stored, POSTINGS, "n_p").join(parts(asked, QUERIES, "n_q"), key))
     plan = small(plan, 200_000)
     none = F.lit(None).cast("array<bigint>")
-    left = blocks(stored.join(plan, key), "p", "q").select(*key, "p", "q", F.lit(0).alias("role"), "cid", "ids", "v")
-    right = blocks(asked.join(plan, key), "q", "p").select(*key, "p", "q", F.lit(1).alias("role"), "cid", none.alias("ids"), "v")
+    left = blocks(stored.join(plan, key), "p", "q").select(*key, "p", "q", F.lit(0).alias("role"), "cid", "ids", "v", F.lit(None).cast("double").alias("least"))
+    right = blocks(asked.join(plan, key), "q", "p").select(*key, "p", "q", F.lit(1).alias("role"), "cid", none.alias("ids"), "v", "least")
 
     def run(group, table):
         table = table.combine_chunks()
@@ -296,8 +304,9 @@ def answers(stored: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
         schema = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
         if not len(home) or not len(guest):
             return schema.empty_table()
-        dim, names = group[0].as_py(), home.column("cid").to_numpy()
-        q, at, score = best_of(matrix(home.column("v").combine_chunks(), dim), names, matrix(guest.column("v").combine_chunks(), dim), keep)
+        dim = group[0].as_py()
+        least = guest.column("least").fill_null(-np.inf).to_numpy()
+        q, at, score = best_of(matrix(home.column("v").combine_chunks(), dim), matrix(guest.column("v").combine_chunks(), dim), keep, least)
         rows = pa.array(at)
         return pa.table([pa.array(guest.column("cid").to_numpy()[q]), home.column("cid").take(rows), home.column("ids").take(rows), pa.array(score)], schema=schema)
 
@@ -359,7 +368,13 @@ def nearest_by_product(
         for r in held:
             books[r["dim"]].held[r["list"]] = r["count"]
     asked = materialize(probes(classes.where("asks").select("cid", "v"), books, nearest + 1))
-    found = materialize(answers(stored.drop("first"), asked, nearest + 1))
+    stored, keep = stored.drop("first"), nearest + 1
+    first = materialize(answers(stored, asked.where("turn = 0").withColumn("least", F.lit(None).cast("double")), keep))
+    # The last product of those that are full; a list in several blocks gives more than enough rows.
+    last = Window.partitionBy("qid").orderBy(F.desc("score"))
+    bounds = first.withColumn("_r", F.row_number().over(last)).where(F.col("_r") == keep).select(F.col("qid").alias("cid"), F.col("score").alias("least"))
+    rest = asked.where("turn = 1").join(small(materialize(bounds), BROADCAST_BOUNDS), "cid", "left")
+    found = first.unionByName(answers(stored, rest, keep))
 
     # A class may come from several lists; of its ids the least ones are enough.
     found = found.groupBy("qid", "cid").agg(F.max("score").alias("score"), F.min("ids").alias("ids"))
