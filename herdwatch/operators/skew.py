@@ -13,8 +13,9 @@ no key is larger than ``max_rows`` nothing is added and the plan is the plain wi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -26,6 +27,8 @@ from ..session import materialize
 HOT_KEY_ROWS = 4_000_000
 # A hot (key, chunk) is cut at this many quantiles at a time.
 CUTS = 63
+# Numbers of the order that one level looks at.
+AT_A_TIME = 8
 # Hot (key, chunk) pairs (some 500 bytes each) are broadcast up to this many.
 BROADCAST_HOT = 50_000
 # Cells of missing values and of NaN, which sort first and last.
@@ -34,21 +37,29 @@ FIRST_CELL, LAST_CELL = -1, 1 << 20
 CHUNK, GHOST, SIDE = "_chunk", "_ghost", "_side"
 
 
-def positions(df: DataFrame, name: str) -> list[Column]:
-    """A column as numbers that sort alike: microseconds, days, or the text six bytes at a time, to its end."""
+def positions(df: DataFrame, name: str) -> list[Callable[[], Column]]:
+    """A column as numbers that sort alike, each as a double that holds it exactly.
+
+    Microseconds, days, the halves of whole numbers, or the text six bytes at a time, to its end. Columns are made when
+    they are asked for, as a long text has many.
+    """
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
-        return [F.unix_micros(F.col(name).cast("timestamp")).cast("double")]
+        return [lambda: F.unix_micros(F.col(name).cast("timestamp")).cast("double")]
     if kind == "date":
-        return [F.unix_date(F.col(name)).cast("double")]
+        return [lambda: F.unix_date(F.col(name)).cast("double")]
+    if kind == "bigint":
+        # Beyond 2^53 neighbours would be the same double.
+        return [lambda: F.shiftright(name, 32).cast("double"), lambda: F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
     if kind == "string":
         longest = df.agg(F.max(F.octet_length(name))).first()[0] or 0
-        digits = F.hex(F.encode(F.col(name), "UTF-8"))
-        return [
-            F.conv(F.rpad(F.substring(digits, start, 12), 12, "0"), 16, 10).cast("double")
-            for start in range(1, 2 * longest + 1, 12)
-        ] or [F.lit(0.0)]
-    return [F.col(name).cast("double")]
+
+        def part(start: int) -> Column:
+            digits = F.hex(F.encode(F.col(name), "UTF-8"))
+            return F.conv(F.rpad(F.substring(digits, start, 12), 12, "0"), 16, 10).cast("double")
+
+        return [partial(part, start) for start in range(1, 2 * longest + 1, 12)] or [lambda: F.lit(0.0)]
+    return [lambda: F.col(name).cast("double")]
 
 
 def _join_hot(rows: DataFrame, hot: DataFrame, group: Sequence[str], how: str) -> DataFrame:
@@ -71,17 +82,19 @@ def add_chunks(
     their own. A chunk that is still too large is cut again, until it fits or its rows are equal in all order
     columns. Each level reads the rows twice (sizes, quantiles of the hot ones), and its table of hot
     (key, chunk) pairs, at most ``rows / max_rows``, is stored, so that reads grow linearly with the levels.
+    A level looks at a few numbers at a time (see ``positions``); where no hot chunk varies in them, at the next ones.
     """
     max_rows = max_rows or HOT_KEY_ROWS
     out = df.withColumn(CHUNK, F.expr("CAST(array() AS ARRAY<BIGINT>)"))
-    group, places, level = [*keys, CHUNK], None, 0
+    group, numbered, level, at = [*keys, CHUNK], None, 0, 0
     while True:
         sizes = out.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
         if sizes.isEmpty():
             return None if level == 0 else out
         hot = materialize(sizes.select(*[F.col(g).alias(f"_hot_{g}") for g in group]))
-        if places is None:
-            places = [place for c in order for place in positions(df, c)]
+        if numbered is None:
+            numbered = [place for c in order for place in positions(df, c)]
+        places = [place() for place in numbered[at : at + AT_A_TIME]]
         numbers = out.select(*group, *[place.alias(f"_p{i}") for i, place in enumerate(places)])
         plan = _join_hot(numbers, hot, group, "inner").groupBy(*group)
         aggs, pick = [F.count(F.lit(1)).alias("_n")], F.lit(None).cast("int")
@@ -104,6 +117,9 @@ def add_chunks(
             )
         )
         if plan.isEmpty():
+            at += AT_A_TIME
+            if at < len(numbered):
+                continue
             return None if level == 0 else out
         joined = _join_hot(out, plan, group, "left")
         place = F.element_at(F.array(*places), F.col("_pick") + 1)

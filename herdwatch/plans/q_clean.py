@@ -182,25 +182,14 @@ def describe_numeric(spark, sf_dir):
     return stats.describe_numeric(v.metrics_raw(spark, sf_dir), METRICS)
 
 
-@query(
-    """WITH d AS (SELECT CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(event_id AS VARCHAR), '~'),
-    coalesce(CAST(user_id AS VARCHAR), '~'), coalesce(event_type, '~'), coalesce(CAST(value AS VARCHAR), '~'),
-    coalesce(props, '~'))), 1, 15)) AS BIGINT) AS d FROM events)
-SELECT count(*) AS row_count, bit_xor(d) AS xor_digest, CAST(sum(d) AS VARCHAR) AS sum_digest FROM d"""
-)
-def table_fingerprint(spark, sf_dir):
-    return stats.fingerprint(
-        v.table(spark, sf_dir, "events"), ["event_id", "user_id", "event_type", "value", "props"]
-    )
-
-
-@query(
-    f"""WITH d AS (SELECT CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(event_id AS VARCHAR), '~'),
+FINGERPRINT = f"""WITH d AS (SELECT CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(event_id AS VARCHAR), '~'),
     coalesce({time_text("ts")}, '~'), coalesce(CAST(user_id AS VARCHAR), '~'), coalesce(event_type, '~'),
     coalesce(CAST(value AS VARCHAR), '~'), coalesce(props, '~'))), 1, 15)) AS BIGINT) AS d FROM events)
 SELECT count(*) AS row_count, bit_xor(d) AS xor_digest, CAST(sum(d) AS VARCHAR) AS sum_digest FROM d"""
-)
-def whole_table_fingerprint(spark, sf_dir):
+
+
+@query(FINGERPRINT)
+def table_fingerprint(spark, sf_dir):
     """Fingerprint of all columns of events; times as text of one format."""
     events = v.table(spark, sf_dir, "events")
     return stats.fingerprint(
@@ -208,6 +197,11 @@ def whole_table_fingerprint(spark, sf_dir):
     )
 
 
+@query(FINGERPRINT)
+def whole_table_fingerprint(spark, sf_dir):
+    return table_fingerprint(spark, sf_dir)
+
+
 def _scaled(m: str, method: str) -> str:
     centre, scale = (f"avg({m})", f"stddev_pop({m})") if method == "standard" else (
         f"min({m})", f"max({m}) - min({m})")

@@ -15,7 +15,7 @@ FIELDS = ("event_id", "timestamp", "level", "logger", "message", "operation", "d
 @query(
     v.with_views(
         "logs",
-        f"""SELECT {RECORD} FROM logs WHERE operation NOT IN ('error', 'purchase')""",
+        f"""SELECT {RECORD} FROM logs WHERE operation <> 'error'""",
     )
 )
 def log_parse(spark, sf_dir):

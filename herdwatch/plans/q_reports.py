@@ -125,7 +125,7 @@ def daily_report(spark, sf_dir):
 
 
 _ADVICE = "\nUNION ALL ".join(
-    f"SELECT 5 AS section, 0 AS item, '{i}. {t}' AS line" for i, t in enumerate(SUMMARY_ADVICE["alerts"], 1)
+    f"SELECT 5, 0, {i + 1}, '{i}. {t}'" for i, t in enumerate(SUMMARY_ADVICE["alerts"], 1)
 )
 
 
@@ -141,24 +141,24 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY start_date, farm_id) AS i,
                          WHEN affected_animals >= 5 OR avg_anomaly_score >= 5 THEN 'high'
                          WHEN affected_animals >= 3 OR avg_anomaly_score >= 3 THEN 'medium' ELSE 'low' END AS severity
              FROM clusters)
-SELECT 0 AS section, 0 AS item, repeat('=', 60) AS line
-UNION ALL SELECT 0, 0, repeat('=', 60)
-UNION ALL SELECT 0, 0, 'HERD HEALTH MONITORING SUMMARY REPORT'
-UNION ALL SELECT 1, 0, 'ANOMALY SUMMARY'
-UNION ALL SELECT 1, 0, repeat('-', 40)
-UNION ALL SELECT 1, 0, 'Total Records Analyzed: ' || r FROM t
-UNION ALL SELECT 1, 0, 'Anomalies Detected: ' || n FROM t
-UNION ALL SELECT 1, 0, 'Anomaly Rate: ' || printf('%.1f%%', n * 100e0 / r) FROM t
-UNION ALL SELECT 2, i, '  ' || upper(animal_type[1]) || animal_type[2:] || ': ' || n FROM types
-UNION ALL SELECT 3, 0, 'OUTBREAK ALERTS'
-UNION ALL SELECT 3, 0, repeat('-', 40)
-UNION ALL SELECT 4, i - 1, 'Alert ' || i || ':' FROM numbered
-UNION ALL SELECT 4, i - 1, '  Farm: ' || farm_id FROM numbered
-UNION ALL SELECT 4, i - 1, '  Severity: ' || severity FROM numbered
-UNION ALL SELECT 4, i - 1, '  Affected Animals: ' || affected_animals FROM numbered
-UNION ALL SELECT 4, i - 1, '  Start Date: ' || {day_text("start_date")} FROM numbered
-UNION ALL SELECT 5, 0, 'RECOMMENDATIONS'
-UNION ALL SELECT 5, 0, repeat('-', 40)
+SELECT 0 AS section, 0 AS item, 0 AS line_no, repeat('=', 60) AS line
+UNION ALL SELECT 0, 0, 2, repeat('=', 60)
+UNION ALL SELECT 0, 0, 1, 'HERD HEALTH MONITORING SUMMARY REPORT'
+UNION ALL SELECT 1, 0, 0, 'ANOMALY SUMMARY'
+UNION ALL SELECT 1, 0, 1, repeat('-', 40)
+UNION ALL SELECT 1, 0, 2, 'Total Records Analyzed: ' || r FROM t
+UNION ALL SELECT 1, 0, 3, 'Anomalies Detected: ' || n FROM t
+UNION ALL SELECT 1, 0, 4, 'Anomaly Rate: ' || printf('%.1f%%', n * 100e0 / r) FROM t
+UNION ALL SELECT 2, i, 0, '  ' || upper(animal_type[1]) || animal_type[2:] || ': ' || n FROM types
+UNION ALL SELECT 3, 0, 0, 'OUTBREAK ALERTS'
+UNION ALL SELECT 3, 0, 1, repeat('-', 40)
+UNION ALL SELECT 4, i - 1, 0, 'Alert ' || i || ':' FROM numbered
+UNION ALL SELECT 4, i - 1, 1, '  Farm: ' || farm_id FROM numbered
+UNION ALL SELECT 4, i - 1, 2, '  Severity: ' || severity FROM numbered
+UNION ALL SELECT 4, i - 1, 3, '  Affected Animals: ' || affected_animals FROM numbered
+UNION ALL SELECT 4, i - 1, 4, '  Start Date: ' || {day_text("start_date")} FROM numbered
+UNION ALL SELECT 5, 0, 0, 'RECOMMENDATIONS'
+UNION ALL SELECT 5, 0, 1, repeat('-', 40)
 UNION ALL {_ADVICE}""",
     )
 )
@@ -168,40 +168,12 @@ def summary_report(spark, sf_dir):
     readings = flagged(spark, sf_dir)
     found = cl.with_severity(cl.detect_clusters(readings))
     found = found.withColumns({"created_at": F.col("start_date"), "id": F.col("farm_id")})
-    return reports.summary_report(readings, found).drop("line_no")
+    return reports.summary_report(readings, found)
 
 
-@query(
-    v.with_views(
-        "livestock metrics_raw",
-        f"""{FLAGGED}, {CLUSTER_SQL},
-types AS (SELECT animal_type, count(*) AS r, row_number() OVER (ORDER BY animal_type) - 1 AS i
-          FROM enriched WHERE animal_type IS NOT NULL GROUP BY animal_type),
-numbered AS (SELECT *, row_number() OVER (ORDER BY start_date, farm_id) - 1 AS i,
-                    CASE WHEN affected_animals >= 10 OR avg_anomaly_score >= 7 THEN 'CRITICAL'
-                         WHEN affected_animals >= 5 OR avg_anomaly_score >= 5 THEN 'HIGH'
-                         WHEN affected_animals >= 3 OR avg_anomaly_score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS severity
-             FROM clusters)
-SELECT 1 AS section, i AS item, '<tr><td>' || upper(animal_type[1]) || animal_type[2:] || '</td><td>' || r
-  || '</td><td>' || printf('%.1f%%', r * 100e0 / (SELECT count(DISTINCT tag_id) FROM enriched)) || '</td></tr>' AS line
-FROM types
-UNION ALL SELECT 3, i, '<tr><td>' || farm_id || '</td><td>' || {day_text("start_date")} || '</td><td>'
-  || affected_animals || '</td><td>' || severity || '</td><td>' || replace(metrics_affected, ',', ', ') || '</td></tr>'
-FROM numbered""",
-    )
-)
-def html_report_tables(spark, sf_dir):
-    from ..operators import clusters as cl
-
-    readings = flagged(spark, sf_dir)
-    page = reports.html_report(readings, cl.with_severity(cl.detect_clusters(readings)))
-    return page.filter("section IN (1, 3)").drop("line_no")
-
-
-@query(
-    v.with_views(
-        "livestock metrics_raw",
-        f"""{FLAGGED}, {CLUSTER_SQL},
+HTML_PAGE = v.with_views(
+    "livestock metrics_raw",
+    f"""{FLAGGED}, {CLUSTER_SQL},
 t AS (SELECT count(DISTINCT tag_id) AS a, count(*) AS r, count(*) FILTER (is_anomaly) AS n,
              (SELECT count(*) FROM clusters) AS c FROM enriched),
 types AS (SELECT animal_type, count(*) AS r, row_number() OVER (ORDER BY animal_type) - 1 AS i
@@ -228,8 +200,10 @@ UNION ALL SELECT 3, i, 0, '<tr><td>' || farm_id || '</td><td>' || {day_text("sta
   || affected_animals || '</td><td>' || severity || '</td><td>' || replace(metrics_affected, ',', ', ') || '</td></tr>'
 FROM numbered
 UNION ALL SELECT 4, 0, 0, '</table></body></html>'""",
-    )
 )
+
+
+@query(HTML_PAGE)
 def html_report_page(spark, sf_dir):
     """All lines of the HTML report with their places."""
     from ..operators import clusters as cl
@@ -238,6 +212,11 @@ def html_report_page(spark, sf_dir):
     return reports.html_report(readings, cl.with_severity(cl.detect_clusters(readings)))
 
 
+@query(HTML_PAGE)
+def html_report_tables(spark, sf_dir):
+    return html_report_page(spark, sf_dir)
+
+
 # Listings
 @query(
     v.with_views(

@@ -206,7 +206,7 @@ def log_search_indexed(spark, sf_dir):
 @query(
     v.with_views(
         "logs",
-        f"""SELECT {RECORD.replace("event_id, ", "")} FROM logs WHERE operation NOT IN ('error', 'purchase')
+        f"""SELECT {RECORD.replace("event_id, ", "")} FROM logs WHERE operation <> 'error'
 AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp <= TIMESTAMP '2024-01-20' AND level IN ('WARNING', 'ERROR', 'CRITICAL')""",
     )
 )

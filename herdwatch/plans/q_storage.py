@@ -102,7 +102,7 @@ def snapshot_latest(spark, sf_dir):
     return readers.latest_snapshot(spark, folder, "livestock")
 
 
-@query(v.with_views("logs", f"SELECT {RECORD.replace('event_id, ', '')} FROM logs WHERE operation NOT IN ('error', 'purchase')"))
+@query(v.with_views("logs", f"SELECT {RECORD.replace('event_id, ', '')} FROM logs WHERE operation <> 'error'"))
 def log_files_readback(spark, sf_dir):
     folder = new_folder(spark, "logs")
     lines = v.log_lines(spark, sf_dir).select("line")
@@ -177,7 +177,7 @@ def stored_versions(spark, sf_dir):
 @query(
     v.with_views(
         "livestock",
-        "SELECT tag_id, CASE WHEN is_active THEN farm_id ELSE 'closed' END AS farm_id, age_months FROM livestock",
+        "SELECT tag_id, CASE WHEN is_active THEN farm_id ELSE -1 END AS farm_id, age_months FROM livestock",
     )
 )
 def upsert_stored_animals(spark, sf_dir):
@@ -185,7 +185,7 @@ def upsert_stored_animals(spark, sf_dir):
     herd = v.livestock(spark, sf_dir).select("tag_id", "farm_id", "age_months", "is_active")
     folder = new_folder(spark, "herd")
     storage.create_animals(herd.drop("is_active"), folder)
-    storage.save_animals(herd.filter("not is_active").select("tag_id", F.lit("closed").alias("farm_id")), folder)
+    storage.save_animals(herd.filter("not is_active").select("tag_id", F.lit(-1).cast("bigint").alias("farm_id")), folder)
     return storage.read_animals(spark, folder)
 
 

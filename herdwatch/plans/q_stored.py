@@ -44,7 +44,7 @@ def read_by_extension(spark, sf_dir):
     v.with_views(
         "logs",
         f"""SELECT {RECORD.replace("event_id, ", "")}, event_id % 2 = 1 AS rotated
-FROM logs WHERE operation NOT IN ('error', 'purchase')""",
+FROM logs WHERE operation <> 'error'""",
     )
 )
 def log_rotated_readback(spark, sf_dir):

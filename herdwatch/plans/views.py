@@ -109,7 +109,7 @@ def logs(spark, sf_dir) -> DataFrame:
 
 
 def log_lines(spark, sf_dir) -> DataFrame:
-    """Log text as a file would hold it: JSON lines, JSON after a prefix, cut-off records, plain text."""
+    """Log text as a file would hold it: JSON lines, JSON inside other output, plain text."""
     entry = F.to_json(
         F.struct(
             F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
@@ -122,7 +122,7 @@ def log_lines(spark, sf_dir) -> DataFrame:
         F.when(kind == "error", F.concat(F.lit("plain text "), "message"))
         .when(kind == "click", F.concat(F.lit("[worker] "), entry))
         .when(kind == "signup", F.concat(F.lit("  "), entry))
-        .when(kind == "purchase", F.substring(entry, 1, 60))
+        .when(kind == "purchase", F.concat(F.lit("stdout | "), entry, F.lit(" |")))
         .otherwise(entry)
         .alias("line"),
     )

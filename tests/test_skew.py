@@ -127,3 +127,23 @@ def test_chunks_of_uneven_values_end_below_the_limit(spark):
 
         by_chunk = [r["id"] for r in sorted(rows, key=lambda r: (list(r["_chunk"]), sortable(r["v"]), r["id"]))]
         assert by_chunk == [r["id"] for r in sorted(rows, key=lambda r: (sortable(r["v"]), r["id"]))], name
+
+
+def test_whole_numbers_beyond_exact_doubles_are_cut(spark):
+    big = 2**60
+    df = spark.createDataFrame([(1, s * (big + i)) for i in range(40) for s in (1, -1)], "k int, n bigint")
+    chunked = skew.add_chunks(df, ["k"], ["n"], 8)
+    assert chunked.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 8
+    numbers = [r["_chunk"] for r in chunked.orderBy("n").collect()]
+    assert numbers == sorted(numbers)
+
+
+def test_texts_that_differ_late_are_cut(spark):
+    """The first 600 bytes are the same; only a few numbers are looked at in one level."""
+    df = spark.createDataFrame([(1, "x" * 600 + f"{i:03d}") for i in range(60)], "k int, t string")
+    chunked = skew.add_chunks(df, ["k"], ["t"], 10)
+    assert chunked.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 10
+    texts = [r["_chunk"] for r in chunked.orderBy("t").collect()]
+    assert texts == sorted(texts)
+    same = spark.createDataFrame([(1, "same")] * 30, "k int, t string")
+    assert skew.add_chunks(same, ["k"], ["t"], 10) is None
