@@ -5,6 +5,12 @@ into buckets. A text is the average of its subwords' embeddings, a linear layer
 Embeddings and layer are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows; a
 temperature and the rejection threshold are fitted on other rows of the sample. For scoring, embeddings and
 layer are multiplied out to one table (bucket x language).
+
+A softmax is sure of itself on languages it has never seen, so rejection looks at something else: how usual the text's
+subwords are in the language it was given, as the mean log-share of their buckets there, measured in deviations of
+known texts with as many subwords. The threshold is calibrated from both sides: on rows of the learnt languages, of
+which hardly any may be rejected, and on texts of no learnt language, for which stand the same rows with their own
+language left out, and with their bytes shuffled.
 """
 
 from __future__ import annotations
@@ -20,9 +26,12 @@ from pyspark.sql import functions as F
 # Rows used to fit the classifier: a documented bound, spread over the languages. A quarter calibrates.
 SAMPLE = 3_000
 BUCKETS, DIM = 1 << 13, 16
-# Of rightly named calibration texts, this share may be rejected.
-REJECTED = 0.001
-CHUNK = 1 << 20
+# Of calibration texts of learnt languages, this share may be rejected; of those of no learnt one, this share should be.
+REJECTED, CAUGHT = 0.001, 0.9
+# Weight of the even distribution in a language's shares of buckets.
+EVEN = 0.02
+# Bytes, and texts, that are looked at in one go.
+CHUNK, SLICE = 1 << 18, 500
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -57,16 +66,33 @@ def subwords(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).astype(np.int64), np.concatenate(where)
 
 
+def shuffled(data: bytes) -> bytes:
+    """The same bytes in another order, blanks left where they are; always the same order for the same text."""
+    out = np.frombuffer(data, np.uint8).copy()
+    at = np.flatnonzero(out != 32)
+    out[at] = out[np.random.default_rng(len(data)).permutation(at)]
+    return out.tobytes()
+
+
 @dataclass
 class Model:
     languages: list[str]
     table: np.ndarray  # bucket x language
     bias: np.ndarray
+    usual: np.ndarray  # log-share of a bucket in a language
+    mean: np.ndarray  # of known texts' mean log-shares, by language
+    within: np.ndarray  # variance of a single subword's log-share
+    between: np.ndarray  # variance of texts' means beyond that
     temperature: float = 1.0
-    threshold: float = 0.0
+    threshold: float = -np.inf
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        out = np.tile(self.bias, (len(texts), 1))
+    def deviations(self, share: np.ndarray, n: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """How far mean log-shares of texts of n subwords are from those of known texts of the language."""
+        return (share - self.mean[language]) / np.sqrt(self.between[language] + self.within[language] / np.maximum(n, 1))
+
+    def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, deviations for the best language); a text without subwords deviates by nothing."""
+        out, far = np.tile(self.bias, (len(texts), 1)), np.zeros(len(texts))
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -76,18 +102,23 @@ class Model:
             # Texts start and end with a blank, so no subword reaches into the next.
             bucket, where = subwords(b"".join(texts[start:stop]))
             doc = np.repeat(np.arange(stop - start), [len(t) for t in texts[start:stop]])[where]
-            n = np.maximum(np.bincount(doc, minlength=stop - start), 1)
+            n = np.bincount(doc, minlength=stop - start)
             for j in range(len(self.languages)):
-                out[start:stop, j] += np.bincount(doc, self.table[bucket, j], minlength=stop - start) / n
+                out[start:stop, j] += np.bincount(doc, self.table[bucket, j], minlength=stop - start) / np.maximum(n, 1)
+            best = out[start:stop].argmax(axis=1)
+            share = np.bincount(doc, self.usual[bucket, best[doc]], minlength=stop - start) / np.maximum(n, 1)
+            far[start:stop] = np.where(n > 0, self.deviations(share, n, best), 0.0)
             start = stop
-        return out
+        return out, far
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(languages, scores, deviations)."""
         data = [letters(t) for t in texts]
-        p = softmax(self.logits(data) / self.temperature)
+        z, far = self.logits(data)
+        p = softmax(z / self.temperature)
         best = p.argmax(axis=1)
         names = [self.languages[k] if d else UNKNOWN for k, d in zip(best, data, strict=True)]
-        return names, np.where([bool(d) for d in data], p.max(axis=1), 0.0)
+        return names, np.where([bool(d) for d in data], p.max(axis=1), 0.0), far
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -95,16 +126,27 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 40, batch: int = 32) -> Model:
-    """Fits on three quarters of the bags (buckets of one text and their counts), calibrates on the rest."""
-    languages = sorted(set(labels))
-    y = np.array([languages.index(label) for label in labels])
-    rng = np.random.default_rng(11)
-    order = rng.permutation(len(bags))
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def matrix_of(bags: list[Bag]) -> tuple[np.ndarray, np.ndarray]:
+    """(shares of buckets, number of subwords) by text."""
     x = np.zeros((len(bags), BUCKETS), np.float32)
     for i, (bucket, count) in enumerate(bags):
         x[i, bucket] = count / max(count.sum(), 1)
-    fit, rest = order[len(order) // 4 :], order[: len(order) // 4]
+    return x, np.array([count.sum() for _, count in bags])
+
+
+def train(bags: list[Bag], noise: list[Bag | None], labels: list[str], epochs: int = 40, batch: int = 32) -> Model:
+    """Fits on bags (buckets of one text and their counts), calibrates on those that ``noise`` has with shuffled bytes."""
+    languages = sorted(set(labels))
+    y = np.array([languages.index(label) for label in labels])
+    rng = np.random.default_rng(11)
+    x, n = matrix_of(bags)
+    apart = np.array([b is not None for b in noise])
+    if apart.all():
+        apart[:] = False
+    fit, rest = rng.permutation(np.flatnonzero(~apart)), np.flatnonzero(apart)
     embed = rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     steps, done = epochs * max(1, -(-len(fit) // batch)), 0
@@ -123,31 +165,69 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
             # Averages spread a step over many buckets, so their rate is larger.
             embed -= np.clip(200 * rate * xb.T @ back, -1, 1)
             done += 1
-    model = Model(languages, (embed @ layer).astype(np.float64), bias.astype(np.float64))
+    belongs = np.zeros((len(bags), len(languages)), np.float32)
+    belongs[fit, y[fit]] = 1
+    share = x.T @ (belongs / np.maximum(belongs.sum(axis=0), 1))
+    share[:, belongs.sum(axis=0) == 0] = 1 / BUCKETS
+    usual = np.log((share + EVEN / BUCKETS) / (1 + EVEN)).astype(np.float64)
+    mean = (share * usual).sum(axis=0)
+    within = (share * (usual - mean) ** 2).sum(axis=0)
+    model = Model(languages, (embed @ layer).astype(np.float64), bias.astype(np.float64), usual, mean, within, np.full(len(languages), 0.05))
     if len(rest):
-        z = x[rest].astype(np.float64) @ model.table + model.bias
-        grid = np.geomspace(0.3, 5, 40)
-        loss = [-np.log(softmax(z / t)[np.arange(len(rest)), y[rest]] + 1e-12).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
-        p = softmax(z / model.temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == y[rest]]
-        if len(right):
-            # Never above 0.4: a text that may well be right stays.
-            model.threshold = float(min(0.4, np.quantile(right, REJECTED)))
+        calibrate(model, x[rest].astype(np.float64), n[rest], y[rest], *matrix_of([noise[i] for i in rest]))
     return model
 
 
+def calibrate(model: Model, x: np.ndarray, n: np.ndarray, y: np.ndarray, odd: np.ndarray, n_odd: np.ndarray) -> None:
+    """Sets temperature, deviations and threshold on texts that were not fitted; ``odd`` has them with shuffled bytes."""
+    z = x @ model.table + model.bias
+    grid = np.geomspace(0.3, 5, 40)
+    loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    model.temperature = float(grid[int(np.argmin(loss))])
+    share = x @ model.usual
+    for j in range(len(model.languages)):
+        own = share[(y == j) & (n > 0), j]
+        if len(own) > 1:
+            model.mean[j] = own.mean()
+            model.between[j] = max(own.var() - (model.within[j] / n[(y == j) & (n > 0)]).mean(), 0.01)
+
+    def best_of(z: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        best = z.argmax(axis=1)
+        return model.deviations((x @ model.usual)[np.arange(len(x)), best], n, best)[n > 0]
+
+    known = best_of(z, x, n)
+    strange = [best_of(odd @ model.table + model.bias, odd, n_odd)]
+    if len(model.languages) > 1:
+        without = z.copy()
+        without[np.arange(len(y)), y] = -np.inf
+        strange.append(best_of(without, x, n))
+    strange = np.concatenate(strange)
+    if len(known):
+        least = np.quantile(known, REJECTED)
+        # Half-way between known and strange texts, where they lie apart.
+        usual_end = np.quantile(strange, CAUGHT) if len(strange) else least
+        model.threshold = float(min(least, (least + usual_end) / 2))
+
+
 def counted(batches):
-    """Batches (lang, text) to (lang, first, bucket, count): at most one count per bucket, however long the text."""
+    """Batches (lang, text, apart) to (lang, first, bucket, count) and, for texts set apart, the same with shuffled bytes.
+
+    At most one count per bucket, however long the text.
+    """
     for batch in batches:
-        firsts, buckets, counts = [], [], []
-        for text in batch.column(1).to_pylist():
-            bag = subwords(letters(text))[0]
-            found, n = np.unique(bag, return_counts=True)
-            firsts.append(int(bag[0]) if len(bag) else -1), buckets.append(found), counts.append(n)
+        lists = [[] for _ in range(5)]
+        for text, apart in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            data = letters(text)
+            bag = subwords(data)[0]
+            for at, some in ((1, bag), (3, subwords(shuffled(data))[0] if apart else None)):
+                found, n = (None, None) if some is None else np.unique(some, return_counts=True)
+                lists[at].append(found if some is None else found.astype(np.int16))
+                lists[at + 1].append(n if some is None else n.astype(np.int32))
+            lists[0].append(int(bag[0]) if len(bag) else -1)
+        kinds = [pa.int32(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.int16()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(firsts, pa.int32()), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
-            names=["lang", "first", "bucket", "count"],
+            [batch.column(0), *[pa.array(x, k) for x, k in zip(lists, kinds, strict=True)]],
+            names=["lang", "first", "bucket", "count", "odd", "odd_count"],
         )
 
 
@@ -163,15 +243,27 @@ def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: i
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
     # One row per id, so that an id that repeats often is not the whole sample.
     drawn = rows.where(u < F.element_at(rate, F.col("lang"))).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("m"))
-    got = drawn.select("m.lang", "m.text").mapInArrow(counted, "lang string, first int, bucket array<int>, count array<long>").toArrow()
-    bag = [(np.array(b, np.int64), np.array(n, np.int64)) for b, n in zip(got.column("bucket").to_pylist(), got.column("count").to_pylist(), strict=True)]
+    apart = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(4)) == 0
+    got = drawn.select("m.lang", "m.text", apart.alias("apart")).mapInArrow(
+        counted, "lang string, first int, bucket array<smallint>, count array<int>, odd array<smallint>, odd_count array<int>"
+    ).toArrow()
+
+    def bags(bucket: str, count: str) -> list[Bag | None]:
+        lists = []
+        for name in (bucket, count):
+            column = got.column(name).combine_chunks()
+            lists.append(np.split(column.values.to_numpy(), column.offsets.to_numpy()[1:-1]) if len(column) else [])
+        known = got.column(bucket).is_valid().to_pylist()
+        return [(b, n) if ok else None for b, n, ok in zip(*lists, known, strict=True)]
+
+    bag, noise = bags("bucket", "count"), bags("odd", "odd_count")
     labels, first = got.column("lang").to_pylist(), got.column("first").to_pylist()
     used = [i for i in range(len(bag)) if len(bag[i][0])]
     if not used:
         return None
     # A fixed order, whatever order the rows came in.
-    used.sort(key=lambda i: (labels[i], int(bag[i][1].sum()), int(bag[i][0] @ bag[i][1]), first[i]))
-    return train([bag[i] for i in used], [labels[i] for i in used])
+    used.sort(key=lambda i: (labels[i], int(bag[i][1].sum()), int(bag[i][0].astype(np.int64) @ bag[i][1]), first[i]))
+    return train([bag[i] for i in used], [noise[i] for i in used], [labels[i] for i in used])
 
 
 def identify(
@@ -181,7 +273,7 @@ def identify(
 
     Learns from rows with a language whose id's crc32 is not 1 modulo 3; scores look at texts only. A text that is
     null or has no letter is "und" with score 0 and rejected; others get a learnt language, and are rejected if
-    the score is below the calibrated threshold. Without any labelled row every text is "und". Rows without an
+    their subwords are less usual in it than the calibrated threshold. Without any labelled row every text is "und". Rows without an
     id count as held out; repeated rows each get a row; an empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
@@ -189,7 +281,7 @@ def identify(
 
     def run(batches):
         for batch in batches:
-            names, score, low = judge(shared.value, batch.column(2).to_pylist())
+            names, score, low = judge(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())],
                 names=[id_col, "held_out", "lang_pred", "score", "rejected"],
@@ -204,21 +296,21 @@ def identify(
 def accepted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
 ) -> DataFrame:
-    """The rows that ``identify`` does not reject, with all their columns."""
+    """The rows that ``identify`` does not reject, with all their columns; only the texts pass through Python."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, id_col, text_col, lang_col, sample))
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            low = judge(shared.value, batch.column(at).to_pylist())[2]
-            yield batch.filter(pa.array(~low))
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        return pa.array(~judge(shared.value, text)[2])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(F.col(f"`{text_col}`").cast("string")))
 
 
-def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def judge(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, scores, rejected) of texts; without a model nothing is known."""
     if model is None:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    names, score = model.predict(texts)
-    return names, score, np.array([n == UNKNOWN for n in names], bool) | (score < model.threshold)
+    parts = [model.predict(texts.slice(i, SLICE).to_pylist()) for i in range(0, max(len(texts), 1), SLICE)]
+    names = [name for part in parts for name in part[0]]
+    score, far = (np.concatenate([part[j] for part in parts]) for j in (1, 2))
+    return names, score, np.array([n == UNKNOWN for n in names], bool) | (far < model.threshold)
