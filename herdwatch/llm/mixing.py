@@ -146,7 +146,13 @@ def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0,
 ) -> DataFrame:
-    """The mix itself: all columns of ``docs``, every row as often as ``mix`` takes it."""
-    out = with_copies(docs, id_col, text_col, source_col, quality, weights, share, most, seed, with_rows=True)
+    """The mix itself: all columns of ``docs``, whatever their names, every row as often as ``mix`` takes it."""
+    # Names that no working column has.
+    inner = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], *([] if quality is None else [quality.alias("_in_quality")]))
+    out = with_copies(
+        rows, inner[id_col], inner[text_col], inner[source_col], None if quality is None else F.col("_in_quality"),
+        weights, share, most, seed, with_rows=True,
+    )
     out = out.withColumn("_mix_each", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items()])

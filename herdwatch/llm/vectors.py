@@ -31,6 +31,8 @@ BLOCK = 2048
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; the largest component is made one first, so that no square over- or underflows."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
