@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,14 +76,45 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# Folders that the running piece of work keeps for itself; None outside ``dropped_afterwards``.
+_own: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
 def write_and_read(df: DataFrame, label: str) -> DataFrame:
     """Store a result as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
+    if _own.get() is not None:
+        _own.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropped_afterwards(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are dropped at the end, so what is returned must have been stored by ``result_of``."""
+    token = _own.set([])
+    try:
+        yield
+    finally:
+        folders = _own.get()
+        _own.reset(token)
+        from .sources.commits import files_of
+
+        files = files_of(spark, shared_folder(spark))
+        for folder in folders:
+            files.delete(folder.rsplit("/", 1)[1])
+
+
+def result_of(df: DataFrame, label: str = "result") -> DataFrame:
+    """Stores a table that outlives ``dropped_afterwards``."""
+    token = _own.set(None)
+    try:
+        return write_and_read(df, label)
+    finally:
+        _own.reset(token)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a result that several later steps use, and keep it in the shared folder.
 
