@@ -30,21 +30,30 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize, new_folder
+from .common import give_back
 
 BITS, LOW = 20, np.uint64(1 << 31)
 BLOCK, LANES, MARK = 1 << 18, 1024, 128
 END = 2
-# Pieces of text, and words, whose ids a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+# Words whose ids a worker remembers (some 40 bytes each), and other pieces; then it starts anew.
+REMEMBERED, REMEMBERED_ODD = 1_500_000, 50_000
 
 # Blanks next to other blanks, and blanks between two other characters.
 TOUCHING, BETWEEN = re.compile(r" (?:(?=\s)|(?<=\s ))"), re.compile(r"(?<=\S) (?=\S)")
+# The same in the library's own dialect: a blank next to a blank or at an end.
+TOUCHES = r"^ | $| [\s\x0B\x1C-\x1F\x{85}\p{Z}]|[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+# A piece that is one usual word and marks behind it: two words of byte-level BPE.
+WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+# Bytes of text whose pieces are looked up together.
+TOGETHER = 6 << 20
 # Usual characters, and how byte-level BPE parts them into words (fixed: the public pattern for these characters).
 USUAL = re.compile(r"[\n -~À-ÖØ-öø-ɏ]*")
 WORD_OF_PIECE = re.compile(
@@ -183,10 +192,109 @@ class Encoder:
             usual = (chr(c) for c in range(0x250) if USUAL.fullmatch(chr(c)))
             self.words = Words(self.library.model.tokenize, {ord(c): "".join(w for w, _ in split(c)) for c in usual})
             self.first, self.rest = Pieces(self.words, self.whole, ""), Pieces(self.words, self.whole, " ")
+            self.between = self.library.encode("\n", add_special_tokens=False).ids
+            # Remembered words (after a blank) and their ids, as arrays: no objects of their own.
+            self.names, self.codes = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def codes_of(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces, each after a blank; those without blanks inside are asked for in one text.
+
+        There each has a line of its own, as no word reaches over a line's end.
+        """
+        odd = pc.or_(pc.match_substring_regex(pieces, BLANK), pc.equal(pieces, ""))
+        plain = pieces.filter(pc.invert(odd))
+        if len(self.between) == 1 and len(plain):
+            # The fast form of the call works out no positions.
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), "\n ")[0].as_py()
+            ids = np.array(self.library.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids))
+            if len(ends) == len(plain):
+                kept = ids[ids != self.between[0]]
+                offsets = np.concatenate([[0], 4 * (ends - np.arange(len(ends)))]).astype(np.int64)
+                found = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(offsets), pa.py_buffer(kept.tobytes())])
+                rest = pa.array([self.rest[p] for p in pieces.filter(odd).to_pylist()], pa.large_binary())
+                place = np.empty(len(pieces), np.int64)
+                mask = odd.to_numpy(zero_copy_only=False)
+                place[~mask], place[mask] = np.arange(len(plain)), len(plain) + np.arange(len(rest))
+                return pa.concat_arrays([found, rest]).take(pa.array(place))
+        return pa.array([self.rest[p] for p in pieces.to_pylist()], pa.large_binary())
+
+    def looked_up(self, kinds: pa.Array) -> pa.Array:
+        """Ids of different pieces, each after a blank: of their words and marks, or of the piece as a whole."""
+        split = pc.extract_regex(kinds, pattern=WORD_AND_MARKS)
+        usual = split.is_valid()
+        split, others = split.filter(usual), kinds.filter(pc.invert(usual))
+        words, marks = split.field("word").dictionary_encode(), split.field("marks").dictionary_encode()
+        codes = [self.remembered(words.dictionary), pa.array([self.words[m] for m in marks.dictionary.to_pylist()], pa.large_binary())]
+        # Word and marks next to each other are one entry.
+        pairs = np.stack([words.indices.to_numpy().astype(np.int64), len(codes[0]) + marks.indices.to_numpy()], axis=1).ravel()
+        laid = pa.concat_arrays(codes).take(pa.array(pairs, pa.int64()))
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)[::2].copy() if len(laid) else np.zeros(1, np.int64)
+        whole = pa.Array.from_buffers(pa.large_binary(), len(split), [None, pa.py_buffer(ends), laid.buffers()[2]])
+        mask = usual.to_numpy(zero_copy_only=False)
+        place = np.empty(len(kinds), np.int64)
+        place[mask], place[~mask] = np.arange(len(split)), len(split) + np.arange(len(others))
+        return pa.concat_arrays([whole, self.codes_of(others)]).take(pa.array(place))
+
+    def remembered(self, words: pa.Array) -> pa.Array:
+        """Ids of different usual words after a blank, remembered or asked for."""
+        at = pc.index_in(words, value_set=self.names)
+        new = words.filter(pc.is_null(at))
+        if not len(new):
+            return self.codes.take(at)
+        ask, symbols, ids, ends = self.words.tokenize, self.words.symbols, [], [0]
+        lead = " ".translate(symbols)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new), " ")[0].as_py()
+        for word in text.split(" "):
+            ids += [t.id for t in ask(lead + (word if word.isascii() else word.translate(symbols)))]
+            ends.append(len(ids))
+        offsets = 4 * np.array(ends, np.int64)
+        asked = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(np.array(ids, "<u4").tobytes())])
+        place = at.to_numpy(zero_copy_only=False)
+        missing = np.isnan(place)
+        place = np.where(missing, 0, place).astype(np.int64)
+        place[missing] = len(self.names) + np.arange(len(new))
+        names, codes = pa.concat_arrays([self.names, new]), pa.concat_arrays([self.codes, asked])
+        found = codes.take(pa.array(place))
+        # Beyond the bound, what this piece of the work needed is what is kept.
+        self.names, self.codes = (names, codes) if len(names) <= REMEMBERED else (words, found)
+        return found
+
+    def encode_all(self, texts: pa.Array, tail: bytes) -> tuple[bytes, np.ndarray]:
+        """(ids of all texts with ``tail`` after each, where each text's bytes end)."""
+        if not len(texts):
+            return b"", np.zeros(0, np.int64)
+        if not self.by_piece:
+            found = [self.encode(t) + tail for t in texts.to_pylist()]
+            return b"".join(found), np.cumsum([len(x) for x in found])
+        odd = pc.match_substring_regex(texts, TOUCHES)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        plain = ~odd.to_numpy(zero_copy_only=False)
+        for held in (self.rest, self.words, self.first):
+            if len(held) > REMEMBERED_ODD:
+                held.clear()
+        # Every kind of piece is looked up once; Arrow lays the ids out in the order of the pieces.
+        lists = pc.split_pattern(pc.if_else(pa.array(plain), texts, ""), " ")
+        starts, ends = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        pieces = lists.flatten()
+        kinds = pieces.dictionary_encode()
+        known = self.looked_up(kinds.dictionary)
+        # A text's first piece has no blank before it; an odd text is one entry.
+        first = [
+            self.first[p] if ok else self.encode(t.as_py())
+            for p, ok, t in zip(pieces.take(pa.array(starts)).to_pylist(), plain.tolist(), texts, strict=True)
+        ]
+        which = kinds.indices.to_numpy().astype(np.int64)
+        which[starts] = len(known) + np.arange(len(texts))
+        which = np.insert(which, ends, len(known) + len(first))
+        laid = pa.concat_arrays([known, pa.array([*first, tail], pa.large_binary())]).take(pa.array(which))
+        offsets = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)
+        return laid.buffers()[2].to_pybytes(), offsets[ends + np.arange(1, len(texts) + 1)]
+
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(a in text for a in self.added):
             return self.whole(text)
@@ -195,7 +303,7 @@ class Encoder:
         else:
             parts = text.split(" ")
         for held in (self.rest, self.words, self.first):
-            if len(held) > REMEMBERED:
+            if len(held) > REMEMBERED_ODD:
                 held.clear()
         return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
@@ -216,18 +324,25 @@ def tokenized(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str,
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        codec, encode = pa.Codec(CODEC, 1), encoder(tokenizer_file).encode
+        codec, texts_to_ids = pa.Codec(CODEC, 1), encoder(tokenizer_file).encode_all
         for batch in batches:
-            column, size = batch.column(1), 500
-            for start in range(0, len(column), size):
-                found = [encode(text) + tail for text in column.slice(start, size).to_pylist()]
+            column = batch.column(1)
+            ends, start = np.cumsum(pc.binary_length(column).to_numpy()), 0
+            while start < len(column):
+                base = ends[start - 1] if start else 0
+                size = max(1, int(np.searchsorted(ends, base + TOGETHER, "right")) - start)
+                data, stops = texts_to_ids(column.slice(start, size), tail)
+                begins = np.concatenate([[0], stops[:-1]])
+                view = memoryview(data)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, size), pa.array([len(x) // 4 for x in found], pa.int64()),
-                        pa.array([codec.compress(x, asbytes=True) for x in found], pa.binary()),
+                        batch.column(0).slice(start, size), pa.array((stops - begins) // 4, pa.int64()),
+                        pa.array([codec.compress(view[a:b], asbytes=True) for a, b in zip(begins, stops, strict=True)], pa.binary()),
                     ],
                     names=["id", "n", "ids"],
                 )
+                start += size
+        give_back()
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n long, ids binary")
 
@@ -302,6 +417,7 @@ def write_tokens(
                     first, block, held, names, size = first + size, block + 1, [], [], 0
         if held:
             yield done()
+        give_back()
 
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
     ordered = tokens.repartitionByRange("id").sortWithinPartitions("id", "n", "ids")
