@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import BLANKS, components, in_blocks, only_ids, with_shingles
+from ..session import dropped_afterwards, materialize, result_of
+from .common import BLANKS, components, give_back, in_blocks, only_ids, with_shingles
 
 COORDS, BANDS, BAND = 1024, 32, 4
 # Equal bytes of two sketches for a pair that is checked, and for one that is likely a link.
@@ -37,7 +37,8 @@ BEST = 8
 # Members of one bucket that are compared in one piece.
 BLOCK = 1024
 
-CHUNK = 400_000
+# Shingles, and documents, that are sketched at a time.
+CHUNK, ROWS = 200_000, 1_024
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,22 +52,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 def sketches(values: np.ndarray, lengths: np.ndarray, coords: int = COORDS) -> np.ndarray:
     """Sketches (documents x coords) of sets given as one array of hashes and the set sizes."""
     out = np.full(len(lengths) * coords, MAX)
-    rows = np.arange(len(lengths))[lengths > 0]
+    left = np.where(lengths > 0, coords, 0)
     where = np.repeat(np.arange(len(lengths)), lengths)
-    shift = np.uint64(64 - int(np.log2(coords)))
-    low = np.uint64((1 << 48) - 1)
-    for i in range(2 * coords):
-        h = mix(values + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        bins = (h >> shift).astype(np.int64) if i < coords else np.full(len(h), i - coords)
+    shift, low, turn = np.uint64(64 - int(np.log2(coords))), np.uint64((1 << 48) - 1), np.uint64(0x9E3779B97F4A7C15)
+    some, at = values, where
+    for i in range(coords):
+        h = mix(some + np.uint64(i + 1) * turn)
+        cell = at * coords + (h >> shift).astype(np.int64)
         # Later rounds have larger values: a bin that is full keeps what it has.
-        np.minimum.at(out, where * coords + bins, (h & low) | np.uint64(i << 48))
-        open_ = (out.reshape(-1, coords)[rows] == MAX).any(axis=1)
-        if not open_.any():
-            break
-        if not open_.all():
-            rows = rows[open_]
-            more = np.isin(where, rows)
-            values, where = values[more], where[more]
+        fresh = out[cell] == MAX
+        cell = cell[fresh]
+        np.minimum.at(out, cell, (h[fresh] & low) | np.uint64(i << 48))
+        left -= np.bincount(np.unique(cell) // coords, minlength=len(left))
+        if not left.any():
+            return out.reshape(-1, coords)
+        more = left[at] > 0
+        if not more.all():
+            some, at = some[more], at[more]
+    # The last rounds place every shingle into one given bin: only bins that are still empty need them.
+    starts = np.cumsum(lengths) - lengths
+    empty = np.flatnonzero(out == MAX)
+    empty = empty[lengths[empty // coords] > 0]
+    n = lengths[empty // coords]
+    for part in np.array_split(np.arange(len(empty)), 1 + int(n.sum()) // CHUNK):
+        if len(part):
+            cell, size = empty[part], n[part]
+            ends = np.cumsum(size)
+            member = np.arange(ends[-1]) + np.repeat(starts[cell // coords] - (ends - size), size)
+            place = np.repeat((cell % coords).astype(np.uint64), size) + np.uint64(coords)
+            h = mix(values[member] + (place + np.uint64(1)) * turn)
+            out[cell] = np.minimum.reduceat((h & low) | (place << np.uint64(48)), ends - size)
     return out.reshape(-1, coords)
 
 
@@ -80,7 +95,7 @@ def signatures(batches):
         start = 0
         while start < len(ids):
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+            stop = min(start + ROWS, max(start + 1, int(np.searchsorted(ends, base + CHUNK, "right"))))
             part = lengths[start:stop]
             values = sets.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             sums = []
@@ -110,6 +125,7 @@ def signatures(batches):
                 names=["id", "n", "s1", "s2", "bands", "sketch"],
             )
             start = stop
+    give_back()
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -212,8 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words: the whole sequence is the one shingle). component_id is the least id reachable by links, kept
     says that a document is that one. A text that is null or without words has an empty set, links with
     nothing and is kept. Rows without an id get component_id null, link with nothing and are kept. Rows that
-    share an id count as one document; each gets its own row. An empty table gives no rows.
+    share an id count as one document; each gets its own row. An empty table gives no rows. The result is stored, the
+    tables on the way to it are dropped.
     """
+    with dropped_afterwards(docs.sparkSession):
+        return result_of(_near_duplicates(docs, id_col, text_col))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = materialize(
         shingle_sets(docs, id_col, text_col).mapInArrow(
             signatures, "id long, n long, s1 long, s2 long, bands array<bigint>, sketch array<bigint>"

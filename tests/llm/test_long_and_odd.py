@@ -11,18 +11,23 @@ from herdwatch.llm import chat, mixing, vectors  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
-def rewriting(turns):
-    """Keeps only the last three turns: rewrites history from the fourth on."""
-    return chat.tagged(turns[-3:])
+def templates():
+    """By name; made inside a function, so that they travel to the workers."""
 
+    def rewriting(turns):
+        # Keeps only the last three turns: rewrites history from the fourth on.
+        return chat.tagged(turns[-3:])
 
-def closing(turns):
-    """The output ends with a mark that the next turn moves."""
-    return chat.tagged(turns) + ("END" if len(turns) > 7 else "")
+    def closing(turns):
+        # The output ends with a mark that the next turn moves.
+        return chat.tagged(turns) + ("END" if len(turns) > 7 else "")
 
+    return {"tagged": chat.tagged, "rewriting": rewriting, "closing": closing}
 
-@pytest.mark.parametrize("template", [chat.tagged, rewriting, closing])
-def test_long_conversations_are_rendered_in_ranges(spark, monkeypatch, template):
+
+@pytest.mark.parametrize("name", ["tagged", "rewriting", "closing"])
+def test_long_conversations_are_rendered_in_ranges(spark, monkeypatch, name):
+    template = templates()[name]
     rng = random.Random(3)
     rows = []
     for conv, n in ((1, 3), (2, 4), (3, 5), (4, 23), (5, 40), (None, 17)):
@@ -34,14 +39,14 @@ def test_long_conversations_are_rendered_in_ranges(spark, monkeypatch, template)
     assert cut.keys() == plain.keys()
     for conv, r in plain.items():
         assert (cut[conv]["formatted"], cut[conv]["spans"], cut[conv]["loss"], cut[conv]["rewritten"]) == (r["formatted"], r["spans"], r["loss"], r["rewritten"]), conv
-    if template is chat.tagged:
+    if name == "tagged":
         digest = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_conversations(df)).collect()}
         assert digest == {1: 3, 2: 4, 3: 5, 4: 23, 5: 40, None: 17}
 
 
 def test_ranges_say_what_the_whole_says():
     turns = [("user", f"t{i}") for i in range(9)]
-    for template in (chat.tagged, rewriting, closing):
+    for template in templates().values():
         output, spans, rewritten = chat.compare(turns, template, 0, 9)
         parts = [chat.compare(turns[:b], template, a, b) for a, b in ((0, 4), (4, 8), (8, 9))]
         assert parts[-1][0] == output and [s for p in parts for s in p[1]] == spans

@@ -156,5 +156,12 @@ def test_many_texts_at_once_give_the_librarys_ids(spark, monkeypatch, together):
         begins = [0, *ends[:-1]]
         for text, a, b in zip(chunk, begins, ends, strict=bool(chunk)):
             assert np.frombuffer(data[a:b], "<u4").tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    # Words that are remembered, and the memory running over.
+    monkeypatch.setattr(tokenbin, "REMEMBERED", 20)
+    fresh = tokenbin.Encoder(path)
+    for at in range(0, len(texts), 30):
+        chunk = texts[at : at + 30]
+        assert fresh.encode_all(pa.array(chunk), tail)[0] == b"".join(encoder.whole(t) + tail for t in chunk)
+    assert fresh.encode_all(pa.array(["ok it's dogs' (well) Élan, naïve's x", "  "]), tail)[0] == b"".join(encoder.whole(t) + tail for t in ["ok it's dogs' (well) Élan, naïve's x", "  "])
     sliced = pa.array(["zzz", *texts], pa.string()).slice(1)
     assert encoder.encode_all(sliced, tail)[0] == encoder.encode_all(pa.array(texts), tail)[0]
