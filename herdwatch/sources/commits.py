@@ -230,7 +230,10 @@ class StoredTable:
             if batch and base.batches.get(batch[0], -1) >= batch[1]:
                 return base
             if parts is None:
-                parts = self.write(make(self.read(base, concerned)), part)
+                # Files have the table's types, whatever types the merge has widened.
+                fields = (schema or StructType.fromJson(base.schema)).fields
+                made_rows = make(self.read(base, concerned))
+                parts = self.write(made_rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields]), part)
                 if not set(parts) <= concerned:
                     raise ValueError(f"rows left their parts: {sorted(set(parts) - concerned)[:5]}")
             kept = {k: f for k, f in base.parts.items() if k not in concerned}

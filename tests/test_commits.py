@@ -204,3 +204,11 @@ def test_manifests_on_other_file_systems(spark, tmp_path):
     table.create(batch(spark, (1, at(1), 1.0)), storage.day_of("date"))
     table.change(["2024-01-02"], lambda r: batch(spark, (2, at(2), 2.0)), storage.day_of("date"))
     assert table.read().count() == 2 and len(table.forget(1)) == 0 and table.numbers() == [1]
+
+
+def test_a_batch_of_wider_numbers_keeps_the_tables_types(spark, tmp_path):
+    path = str(tmp_path / "herd")
+    storage.create_animals(spark.createDataFrame([("A", 1), ("B", 2)], "tag_id string, farm int"), path, buckets=2)
+    storage.save_animals(spark.createDataFrame([("A", 7), ("C", 8)], "tag_id string, farm bigint"), path)
+    got = storage.read_animals(spark, path)
+    assert dict(got.dtypes)["farm"] == "int" and rows(got) == [("A", 7), ("B", 2), ("C", 8)]
