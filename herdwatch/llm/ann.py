@@ -7,8 +7,8 @@ Lists are made by splitting a bounded sample until each part stands for about ``
 then stored in its nearest centroid's list, and a class near a border in further lists as well (a list is left
 out if a list that has the class already is nearer to it than the class is). A query walks a graph that links each
 centroid to its nearest ones, and reads the lists whose centroid is not much farther than the first; the ratio
-is set so that sampled queries find the target share of their neighbours among the sample. Lists and their queries
-meet in blocks, products are computed in double precision on the stored vectors. A query reads its nearest
+is set so that some of the table's queries, which may lie elsewhere than its other rows, find the target share of their
+neighbours among all rows; those far from every centroid have a ratio of their own. Lists and their queries meet in blocks, products are computed in double precision on the stored vectors. A query reads its nearest
 lists first; from the others it takes only what is at least as good as the last of the nearest it has by then.
 
 The sample grows with the table up to ``MOST_LISTS`` lists; beyond that lists get longer and are read in more blocks.
@@ -16,7 +16,7 @@ The sample grows with the table up to ``MOST_LISTS`` lists; beyond that lists ge
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ PER_LIST, MOST_LISTS, PER_CENTROID, SAMPLE = 1_024, 8_192, 8, 20_000
 # Further lists of a class: how much farther than its nearest centroid, and how many.
 BORDER, COPIES = 0.1, 8
 LINKS, BEAM, RECALL, TRIALS = 16, 64, 0.95, 400
+# Queries are told apart by how far their first centroid is, in so many kinds with a ratio each.
+KINDS = 5
 # Lists that a query reads before the others.
 FIRST = 2
 POSTINGS, QUERIES = 4_096, 1_024
@@ -73,7 +75,8 @@ class Index:
     starts: np.ndarray
     scale: float
     longest: float
-    ratio: float = 1.0
+    ratios: np.ndarray = field(default_factory=lambda: np.ones(1))
+    ends: np.ndarray = field(default_factory=lambda: np.empty(0))  # between the kinds of queries
     beam: int = BEAM
     held: np.ndarray | None = None  # classes by nearest centroid
 
@@ -137,7 +140,7 @@ class Index:
         out = []
         for i, (row, far) in enumerate(zip(names, d, strict=True)):
             row, far = row[row >= 0], far[row >= 0]
-            n = int((far <= self.ratio * far[0]).sum())
+            n = int((far <= self.ratios[np.searchsorted(self.ends, far[0])] * far[0]).sum())
             filled = np.cumsum(self.held[row])
             if filled[n - 1] < least and filled[-1] < least:
                 row = np.argsort(distances(points[i : i + 1], self.centres)[0], kind="stable")
@@ -147,7 +150,7 @@ class Index:
 
 
 def graph(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest centroids of each, starts): starts hold one centroid of every part that no link leaves."""
+    """(nearest centroids of each, starts): from the starts, links lead to every centroid."""
     k = min(LINKS, len(centres) - 1)
     if not k:
         return np.zeros((1, 1), int), np.zeros(1, int)
@@ -156,39 +159,57 @@ def graph(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = distances(centres[i : i + 1024], centres)
         d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
         links[i : i + 1024] = np.argpartition(d, k - 1, axis=1)[:, :k]
-    root = np.arange(len(centres))
-    while True:
-        low = np.minimum(root, root[links].min(axis=1))
-        np.minimum.at(low, links.ravel(), np.repeat(low, k))
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
     spread = np.linspace(0, len(centres) - 1, min(len(centres), 32)).astype(int)
-    return links, np.union1d(np.unique(root), spread)
-
-
-def fit(sample: np.ndarray, n: int, scale: float, longest: float, nearest: int, recall: float) -> Index:
-    """An index for ``n`` vectors from a sample of them."""
+    # Links have a direction, and a far centroid may be near to none: what no walk would meet is a start as well.
+    met, starts = np.zeros(len(centres), bool), spread.tolist()
+    asked = np.bincount(links.ravel(), minlength=len(centres))
+    for j in [None, *np.argsort(asked, kind="stable").tolist()]:
+        if j is None:
+            edge = spread
+        elif met[j]:
+            continue
+        else:
+            starts.append(j)
+            edge = np.array([j])
+        while len(edge):
+            met[edge] = True
+            edge = np.unique(links[edge])
+            edge = edge[~met[edge]]
+    return links, np.unique(starts)
+
+
+def fit(
+    sample: np.ndarray, n: int, scale: float, longest: float, nearest: int, recall: float,
+    asked: np.ndarray | None = None, of: np.ndarray | None = None, near: np.ndarray | None = None,
+) -> Index:
+    """An index for ``n`` vectors from a sample of them.
+
+    ``asked`` are the queries to try, and ``near`` the vectors to be found, each by the query in ``of``. Without
+    them sampled rows are tried, which are to find their neighbours in the sample.
+    """
     index = Index(np.empty((0, 0)), np.empty((0, 0)), np.empty(0), scale, longest)
     points = index.stored(sample)
     index.centres = np.stack(split(points, max(PER_CENTROID, round(PER_LIST * len(points) / n))))
     index.links, index.starts = graph(index.centres)
     # How much farther than the first centroid the lists of true neighbours are.
-    trial = np.linspace(0, len(sample) - 1, min(len(sample), TRIALS)).astype(int)
-    products = sample[trial] @ sample.T
-    products[np.arange(len(trial)), trial] = -np.inf
-    k = min(nearest, len(sample) - 1)
-    truth = np.argpartition(-products, k - 1, axis=1)[:, :k]
-    lists = dict(zip(np.unique(truth).tolist(), index.place(points[np.unique(truth)]), strict=True))
+    if asked is None:
+        trial = np.linspace(0, len(sample) - 1, min(len(sample), TRIALS)).astype(int)
+        asked = sample[trial]
+        products = asked @ sample.T
+        products[np.arange(len(trial)), trial] = -np.inf
+        k = min(nearest, len(sample) - 1)
+        of, near = np.repeat(np.arange(len(trial)), k), sample[np.argpartition(-products, k - 1, axis=1)[:, :k].ravel()]
+    unlike, at = np.unique(near, axis=0, return_inverse=True)
+    lists = index.place(index.stored(unlike))
     while True:
-        names, d = index.walk(index.asked(sample[trial]))
-        need = []
-        for row, far, near in zip(names, d, truth, strict=True):
-            at = dict(zip(row.tolist(), (far / max(far[0], 1e-300)).tolist(), strict=True))
-            need += [min(at.get(j, np.inf) for j in lists[x].tolist()) for x in near.tolist()]
-        index.ratio = float(np.quantile(need, recall, method="higher"))
-        if np.isfinite(index.ratio) or index.beam >= len(index.centres):
+        names, d = index.walk(index.asked(asked))
+        away = [dict(zip(row.tolist(), (far / max(far[0], 1e-300)).tolist(), strict=True)) for row, far in zip(names, d, strict=True)]
+        need = np.array([min(away[q].get(j, np.inf) for j in lists[x].tolist()) for q, x in zip(of.tolist(), at.ravel().tolist(), strict=True)])
+        index.ends = np.unique(np.quantile(d[:, 0], np.arange(1, KINDS) / KINDS))
+        kind = np.searchsorted(index.ends, d[of, 0])
+        parts = [need[kind == j] for j in range(len(index.ends) + 1)]
+        index.ratios = np.array([np.quantile(part if len(part) else need, recall, method="higher") for part in parts])
+        if np.isfinite(index.ratios).all() or index.beam >= len(index.centres):
             return index
         index.beam *= 2
 
@@ -313,6 +334,40 @@ def answers(stored: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     return left.unionByName(right).groupBy(*key, "p", "q").applyInArrow(run, "qid long, cid long, ids array<bigint>, score double")
 
 
+def nearest_of(classes: DataFrame, tried: dict[int, tuple[np.ndarray, np.ndarray]], nearest: int) -> DataFrame:
+    """Rows (dim, q, v, score): by length, the nearest of all classes to each of a few queries (ids, vectors), its own left out."""
+
+    def run(batches):
+        best = {}
+        for batch in batches:
+            for dim, part in by_length(batch):
+                if dim not in tried:
+                    continue
+                ids, asked = tried[dim]
+                cids, v = part.column("cid").to_numpy(), matrix(part.column("v"), dim)
+                score = np.where(ids[:, None] == cids, -np.inf, asked @ v.T)
+                v = np.broadcast_to(v, (len(ids), *v.shape))
+                k = min(nearest, len(cids))
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                new = np.take_along_axis(score, top, axis=1), np.take_along_axis(v, top[:, :, None], axis=1)
+                if dim in best:
+                    new = tuple(np.concatenate(x, axis=1) for x in zip(best[dim], new, strict=True))
+                    top = np.argsort(-new[0], axis=1, kind="stable")[:, :nearest]
+                    new = np.take_along_axis(new[0], top, axis=1), np.take_along_axis(new[1], top[:, :, None], axis=1)
+                best[dim] = new
+        for dim, (score, v) in best.items():
+            q, at = np.nonzero(np.isfinite(score))
+            values = pa.array(v[q, at].ravel(), pa.float64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * dim, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(q), dim), pa.int32()), pa.array(q, pa.int32()), lists, pa.array(score[q, at])], names=["dim", "q", "v", "score"]
+            )
+
+    found = classes.mapInArrow(run, "dim int, q int, v array<double>, score double")
+    order = Window.partitionBy("dim", "q").orderBy(F.desc("score"), "v")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= nearest).drop("_r")
+
+
 def fit_lengths(classes: DataFrame, nearest: int, recall: float, sample: int) -> dict[int, Index]:
     """An index by length, for lengths of more vectors than a list should hold."""
     top = F.array_max(F.transform("v", F.abs)).cast("double")
@@ -330,12 +385,28 @@ def fit_lengths(classes: DataFrame, nearest: int, recall: float, sample: int) ->
     u = F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) / (1 << 30)
     drawn = known.where(u < F.col("rate")).select("dim", "cid", "v").toArrow().sort_by("cid")
     dims = drawn.column("dim").to_numpy()
+    # Queries to try, by a hash of their own.
+    first = Window.partitionBy("dim").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
+    tried = known.where("asks").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= TRIALS)
+    tried = tried.select("dim", "cid", "v").toArrow().sort_by("cid")
+    tried_dims, books = tried.column("dim").to_numpy(), {}
+    for dim in sizes:
+        at = np.flatnonzero(tried_dims == dim)
+        if len(at):
+            books[dim] = tried.column("cid").to_numpy()[at], matrix(tried.column("v").take(pa.array(at)).combine_chunks(), dim)
+    found = nearest_of(known.select("cid", "v"), books, nearest).toArrow()
+    found_dims = found.column("dim").to_numpy()
     out = {}
     for dim, (n, scale) in sizes.items():
         at = np.flatnonzero(dims == dim)
         if len(at) > 1:
             points = matrix(drawn.column("v").take(pa.array(at)).combine_chunks(), dim)
-            out[dim] = fit(points, n, scale, longest[dim], nearest, recall)
+            some = np.flatnonzero(found_dims == dim)
+            tries = ()
+            if len(some):
+                near = matrix(found.column("v").take(pa.array(some)).combine_chunks(), dim)
+                tries = books[dim][1], found.column("q").to_numpy()[some], near
+            out[dim] = fit(points, n, scale, longest[dim], nearest, recall, *tries)
     return out
 
 
@@ -372,7 +443,9 @@ def nearest_by_product(
     first = materialize(answers(stored, asked.where("turn = 0").withColumn("least", F.lit(None).cast("double")), keep))
     # The last product of those that are full; a list in several blocks gives more than enough rows.
     last = Window.partitionBy("qid").orderBy(F.desc("score"))
-    bounds = first.withColumn("_r", F.row_number().over(last)).where(F.col("_r") == keep).select(F.col("qid").alias("cid"), F.col("score").alias("least"))
+    # A class that both lists have counts once.
+    bounds = first.groupBy("qid", "cid").agg(F.max("score").alias("score")).withColumn("_r", F.row_number().over(last))
+    bounds = bounds.where(F.col("_r") == keep).select(F.col("qid").alias("cid"), F.col("score").alias("least"))
     rest = asked.where("turn = 1").join(small(materialize(bounds), BROADCAST_BOUNDS), "cid", "left")
     found = first.unionByName(answers(stored, rest, keep))
 

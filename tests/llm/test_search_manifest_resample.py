@@ -316,3 +316,35 @@ def test_large_lists_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERIES", 3)
     monkeypatch.setattr(ann, "BROADCAST_ANSWERS", 0)
     assert by_query(ann.nearest_by_product(frame(spark, vectors))) == want == {q: x for q, x in by_query(ann.nearest_by_product(frame(spark, vectors))).items()}
+
+
+def of_many_sizes(n, dim, rng):
+    v = rng.normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(rng.normal(size=(n, 1)))
+
+
+def elsewhere(n, dim, rng):
+    """Narrow groups, but queries anywhere."""
+    v = 3 * rng.normal(size=(60, dim))[rng.integers(0, 60, n)] + 0.1 * rng.normal(size=(n, dim))
+    v[::20] = rng.normal(size=(len(v[::20]), dim))
+    return v
+
+
+@pytest.mark.parametrize("make", [of_many_sizes, elsewhere])
+def test_recall_among_many_lists(spark, monkeypatch, make):
+    monkeypatch.setattr(ann, "PER_LIST", 40)
+    vectors = [(i, x.tolist()) for i, x in enumerate(make(6000, 32, np.random.default_rng(6)))]
+    got, want = by_query(ann.nearest_by_product(frame(spark, vectors))), brute_nearest(vectors)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def test_links_lead_to_every_centroid():
+    """The longest ones are near to no other."""
+    links, starts = ann.graph(of_many_sizes(600, 32, np.random.default_rng(4)))
+    met = set(starts.tolist())
+    edge = list(met)
+    while edge:
+        edge = [j for j in set(links[edge].ravel().tolist()) if j not in met]
+        met |= set(edge)
+    assert len(met) == 600
