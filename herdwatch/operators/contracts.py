@@ -83,7 +83,18 @@ def as_frame(spark: SparkSession, data) -> DataFrame:
     """A DataFrame as it is; one dict or a list of dicts as rows."""
     if isinstance(data, DataFrame):
         return data
-    return spark.createDataFrame([data] if isinstance(data, dict) else list(data))
+    rows = [data] if isinstance(data, dict) else list(data)
+    names = sorted({name for row in rows for name in row})
+    # No type follows from a column without a value: it is read as text.
+    empty = [name for name in names if all(row.get(name) is None for row in rows)]
+    if not empty:
+        return spark.createDataFrame(rows)
+    known = [name for name in names if name not in empty]
+    if known:
+        df = spark.createDataFrame([{name: row.get(name) for name in known} for row in rows])
+    else:
+        df = spark.range(len(rows)).select()
+    return df.select(*[F.col(f"`{name}`") if name in known else F.lit(None).cast("string").alias(name) for name in names])
 
 
 def missing_and_extra(df: DataFrame, contract: Contract) -> tuple[list[str], list[str]]:

@@ -171,3 +171,13 @@ def test_constraints_let_null_pass(spark):
         "alert_id string, timestamp string, farm_id string, severity string, anomaly_score double, sick_count int, status string")
     got = dict(rows(ru.constraint_violations(df, "outbreak_alerts").filter("violations > 0")))
     assert got == {"not_null(farm_id)": 1, "check(severity)": 1, "check(anomaly_score)": 1, "check(sick_count)": 1, "unique(alert_id)": 2}
+
+
+def test_records_without_a_value_in_a_column(spark):
+    """One record, or all of several, may lack a value; the column counts as present and null."""
+    record = {"farm_id": "FARM-0001", "date": None, "activity_level": None}
+    for data, n in ((record, 1), ([record, {"farm_id": None}], 2), ([{"farm_id": None}], 1)):
+        df = ct.as_frame(spark, data)
+        assert sorted(df.columns) == sorted({c for r in (data if n == 2 else [data] if isinstance(data, dict) else data) for c in r})
+        found = ct.summary(df, ct.DAILY_HEALTH_METRICS).first()
+        assert found["total_rows"] == n and found["valid_rows"] == 0
