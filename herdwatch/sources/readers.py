@@ -126,7 +126,9 @@ def recent_alerts(
     """Alerts logged on the last days, newest day first; only those day folders are read."""
     today = F.to_date(moment(as_of))
     log = read_alert_log(spark, path, schema)
-    return log.filter((F.col("day") > F.date_sub(today, days)) & (F.col("day") <= today)).orderBy(F.col("day").desc())
+    recent = log.filter((F.col("day") > F.date_sub(today, days)) & (F.col("day") <= today))
+    # A day may hold most of the log: its rows, even equal ones, are dealt to several tasks.
+    return recent.orderBy(F.col("day").desc(), F.xxhash64(*log.columns), F.rand(0))
 
 
 def todays_alert_lines(spark: SparkSession, path: str, as_of, schema: str = ALERT_LOG_SCHEMA) -> DataFrame:

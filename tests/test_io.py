@@ -193,3 +193,23 @@ def test_summary_report(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "r")).count() == len(txt)
     with pytest.raises(ValueError):
         reports.summary_report(readings, alerts, "pdf")
+
+
+def test_alerts_of_one_day_are_sorted_by_several_tasks(spark, tmp_path):
+    log = spark.range(3000).select(
+        F.lit(7).alias("id"), F.lit("FARM-0001").alias("farm_id"), F.lit("high").alias("severity"), F.lit("m").alias("message"),
+        F.lit(1).alias("affected_animals"),
+    )
+    for day in ("2024-01-05 00:00:00", "2024-01-06 00:00:00"):
+        writers.log_alerts(log if day.startswith("2024-01-06") else log.limit(5), str(tmp_path), day)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        out = readers.recent_alerts(spark, str(tmp_path), "2024-01-06 12:00:00", 7)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        days = [str(r["day"]) for r in out.collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(days) == 3005 and days == sorted(days, reverse=True)
+    assert max(sizes) < 2500
