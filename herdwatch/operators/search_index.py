@@ -79,7 +79,9 @@ class SearchIndex:
         folder = next(iter(written.values())).rsplit("/", 1)[0]
         schema = T.StructType([*T.StructType.fromJson(self.rows.version().schema).fields, T.StructField(PART, T.StringType())])
         stored = self.spark.read.schema(schema).parquet(f"{self.rows.path}/{folder}")
-        found = stored.select(PART, F.explode(grams(self.text)).alias("gram")).distinct()
+        # The text as a column of its own, or it would be made anew for every run of a row.
+        texts = stored.select(PART, self.text.alias("_text"))
+        found = texts.select(PART, F.explode(grams(F.col("_text"))).alias("gram")).distinct()
         # At most as many entries per trigram as this addition has blocks.
         posted = found.groupBy("gram").agg(F.sort_array(F.collect_list(PART)).alias("blocks"))
         self.postings.attach(self.postings.write(posted, F.concat(F.lit(f"{name}."), bucket(F.col("gram")))))

@@ -97,3 +97,18 @@ def test_log_records(spark, tmp_path):
     index.add(logs, 10)
     for text, options in (("step 4", {}), ('Step 4', {"case_sensitive": True}), ("step 4", {"case_sensitive": True}), ('"message":"step 5', {}), ("info", {"as_of": "2024-01-02 00:00:00", "hours": 5})):
         assert rows(si.search_logs(index, text, **options)) == rows(lg.search_logs(logs, text, **options)), text
+
+
+def test_the_text_of_a_row_is_made_once(spark, tmp_path):
+    """Its runs are cut from a column, not from the expression that makes the text."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    index = si.SearchIndex(spark, str(tmp_path), counted("message"))
+    index.add(spark.createDataFrame([(i, f"message number {i}") for i in range(50)], "id long, message string"))
+    assert calls.value == 50
+    assert sorted(r["id"] for r in index.search("number 7", lambda rows: rows.where(F.contains("message", F.lit("number 7")))).collect()) == [7]
