@@ -72,6 +72,18 @@ def _join_hot(rows: DataFrame, hot: DataFrame, group: Sequence[str], how: str) -
     return rows.join(hot, same, how)
 
 
+def _cuts_up_to(df: DataFrame) -> DataFrame:
+    """Adds ``_upto``, how many of the at most CUTS ascending ``_cuts`` are not above ``_place``, by halving.
+
+    A step is a column of its own, which generated code computes once; a lambda over the cuts is interpreted, and looks at all.
+    """
+    df, step = df.withColumn("_upto", F.lit(0)), 1 << (CUTS.bit_length() - 1)
+    while step:
+        fits = F.coalesce(F.get("_cuts", F.col("_upto") + (step - 1)) <= F.col("_place"), F.lit(False))
+        df, step = df.withColumn("_upto", F.col("_upto") + F.when(fits, step).otherwise(0)), step // 2
+    return df
+
+
 def add_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
 ) -> DataFrame | None:
@@ -122,9 +134,12 @@ def add_chunks(
                 continue
             return None if level == 0 else out
         joined = _join_hot(out, plan, group, "left")
-        place = F.element_at(F.array(*places), F.col("_pick") + 1)
-        below = F.size(F.filter("_cuts", lambda c: c < place)) + F.size(F.filter("_cuts", lambda c: c <= place))
-        cell = F.when(place.isNull(), FIRST_CELL).when(F.isnan(place), LAST_CELL).otherwise(below).cast("long")
+        place = F.element_at(F.array(*places), F.col("_pick") + 1) if len(places) > 1 else places[0]
+        joined = _cuts_up_to(joined.withColumn("_place", place))
+        at_cut = F.coalesce(F.get("_cuts", F.col("_upto") - 1) == F.col("_place"), F.lit(False))
+        # Cuts below the place and cuts up to it.
+        below = 2 * F.col("_upto") - F.when(at_cut, 1).otherwise(0)
+        cell = F.when(F.col("_place").isNull(), FIRST_CELL).when(F.isnan("_place"), LAST_CELL).otherwise(below).cast("long")
         out = joined.withColumn(
             CHUNK, F.when(F.col("_pick").isNotNull(), F.concat(CHUNK, F.array(cell))).otherwise(F.col(CHUNK))
         ).select(*df.columns, CHUNK)

@@ -147,3 +147,22 @@ def test_texts_that_differ_late_are_cut(spark):
     assert texts == sorted(texts)
     same = spark.createDataFrame([(1, "same")] * 30, "k int, t string")
     assert skew.add_chunks(same, ["k"], ["t"], 10) is None
+
+
+@pytest.mark.parametrize("limit", [5, 60])
+def test_chunks_are_found_without_a_lambda_over_the_cuts(readings, limit):
+    """A lambda is interpreted for each cut and row; places that equal a cut are chunks of their own as before."""
+    chunked = skew.add_chunks(readings.where("tag_id = 1"), [], ["heart_rate", "arrival_id"], limit)
+    plan = chunked._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction" not in plan
+    mine = chunked.orderBy(F.col("heart_rate").asc_nulls_first(), "arrival_id").collect()
+    assert [r["_chunk"] for r in mine] == sorted(r["_chunk"] for r in mine)
+
+
+def test_cuts_up_to_a_place(spark):
+    cuts = [[], [1.0], [1.0, 2.0, 5.0], [float(x) for x in range(63)]]
+    places = [None, -1.0, 0.0, 1.0, 1.5, 5.0, 61.5, 62.0, 63.0, float("inf"), float("-inf")]
+    shape = "_cuts array<double>, _place double"
+    got = skew._cuts_up_to(spark.createDataFrame([(c, p) for c in cuts for p in places], shape)).collect()
+    assert all(r["_upto"] == sum(c <= r["_place"] for c in r["_cuts"]) for r in got if r["_place"] is not None)
+    assert len(got) == len(cuts) * len(places)
