@@ -33,6 +33,8 @@ from ..sources.writers import STAMPS
 FILES_PER_BATCH = 1000
 # The time of rows without one: before all others.
 NO_TIME = -(1 << 62)
+# The group of rows without an animal.
+NO_ANIMAL = -1
 
 
 def read_files(
@@ -117,11 +119,11 @@ def clusters(
 
 
 class RollingScores(StatefulProcessor):
-    """Holds an animal's readings until the watermark has passed them, then scores them in the order of their time.
+    """Holds the readings of a group of animals until the watermark has passed them, then scores them in the order of their time.
 
     Readings wait in pieces of time, one state entry each; a timer at the end of a piece lets it out. Only one
-    piece of one animal is in memory at a time, however large a backlog is. A reading of a piece that
-    is out already is late: it is passed on unscored.
+    piece of one group is in memory at a time, however large a backlog is. A reading of a piece that
+    is out already for its animal is late: it is passed on unscored.
     """
 
     def __init__(self, keep: Sequence[str], metrics: Sequence[str], window_size: int, piece: int):
@@ -129,64 +131,108 @@ class RollingScores(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        fields = [T.StructField(m, T.ArrayType(T.DoubleType())) for m in self.metrics]
-        self.last = handle.getValueState("last", T.StructType(fields))
-        self.done = handle.getValueState("done", "until long")
+        # The last values of one animal after another; the animals, their numbers of values, and up to when their pieces are out.
+        self.last = handle.getValueState("last", T.StructType([T.StructField(m, T.ArrayType(T.DoubleType())) for m in self.metrics]))
+        self.animals = handle.getValueState("animals", "rows binary")
         self.waiting = handle.getMapState("waiting", "piece long", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done = self.done.get()[0] if self.done.exists() else NO_TIME + 1
+        done = self._animals()
         for chunk in rows:
-            late = (chunk["time_us"] < done).to_numpy()
+            until = np.full(len(chunk), NO_TIME + 1)
+            if done is not None:
+                at = np.zeros(len(chunk), int) if key[0] == NO_ANIMAL else pd.Index(done["tag_id"]).get_indexer(chunk["tag_id"])
+                until = np.where(at >= 0, done["done"].to_numpy()[at], until)
+            late = chunk["time_us"].to_numpy() < until
             if late.any():
                 out = chunk.loc[late, self.keep].assign(**{f"{m}_zscore": np.nan for m in self.metrics})
                 yield out.assign(late=True)
                 chunk = chunk[~late]
-            for piece, part in chunk.groupby(chunk["time_us"] // self.piece):
-                self._hold(int(piece), pa.Table.from_pandas(part, preserve_index=False))
+            pieces = (chunk["time_us"] // self.piece).to_numpy()
+            order = np.argsort(pieces, kind="stable")
+            table = pa.Table.from_pandas(chunk[[*self.keep, *self.metrics, "time_us"]].iloc[order], preserve_index=False)
+            found, starts, sizes = np.unique(pieces[order], return_index=True, return_counts=True)
+            for piece, start, n in zip(found.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+                self._hold(piece, table.slice(start, n))
 
     def _hold(self, piece: int, part: pa.Table) -> None:
         if self.waiting.containsKey((piece,)):
-            part = pa.concat_tables([self._held(piece), part])
+            # A column without values in one part has another type there.
+            part = pa.concat_tables([_unpacked(self.waiting.getValue((piece,))[0]), part], promote_options="permissive")
         else:
             self.handle.registerTimer((piece + 1) * self.piece // 1000)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema) as writer:
-            writer.write_table(part)
-        self.waiting.updateValue((piece,), (sink.getvalue().to_pybytes(),))
+        self.waiting.updateValue((piece,), (_packed(part),))
 
-    def _held(self, piece: int) -> pa.Table:
-        with pa.ipc.open_stream(bytes(self.waiting.getValue((piece,))[0])) as reader:
-            return reader.read_all()
+    def _animals(self) -> pd.DataFrame | None:
+        return _unpacked(self.animals.get()[0]).to_pandas() if self.animals.exists() else None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = expiredTimerInfo.getExpiryTimeInMs() * 1000
         for piece in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.piece <= until):
-            held = self._held(piece).to_pandas()
-            yield self._scored(held.sort_values(["time_us", *[c for c in self.keep if c != "tag_id"]]))
+            held = _unpacked(self.waiting.getValue((piece,))[0]).to_pandas()
+            held = held.sort_values(["time_us", *[c for c in self.keep if c != "tag_id"]])
+            out, sizes = self._scored(held, self._animals())
+            yield out
+            self.animals.update((_packed(self._let_out(sizes, held["tag_id"], (piece + 1) * self.piece)),))
             self.waiting.removeKey((piece,))
-            self.done.update(((piece + 1) * self.piece,))
 
-    def _scored(self, new: pd.DataFrame) -> pd.DataFrame:
-        before = self.last.get() if self.last.exists() else None
+    def _scored(self, new: pd.DataFrame, animals: pd.DataFrame | None = None) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """(scores of a piece, numbers of values by animal); the last values of each animal are kept."""
+        series = new[["tag_id", *self.metrics]]
+        if animals is not None:
+            past = {m: np.array(x, dtype=float) for m, x in zip(self.metrics, self.last.get(), strict=True)}
+            series = pd.concat([pd.DataFrame({"tag_id": np.repeat(animals["tag_id"].to_numpy(), animals["n"]), **past}), series], ignore_index=True)
+        animal, tags = pd.factorize(series["tag_id"], use_na_sentinel=False)
+        order = np.argsort(animal, kind="stable")
+        animal, back = animal[order], np.argsort(order, kind="stable")[len(series) - len(new):]
+        kept = np.searchsorted(animal, animal, side="right") - np.arange(len(animal)) < self.size
         out, state = new[self.keep].copy(), []
-        for i, metric in enumerate(self.metrics):
-            past = np.array([np.nan if x is None else x for x in (before[i] if before else [])], dtype=float)
-            values = np.concatenate([past, new[metric].to_numpy(dtype=float)])
-            out[f"{metric}_zscore"] = trailing_zscore(values, self.size)[len(past):]
-            state.append([None if np.isnan(x) else float(x) for x in values[max(len(values) - self.size + 1, 0):]])
+        for metric in self.metrics:
+            values = series[metric].to_numpy(dtype=float)[order]
+            out[f"{metric}_zscore"] = trailing_zscore(values, self.size, animal)[back]
+            state.append([None if np.isnan(x) else x for x in values[kept].tolist()])
         self.last.update(tuple(state))
-        return out.assign(late=False)
+        sizes = pd.DataFrame({"tag_id": tags, "n": np.bincount(animal[kept], minlength=len(tags))})
+        if animals is not None and self.size == 1:
+            # Animals without a value are not among the series.
+            sizes = pd.concat([animals[["tag_id", "n"]], sizes]).drop_duplicates("tag_id")
+        return out.assign(late=False), sizes
+
+    def _let_out(self, sizes: pd.DataFrame, tags: pd.Series, until: int) -> pa.Table:
+        before = self._animals()
+        done = np.full(len(sizes), NO_TIME + 1)
+        if before is not None:
+            at = pd.Index(before["tag_id"]).get_indexer(sizes["tag_id"])
+            done = np.where(at >= 0, before["done"].to_numpy()[at], done)
+        done = np.where(sizes["tag_id"].isin(tags), until, done)
+        return pa.Table.from_pandas(sizes.assign(done=done), preserve_index=False)
 
     def close(self) -> None:
         pass
 
 
-def trailing_zscore(values: np.ndarray, size: int) -> np.ndarray:
-    """z-score of each value within the last ``size`` values up to it; missing values are left out."""
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(bytes(data)) as reader:
+        return reader.read_all()
+
+
+def trailing_zscore(values: np.ndarray, size: int, series: np.ndarray | None = None) -> np.ndarray:
+    """z-score of each value within the last ``size`` values up to it; missing values are left out.
+
+    ``series`` numbers the series that the values belong to, each of which lies together.
+    """
     padded = np.concatenate([np.full(size - 1, np.nan), values])
     frames = np.lib.stride_tricks.sliding_window_view(padded, size)
     known = ~np.isnan(frames)
+    if series is not None:
+        known &= np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1, -1), series]), size) == series[:, None]
     n = known.sum(axis=1)
     total = np.where(known, frames, 0.0)
     mean = total.sum(axis=1) / np.maximum(n, 1)
@@ -198,7 +244,7 @@ def trailing_zscore(values: np.ndarray, size: int) -> np.ndarray:
 
 def rolling_scores(
     readings: DataFrame, path: str, checkpoint: str, *, keep: Sequence[str] = ("date", "arrival_id"),
-    metrics: Sequence[str] = METRICS, window_size: int = 7, delay: str = "7 days", piece_hours: int = 24,
+    metrics: Sequence[str] = METRICS, window_size: int = 7, delay: str = "7 days", piece_hours: int = 24, spread: int = 512,
     once: bool = True, interval: str = "1 minute",
 ) -> StreamingQuery:
     """Rolling z-scores per animal by the time of the readings, in whatever order they arrive.
@@ -206,7 +252,8 @@ def rolling_scores(
     Readings may come up to ``delay`` behind the newest one. A piece of ``piece_hours`` is scored when the
     watermark has passed it, so the result is that of the batch operator over all readings in time.
     Later ones are written with ``late`` = true and without scores, as are rows without a date; ``path`` has a folder for
-    either kind. Rows without an animal only move the watermark (see ``tick``).
+    either kind. Animals share their state in ``spread`` groups, which stays the same for a checkpoint; a task holds a piece of
+    one group at a time. Rows without an animal only move the watermark (see ``tick``).
     """
     kinds = dict(readings.dtypes)
     columns = ["tag_id", *keep]
@@ -219,8 +266,9 @@ def rolling_scores(
         *[(F.timestamp_micros(F.unix_micros("date")) if c == "date" else F.col(c)).alias(c) for c in columns], *metrics, time
     )
     processor = RollingScores(columns, metrics, window_size, piece_hours * 3_600_000_000)
+    group = F.when(F.col("tag_id").isNull(), NO_ANIMAL).otherwise(F.pmod(F.xxhash64("tag_id"), F.lit(spread))).cast("long")
     scored = (
-        plain.groupBy("tag_id")
+        plain.withColumn("part", group).groupBy("part")
         .transformWithStateInPandas(processor, schema, "Append", "EventTime")
     )
     clean = scored.withColumns(

@@ -101,6 +101,23 @@ def test_a_window_of_one_keeps_no_values():
     assert processor.last.value == ([],)
 
 
+def test_animals_share_state_in_groups(spark, tmp_path):
+    """State entries grow with groups and pieces, not with animals; each animal is scored by its own readings."""
+    rows_in = spark.range(3000).select(
+        F.concat(F.lit("T"), (F.col("id") % 300).cast("string")).alias("tag_id"),
+        F.timestamp_seconds(1704067200 + F.col("id") * 60).alias("date"), F.col("id").alias("arrival_id"),
+        *[(F.xxhash64("id", F.lit(m)) % 50).cast("double").alias(m) for m in ("temperature", "heart_rate", "activity_level")],
+    )
+    source = files([rows_in], tmp_path / "in")
+    query = jobs.rolling_scores(jobs.read_files(spark, source, rows_in.schema), str(tmp_path / "out"), str(tmp_path / "state"), spread=4, delay="400 days")
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 300
+    jobs.tick(spark, source, rows_in.schema, START + timedelta(days=900))
+    jobs.rolling_scores(jobs.read_files(spark, source, rows_in.schema), str(tmp_path / "out"), str(tmp_path / "state"), spread=4, delay="400 days").awaitTermination()
+    out = jobs.read_flagged(spark, str(tmp_path / "out"))
+    assert rows(out.select(*Z_COLUMNS)) == rows(detect.rolling_zscore(rows_in).select(*Z_COLUMNS)) and not out.where("late").count()
+
+
 def test_every_row_is_accounted_for(spark, tmp_path):
     """Rows in are rows out, copies and late rows, whatever their types; the late ones are kept."""
     shape = "tag_id string, date timestamp, n long, x double, f array<int>, s struct<a:string,b:timestamp>"
