@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import short_batches
+
 # Rows used to fit the classifier: a documented bound, spread over the languages. A quarter calibrates.
 SAMPLE = 3_000
 BUCKETS, DIM = 1 << 13, 16
@@ -276,6 +278,7 @@ def identify(
     their subwords are less usual in it than the calibrated threshold. Without any labelled row every text is "und". Rows without an
     id count as held out; repeated rows each get a row; an empty table gives no rows; other columns are not looked at.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, id_col, text_col, lang_col, sample))
 
@@ -297,6 +300,7 @@ def accepted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
 ) -> DataFrame:
     """The rows that ``identify`` does not reject, with all their columns; only the texts pass through Python."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, id_col, text_col, lang_col, sample))
 
     @F.arrow_udf("boolean")

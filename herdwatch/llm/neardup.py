@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dropped_afterwards, materialize, result_of
+from ..session import dropped_afterwards, materialize, result_of, short_batches
 from .common import BLANKS, components, give_back, in_blocks, only_ids, with_shingles
 
 COORDS, BANDS, BAND = 1024, 32, 4
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share an id count as one document; each gets its own row. An empty table gives no rows. The result is stored, the
     tables on the way to it are dropped.
     """
+    short_batches(docs.sparkSession)
     with dropped_afterwards(docs.sparkSession):
         return result_of(_near_duplicates(docs, id_col, text_col))
 

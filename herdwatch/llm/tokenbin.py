@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import materialize, new_folder
+from ..session import materialize, new_folder, short_batches
 from .common import give_back
 
 BITS, LOW = 20, np.uint64(1 << 31)
@@ -53,7 +53,7 @@ BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 # A piece that is one usual word and marks behind it: two words of byte-level BPE.
 WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 # Bytes of text whose pieces are looked up together.
-TOGETHER = 6 << 20
+TOGETHER = 3 << 20
 # Usual characters, and how byte-level BPE parts them into words (fixed: the public pattern for these characters).
 USUAL = re.compile(r"[\n -~À-ÖØ-öø-ɏ]*")
 WORD_OF_PIECE = re.compile(
@@ -241,10 +241,15 @@ class Encoder:
 
     def remembered(self, words: pa.Array) -> pa.Array:
         """Ids of different usual words after a blank, remembered or asked for."""
-        at = pc.index_in(words, value_set=self.names)
-        new = words.filter(pc.is_null(at))
-        if not len(new):
-            return self.codes.take(at)
+        # The words of one piece are the table to look into, not all that are remembered: far fewer.
+        held = pc.index_in(self.names, value_set=words)
+        known = np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False))
+        place = np.full(len(words), -1, np.int64)
+        place[held.drop_null().to_numpy()] = known
+        missing = place < 0
+        if not missing.any():
+            return self.codes.take(pa.array(place))
+        new = words.filter(pa.array(missing))
         ask, symbols, ids, ends = self.words.tokenize, self.words.symbols, [], [0]
         lead = " ".translate(symbols)
         text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new), " ")[0].as_py()
@@ -253,9 +258,6 @@ class Encoder:
             ends.append(len(ids))
         offsets = 4 * np.array(ends, np.int64)
         asked = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(np.array(ids, "<u4").tobytes())])
-        place = at.to_numpy(zero_copy_only=False)
-        missing = np.isnan(place)
-        place = np.where(missing, 0, place).astype(np.int64)
         place[missing] = len(self.names) + np.arange(len(new))
         names, codes = pa.concat_arrays([self.names, new]), pa.concat_arrays([self.codes, asked])
         found = codes.take(pa.array(place))
@@ -342,7 +344,9 @@ def tokenized(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str,
                     names=["id", "n", "ids"],
                 )
                 start += size
-        give_back()
+                # What a piece of the work has freed is not kept for the next one.
+                del data, begins, stops, view
+                give_back()
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n long, ids binary")
 
@@ -378,6 +382,7 @@ def write_tokens(
     are not looked at. ``tokenizer_file`` must be readable on the executors.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     tokens = materialize(tokenized(docs, tokenizer_file, id_col, text_col, end))
     # One row per kind of token, at most the vocabulary.
     counted = token_counts(tokens).toPandas()
@@ -429,6 +434,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
 
     start counts the ids of all documents before, end ids included. A block whose checksum differs raises.
     """
+    short_batches(spark)
     table = spark.read.parquet(f"{path}/table").toPandas()
     freq = np.zeros(int(table["token"].max()) + 1 if len(table) else 1, np.int64)
     freq[table["token"].to_numpy(np.int64)] = table["freq"].to_numpy(np.int64)

@@ -28,6 +28,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+# Bytes of rows that Spark hands to a Python worker at a time, see ``short_batches``.
+BATCH_BYTES, BATCH_KEY = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session; static ones stay as they are."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -76,6 +80,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of about ``BATCH_BYTES``, unless the session has a bound of its own.
+
+    Spark ends a batch after 10,000 rows otherwise. Of long texts or lists these are tens of MB, which an executor holds
+    outside its heap while the buffers grow, and its C library keeps for each thread when they are freed.
+    """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 # Folders that the running piece of work keeps for itself; None outside ``dropped_afterwards``.
 _own: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
